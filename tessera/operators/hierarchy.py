@@ -63,28 +63,27 @@ def resolve(rows: DataFrame, id_col: str, parent_col: str, order_cols: list[str]
         )
         seen = seen.withColumn("kind", F.when(F.col("loop"), "loop").when(F.col("n").isNull(), "leaf").when(splice, "splice").otherwise("stay"))
         step = durable(seen.select("id", "parent", "w", "via", "kind"), "tree")
+        left = {r.kind: r["count"] for r in step.groupBy("kind").count().collect()}
         gone = step.where("kind = 'splice'").select(
             F.col("id").alias("parent"), F.col("parent").alias("p2"), F.col("w").alias("w2"), F.col("via").alias("via2")
         )
-        moved = (
-            step.where("kind <> 'splice'")
-            .join(gone, "parent", "left")
-            .select(
+        longer = F.when(F.col("p2").isNotNull(), F.concat("via2", F.array("parent"), "via")).otherwise(F.col("via"))
+        moved = step.where("kind <> 'splice'")
+        if left.get("splice"):
+            moved = moved.join(gone, "parent", "left").select(
                 "id",
                 F.coalesce("p2", "parent").alias("parent"),
                 (F.col("w") + F.coalesce("w2", F.lit(0))).alias("w"),
-                (F.when(F.col("p2").isNotNull(), F.concat("via2", F.array("parent"), "via")).otherwise(F.col("via")) if with_path else F.col("via")).alias("via"),
+                (longer if with_path else F.col("via")).alias("via"),
                 "kind",
             )
-        )
-        after = durable(moved, "tree")
-        removed.append(after.where("kind = 'leaf'").drop("kind").unionByName(step.where("kind = 'splice'").drop("kind")))
-        done = done.unionByName(
-            after.where("kind = 'loop'").select("id", F.lit("").alias("root"), F.lit(-1).cast("long").alias("depth"), via.alias("path"))
-        )
-        alive = after.where("kind = 'stay'").drop("kind")
-        if alive.isEmpty():
+        removed.append(moved.where("kind = 'leaf'").drop("kind").unionByName(step.where("kind = 'splice'").drop("kind")))
+        if left.get("loop"):
+            loops = step.where("kind = 'loop'")
+            done = done.unionByName(loops.select("id", F.lit("").alias("root"), F.lit(-1).cast("long").alias("depth"), via.alias("path")))
+        if not left.get("stay"):
             break
+        alive = moved.where("kind = 'stay'").drop("kind")
     for back in reversed(removed):
         up = done.select(F.col("id").alias("parent"), F.col("root"), F.col("depth").alias("d"), *([F.col("path").alias("pp")] if with_path else []))
         cyclic = F.col("d") < 0
