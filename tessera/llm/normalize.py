@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tessera.llm.codepoints import to_arrow, to_codes
 from tessera.session import durable, width
@@ -191,7 +192,7 @@ def normalize(df: DataFrame, text_col: str, out_col: str = "canonical", fold_let
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, canonical(b.column(at), fold_letters)], names=[*b.schema.names, out_col])
 
-    schema = df.schema.add(out_col, "string")
+    schema = StructType([*df.schema.fields, StructField(out_col, StringType())])
     return df.mapInArrow(run, schema)
 
 
@@ -203,13 +204,9 @@ def lookalikes(rows: DataFrame) -> DataFrame:
     spelling, so a look that is always spelt alike costs nothing however many rows have it.
     """
     spark = rows.sparkSession
-    from pyspark.sql.types import StringType, StructField, StructType
-
     plain = rows.select(F.col("src"), F.col("key").cast("string").alias("key"), F.col("text").cast("string").alias("text")).where("key is not null and text is not null")
-    base = StructType([StructField(c, StringType()) for c in ("src", "key", "text")])
-    plain = spark.createDataFrame([], base).unionByName(plain).repartition(width(spark), "src", "key")
-    done = normalize(plain, "text").where("canonical <> ''")
-    marks = durable(done.select("src", "key", F.sha2("canonical", 256).alias("look"), F.xxhash64("text").alias("form"), F.md5("text").alias("exact")).distinct(), "looks")
+    done = normalize(plain.repartition(width(spark), "src", "key"), "text").where("canonical <> ''")
+    marks = durable(done.select("src", "key", F.sha2("canonical", 256).alias("look"), F.md5("text").alias("exact")).distinct(), "looks")
     several = marks.groupBy("src", "look").agg(F.min("exact").alias("lo"), F.max("exact").alias("hi")).where("lo <> hi").select("src", "look")
     some = marks.join(several, ["src", "look"], "left_semi").select("src", "look", "key", "exact")
     a = some.select("src", "look", F.col("key").alias("key_a"), F.col("exact").alias("ea"))

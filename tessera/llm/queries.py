@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import normalize
+from tessera.llm import normalize, sentences
 from tessera.session import table
 
 
@@ -34,5 +34,17 @@ def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
     return normalize.normalize(_looks(spark, d), "text").drop("text")
 
 
-QUERIES = {"p4_found": p4_found, "p4_canonical": p4_canonical}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """End positions of the sentence units of all active chunks of text files."""
+    return p5_units(spark, d).select("chunk_id", "end_pos").distinct()
+
+
+def p5_units(spark: SparkSession, d: str) -> DataFrame:
+    """Sentence units with their places."""
+    rows = _active(spark, d, "docx", "pptx", "txt")
+    out = sentences.units(rows, "chunk_id", counts=sentences.corpus_counts(rows))
+    return out.withColumnRenamed("id", "chunk_id")
+
+
+QUERIES = {"p5_found": p5_found, "p5_units": p5_units, "p4_found": p4_found, "p4_canonical": p4_canonical}
 SQL: dict[str, str] = {}
