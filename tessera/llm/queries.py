@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import normalize, sentences
+from tessera.llm import bpe, normalize, pieces, sentences
 from tessera.session import table
 
 
@@ -46,5 +46,28 @@ def p5_units(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumnRenamed("id", "chunk_id")
 
 
-QUERIES = {"p5_found": p5_found, "p5_units": p5_units, "p4_found": p4_found, "p4_canonical": p4_canonical}
+def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of at most 480 characters of every oversized active chunk of text files."""
+    rows = _active(spark, d, "docx", "pptx", "txt")
+    counts = sentences.corpus_counts(rows)
+    start = rows.withColumn("first_para", F.when(F.col("para_end") >= F.col("para_start"), F.col("para_start")).otherwise(F.least("para_start", "para_end")))
+    big = start.where(F.char_length("text") > pieces.LIMIT)
+    return pieces.split_oversized(big, "chunk_id", para_col="first_para", counts=counts).withColumnRenamed("id", "chunk_id").drop("level")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """The coarsest boundary that suffices: the deepest level the packing had to descend to."""
+    rows = _active(spark, d, "docx", "pptx", "txt")
+    counts = sentences.corpus_counts(rows)
+    out = pieces.split_oversized(rows.where(F.char_length("text") > pieces.LIMIT), "chunk_id", counts=counts)
+    deepest = out.groupBy(F.col("id").alias("chunk_id")).agg(F.max("level").alias("level"))
+    return deepest.select("chunk_id", F.element_at(F.array(*map(F.lit, pieces.LEVELS)), F.col("level") + 1).alias("cut"))
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of every document."""
+    return bpe.encode(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p5_found": p5_found, "p5_units": p5_units, "p4_found": p4_found, "p4_canonical": p4_canonical}
 SQL: dict[str, str] = {}

@@ -79,7 +79,7 @@ def count_tokens(text: str, into: Counter) -> None:
                 into["S", w] += 1
             elif gap == " " and prev.islower():
                 into["M", w] += 1
-            elif gap[:1] in ("?", "!") or (prev_dot and gap == ". " and len(prev) > 4 and prev.islower()):
+            elif gap[:1] in ("?", "!") or (prev_dot and gap == ". " and len(prev) > 4 and prev.islower() and prev not in KNOWN):
                 into["S", w] += 1
         dot = b < n and s[b] == "." and not (b + 1 < n and s[b + 1] == ".")
         low = w.lower()
@@ -111,10 +111,14 @@ class Evidence:
 
     def abbreviation(self, word: str) -> bool:
         w = word.rstrip(".").lower()
-        if not w or "." in w or len(w) == 1 or w in KNOWN:
+        if not w or "." in w or len(w) == 1:
             return True
         follow = self.of("l", w) + self.of("d", w)
         rest = self.of("u", w) + self.of("o", w)
+        if self.of("o", w) >= max(2, 0.01 * rest) and follow <= 0.02 * rest:  # ends lines and never goes on: an ordinary last word
+            return False
+        if w in KNOWN:
+            return True
         if follow >= 3 and follow >= 0.25 * (follow + rest):
             return True
         return len(w) <= 4 and w.isalpha() and follow + rest > 0 and self.of("n", w) == 0
@@ -178,11 +182,8 @@ def _ends(s: str, mark: str, a: int, e: int, ev: Evidence) -> bool:
         before = s[: w.start()].rstrip(" ")
         if before.endswith("."):
             return True
-        opener = ev.opener(follower) if follower else None
         last = _LAST.search(before)
-        if last and last.group() in BEFORE_ORDINAL:
-            return False
-        return opener is not False and (opener is not None or wide or not follower)
+        return bool(before) and not (last and last.group() in BEFORE_ORDINAL)
     if not ev.abbreviation(word):
         return True
     if f.isdigit():
