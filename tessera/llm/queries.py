@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, normalize, pieces, sentences
+from tessera.llm import bpe, normalize, packing, pieces, sentences
 from tessera.session import table
 
 
@@ -69,5 +69,17 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p5_found": p5_found, "p5_units": p5_units, "p4_found": p4_found, "p4_canonical": p4_canonical}
+def p9_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Container of every text, or of every piece of a text above the capacity."""
+    counts = bpe.token_counts(table(spark, d, "documents"), "doc_id", "text")
+    return packing.assign(counts).withColumnRenamed("id", "doc_id")
+
+
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Items, tokens and free space of every container."""
+    rows = p9_packed(spark, d).groupBy("container").agg(F.count("*").alias("n_items"), F.sum("n_tokens").alias("n_tokens"))
+    return rows.withColumn("free", packing.CAPACITY - F.col("n_tokens"))
+
+
+QUERIES = {"p9_packed": p9_packed, "p9_containers": p9_containers, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p5_found": p5_found, "p5_units": p5_units, "p4_found": p4_found, "p4_canonical": p4_canonical}
 SQL: dict[str, str] = {}
