@@ -12,6 +12,11 @@ import numpy as np
 OFFSETS = (-3, -2, -1, 0, 1, 2, 3)
 
 
+def _sums(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Rows of ``values`` added up by ``at``."""
+    return np.stack([np.bincount(at, weights=values[:, i], minlength=size) for i in range(values.shape[1])], axis=1)
+
+
 class Crf:
     """Weights: ``w`` (offsets, features, labels), ``trans`` (labels, labels), ``first`` (labels)."""
 
@@ -129,11 +134,9 @@ class Crf:
                 wide[:, 3 : 3 + t] = types
                 full = np.concatenate([rows, np.zeros((1, rows.shape[1]), np.int64)])
                 for j in range(k):
-                    per = np.zeros((pad + 1, n))
-                    np.add.at(per, wide[:, j : j + t][live], d[live] * scale)
+                    per = _sums(wide[:, j : j + t][live], d[live] * scale, pad + 1)
                     hit = np.flatnonzero(np.abs(per).sum(axis=1))
-                    g = np.zeros_like(self.w[j])
-                    np.add.at(g, full[hit].ravel(), np.repeat(per[hit], rows.shape[1], axis=0))
+                    g = _sums(full[hit].ravel(), np.repeat(per[hit], rows.shape[1], axis=0), self.w.shape[1])
                     g[0] = 0
                     g -= decay * self.w[j]
                     gw[j] += g * g

@@ -56,6 +56,13 @@ Pour toute question, écrire à {E} ou appeler le {T}.
 La asegurada, doña {P}, con domicilio en {A}, firmó el acta.
 El acta fue redactada por {P} en la sede de {A}.
 Documento {I} comprobado por {P}.
+Adresse de correspondance : {A}.
+Adresse de correspondance : {A}. Les coûts ont été portés par la révision des tarifs.
+Reviewed by {P} and Dr. {P}. {P}’s claim was settled in full.
+The agent's number {T} no longer works.
+The agent’s number {T} no longer works.
+Dirección de contacto: {A}.
+Anschrift: {A}.
 Contacto: {P}, tel. {T}, {E}.
 Para consultas escriba a {E} o llame al {T}.
 O contacto é {P}, tel. {T}, {E}.
@@ -84,6 +91,11 @@ The {R} Road bond financed {N} km of motorway.
 Ledger entry 00{N}{N} was reversed on 2024-03-1{D}.
 Purchase order 4500-018-{N} covers series 20{N}-55 of the bond.
 The margin was quoted @ {D}.{N}% against version 4.2.{N} of the tariff.
+Reserves moved from {D},{N},{N} to {D},{N},{N} units.
+Reserves moved from {D},000,{N} to {D},{N},000 units.
+Einige Märkte, z. B. St. Orvel, meldeten eine höhere Stornoquote als im Vorjahr.
+Einige Märkte, z. B. Port Ellery, meldeten eine höhere Schadenquote als im Vorjahr.
+Einige Märkte, z. B. der Nordregion, meldeten eine höhere Dividendenfähigkeit als im Vorjahr.
 Form No. {N} replaces version 4.2.{N}.
 Beleg 4500-018-{N} betrifft die {S} Rück AG.
 Formular Nr. {N} ersetzt Fassung 4.2.{N}.
@@ -250,7 +262,7 @@ class Fillers:
         d = self.digits
         a = d(6)
         return self.r.choice(
-            [f"9{d(2)}-{d(2)}-{d(4)}", f"9{d(2)} {d(2)} {d(4)}", f"QQ{a}C", f"QQ {a[:2]} {a[2:4]} {a[4:]} C", f"X00{d(7)}", f"UZ{d(6)}({self.r.choice('0123456789A')})", f"UZ{d(6)}({d(1)})", f"99{d(4)}19{d(2)}{self.r.choice(['01', '11', '07'])}{d(2)}{d(4)}", f"99{d(4)}20010{d(1)}1{d(1)}{d(3)}X"]
+            [f"9{d(2)}-{d(2)}-{d(4)}", f"9{d(2)} {d(2)} {d(4)}", f"QQ{a}C", f"QQ {a[:2]} {a[2:4]} {a[4:]} C", f"X00{d(7)}", f"UZ{d(6)}({self.r.choice('0123456789A')})", f"UZ{d(6)}({d(1)})", f"000{d(5)}{self.r.choice(['-', ''])}{self.r.choice('ABCGHKTW')}", f"99{d(4)}19{d(2)}{self.r.choice(['01', '11', '07'])}{d(2)}{d(4)}", f"99{d(4)}20010{d(1)}1{d(1)}{d(3)}X"]
         )
 
     def address(self) -> str:
@@ -267,7 +279,7 @@ class Fillers:
         if kind < 0.7:
             return f"{self.r.choice(['Lindenholzstraße', 'Kupferweg', 'Am Salztor', 'Mühlgasse', self.syllables(3) + 'straße'])} {n}, 00{self.digits(3)} {self.r.choice(['Norvalen', 'Kesselburg', town])}"
         if kind < 0.85:
-            return f"{n}{' bis' if self.coin(0.15) else ''}, {self.r.choice(['rue des Tanneurs-Vieux', 'avenue du Sel Gris', 'rue de la ' + road, 'boulevard ' + road])}, 00{self.digits(3)} {self.r.choice(['Montvarel', 'Port-Ellery', town])}"
+            return f"{n}{' bis' if self.coin(0.15) else ''}, {self.r.choice(['rue des Tanneurs-Vieux', 'avenue du Sel Gris', 'quai de la Mérelle', 'rue de la ' + road, 'quai de la ' + road, 'place de ' + road, 'chemin du ' + road, 'boulevard ' + road])}, 00{self.digits(3)} {self.r.choice(['Montvarel', 'Port-Ellery', town])}"
         return f"{self.r.choice(['Calle del Molino Verde', 'Plaza Cobriza', 'Avda. de la Sal', 'Calle ' + road])}, {n}, 00{self.digits(3)} {self.r.choice(['Puerto Elero', 'Villanorte', town])}"
 
     def han(self) -> str:
@@ -302,7 +314,7 @@ class Fillers:
         return out + template[at:], spans
 
 
-def labelled(n: int = 1600, seed: int = 7) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def labelled(n: int = 1200, seed: int = 7) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """n short documents of labelled sentences; every template is used about equally often."""
     f = Fillers(seed)
     pos = [t.replace("\\n", "\n") for t in POSITIVE]

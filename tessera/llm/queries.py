@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, normalize, packing, pieces, sentences
+from tessera.llm import bpe, normalize, packing, pieces, pii, sentences
 from tessera.session import table
 
 
@@ -81,5 +81,16 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("free", packing.CAPACITY - F.col("n_tokens"))
 
 
-QUERIES = {"p9_packed": p9_packed, "p9_containers": p9_containers, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p5_found": p5_found, "p5_units": p5_units, "p4_found": p4_found, "p4_canonical": p4_canonical}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every piece of personal data in the documents with its kind and place."""
+    out = pii.detect(table(spark, d, "documents"), "doc_id")
+    return out.select(F.col("id").alias("doc_id"), "kind", "start_pos", "end_pos")
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The documents with placeholders in place of personal data."""
+    return pii.redact(table(spark, d, "documents"), "doc_id").withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"p10_found": p10_found, "p10_redacted": p10_redacted, "p9_packed": p9_packed, "p9_containers": p9_containers, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p5_found": p5_found, "p5_units": p5_units, "p4_found": p4_found, "p4_canonical": p4_canonical}
 SQL: dict[str, str] = {}
