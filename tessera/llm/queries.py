@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, normalize, packing, pieces, pii, sentences
+from tessera.llm import bpe, languages, normalize, packing, pieces, pii, sentences
 from tessera.session import table
 
 
@@ -92,5 +92,28 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact(table(spark, d, "documents"), "doc_id").withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"p10_found": p10_found, "p10_redacted": p10_redacted, "p9_packed": p9_packed, "p9_containers": p9_containers, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p5_found": p5_found, "p5_units": p5_units, "p4_found": p4_found, "p4_canonical": p4_canonical}
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    chunks = _active(spark, d).select(F.lit("narrative_chunk").alias("src"), F.col("chunk_id").alias("key"), "text", F.col("language").alias("label"))
+    corpus = table(spark, d, "retrieval_ab_corpus").select(F.lit("retrieval_ab_corpus").alias("src"), F.col("doc_id").alias("key"), "text", F.col("language").alias("label"))
+    return chunks.unionByName(corpus)
+
+
+def p1_detected(spark: SparkSession, d: str) -> DataFrame:
+    """Language and confidence of every active chunk and corpus row."""
+    rows = _labelled(spark, d)
+    return languages.detect(rows, languages.fit(languages.labelled_sample(rows)))
+
+
+def p1_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Language and confidence of every segment."""
+    rows = _labelled(spark, d)
+    return languages.segments(rows, languages.fit(languages.labelled_sample(rows)))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose language label is missing or wrong, with the right one."""
+    return languages.mislabelled(p1_detected(spark, d)).select("src", F.col("key").alias("row_key"), F.col("lang").alias("lang_true"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_detected": p1_detected, "p1_segments": p1_segments, "p10_found": p10_found, "p10_redacted": p10_redacted, "p9_packed": p9_packed, "p9_containers": p9_containers, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p5_found": p5_found, "p5_units": p5_units, "p4_found": p4_found, "p4_canonical": p4_canonical}
 SQL: dict[str, str] = {}
