@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, languages, normalize, packing, pieces, pii, sentences
+from tessera.llm import bpe, languages, normalize, packing, pieces, pii, scans, sentences
 from tessera.session import table
 
 
@@ -115,5 +115,17 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return languages.mislabelled(p1_detected(spark, d)).select("src", F.col("key").alias("row_key"), F.col("lang").alias("lang_true"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_detected": p1_detected, "p1_segments": p1_segments, "p10_found": p10_found, "p10_redacted": p10_redacted, "p9_packed": p9_packed, "p9_containers": p9_containers, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p5_found": p5_found, "p5_units": p5_units, "p4_found": p4_found, "p4_canonical": p4_canonical}
+def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Continuous text of the active chunks of scanned files with the noise that was found."""
+    rows = _active(spark, d)
+    scanned = F.lower(F.element_at(F.split("doc_id", r"\."), -1)).isin("pdf", "tif")
+    return scans.repair(rows.where(scanned), rows.where(~scanned))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Kinds of noise in the active chunks of scanned files."""
+    return scans.noise(p2_repaired(spark, d))
+
+
+QUERIES = {"p2_found": p2_found, "p2_repaired": p2_repaired, "p1_found": p1_found, "p1_detected": p1_detected, "p1_segments": p1_segments, "p10_found": p10_found, "p10_redacted": p10_redacted, "p9_packed": p9_packed, "p9_containers": p9_containers, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p5_found": p5_found, "p5_units": p5_units, "p4_found": p4_found, "p4_canonical": p4_canonical}
 SQL: dict[str, str] = {}
