@@ -39,7 +39,7 @@ def token_set(c: Column) -> Column:
 
 def number(c: Column) -> Column:
     """The number of a cell without , $ and %; null where it is none."""
-    return F.try_to_number(F.lit(None), F.lit("9")) if c is None else F.regexp_replace(c, r"[,$%\s]", "").try_cast("double")
+    return F.regexp_replace(c, r"[,$%\s]", "").try_cast("double")
 
 
 def sensitivity(name: Column, text: Column, patterns: list[str], keywords: list[str], default: str = "INTERNAL", hit: str = "RESTRICTED") -> Column:

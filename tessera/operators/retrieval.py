@@ -63,7 +63,7 @@ def vector_scores(docs: DataFrame, id_col: str, vec_col: str, queries: DataFrame
     q = queries.select(F.col(query_col).alias("query_id"), F.col(query_vec).alias("q"))
     bounded = q.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     pairs = d.crossJoin(F.broadcast(q)) if bounded else d.crossJoin(q)
-    return pairs.select("query_id", "id", F.round(cosine("v", "q") if False else cosine(F.col("v"), F.col("q")), 6).alias("score"))
+    return pairs.select("query_id", "id", F.round(cosine(F.col("v"), F.col("q")), 6).alias("score"))
 
 
 def rrf(rankings: list[DataFrame], k: int = 60, key: str = "query_id") -> DataFrame:
