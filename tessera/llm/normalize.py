@@ -149,9 +149,12 @@ def _composed(codes: np.ndarray, row: np.ndarray, t: dict[str, np.ndarray]) -> n
     lv = lead[(a >= 0x1100) & (a < 0x1113) & (b >= 0x1161) & (b < 0x1176)]  # Hangul by rule
     codes[lv] = 0xAC00 + ((codes[lv] - 0x1100) * 21 + (codes[lv + 1] - 0x1161)) * 28
     keep[lv + 1] = False
-    tail = lv[(lv + 2 < n) & (codes[np.minimum(lv + 2, n - 1)] > 0x11A7) & (codes[np.minimum(lv + 2, n - 1)] < 0x11C3) & (row[np.minimum(lv + 2, n - 1)] == row[lv])]
-    codes[tail] += codes[tail + 2] - 0x11A7
-    keep[tail + 2] = False
+    kept = np.flatnonzero(keep)
+    if len(kept) > 1:
+        a, b = codes[kept[:-1]].astype(np.int64), codes[kept[1:]].astype(np.int64)
+        tail = (a >= 0xAC00) & (a <= 0xD7A3) & ((a - 0xAC00) % 28 == 0) & (b > 0x11A7) & (b < 0x11C3) & (row[kept[:-1]] == row[kept[1:]])
+        codes[kept[:-1][tail]] += (b[tail] - 0x11A7).astype(np.uint32)
+        keep[kept[1:][tail]] = False
     return keep
 
 

@@ -27,6 +27,8 @@ SHARE = 5e-6
 KNOWN = frozenset(
     "dr mr mrs ms prof st mt no nr vs vol fig tab approx incl ca bzw vgl usw z.b d.h u.a rd bd cf env p pp art núm aprox sr sra srta ej g г гг табл см др тыс млн млрд руб долл рис стр jan feb mar apr jun jul aug sept sep oct nov dec e.g i.e etc inc ltd co corp u.s a.m p.m s.a n.º क्र डॉ mme mlle".split()
 )
+# Abbreviations that may well end a sentence.
+ENDING = frozenset("etc usw inc ltd co corp a.m p.m".split())
 # German words before an ordinal number.
 BEFORE_ORDINAL = frozenset("dem der den des die das am zum zur vom im beim bis ab seit und jedem diesem".split())
 OPEN = {"“": "”", "„": "“”", "«": "»", "(": ")", "（": "）", "「": "」", "『": "』", "[": "]", "【": "】", "《": "》", "‹": "›", "｢": "｣", "〈": "〉"}
@@ -157,7 +159,9 @@ def _ends(s: str, mark: str, a: int, e: int, ev: Evidence) -> bool:
         return True
     nxt = _FIRST.search(s, e)
     f = nxt.group() if nxt else ""
-    gap = s[e : nxt.start()] if nxt else s[e:]
+    if not nxt:
+        return True
+    gap = s[e : nxt.start()]
     wide = bool(f) and not f.isdigit() and not f.isupper() and not f.islower()
     if not gap[:1].isspace() and not (gap[:1] in OPEN or (gap == "" and wide)):
         return False
@@ -191,7 +195,10 @@ def _ends(s: str, mark: str, a: int, e: int, ev: Evidence) -> bool:
     if wide or not f:
         return not ev.continues(word)
     opener = ev.opener(follower)
-    return bool(opener) if opener is not None else word.rstrip(".").lower() in ("etc", "usw")
+    if opener is not None:
+        return opener
+    low = word.rstrip(".").lower()
+    return low in ENDING or not (low in KNOWN or "." in low or len(low) == 1 or ev.continues(word))
 
 
 def split_line(s: str, ev: Evidence) -> list[tuple[int, int]]:
