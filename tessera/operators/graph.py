@@ -49,7 +49,7 @@ def traverse(vertices: DataFrame, edges: DataFrame, starts: DataFrame, depth: in
         nxt = front.join(step, front["id"] == step["src"]).select("start", F.col("dst").alias("id")).distinct()
         front = durable(nxt.join(seen.select("start", "id"), ["start", "id"], "left_anti").withColumn("depth", F.lit(k)), "front")
         seen = seen.unionByName(front)
-    return seen.where("depth > 0")
+    return seen.where("depth > 0").select("start", "id", "depth")
 
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:

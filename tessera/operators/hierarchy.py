@@ -93,7 +93,7 @@ def resolve(rows: DataFrame, id_col: str, parent_col: str, order_cols: list[str]
             F.when(cyclic, F.lit(-1).cast("long")).otherwise(F.col("d") + F.col("w")).alias("depth"),
             (F.when(cyclic, via).otherwise(F.concat("pp", "via", F.array("id"))) if with_path else via).alias("path"),
         )
-        done = done.unionByName(durable(new, "tree"))
+        done = durable(new.unionByName(done), "tree")
     return done if with_path else done.drop("path")
 
 
