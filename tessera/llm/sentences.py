@@ -40,6 +40,9 @@ _WORD = regex.compile(r"\p{L}[\p{L}\p{M}\p{N}'’\-]*(?:\.\p{L}[\p{L}\p{M}]*)*")
 _MARK = regex.compile(r"[.!?…]+|[。！？।॥｡؟۔]+|(?<=\p{Thai}\p{M}*ๆ?) +(?=\p{L}|[“„«(「『（]|\d+年)|[“”„«»()（）「」『』\[\]【】《》‹›｢｣〈〉\"]")
 _LAST = regex.compile(r"[\p{L}\p{M}\p{N}.'’\-]+$")
 _FIRST = regex.compile(r"[\p{L}\p{N}]")
+_GOES_ON = regex.compile(r"\s*[,;:–—]")
+_BLANK = regex.compile(r"\s*")
+_AFTER = regex.compile(r"[,;:–—]|[.!?。！？।]")
 _NEXT = regex.compile(r"\p{L}[\p{L}\p{M}\p{N}'’\-]*")
 
 
@@ -151,9 +154,9 @@ def _pairs(s: str) -> dict[int, int]:
     return out
 
 
-def _ends(s: str, mark: str, a: int, e: int, ev: Evidence) -> bool:
-    """Does the stop s[a:e] end a sentence, given that it stands outside quotations and brackets?"""
-    if e >= len(s) or not s[e:].strip():
+def _ends(s: str, mark: str, a: int, e: int, ev: Evidence, stop: int) -> bool:
+    """Does the stop s[a:e] end a sentence, given that it stands outside quotations and brackets? ``stop`` is where the line's text ends."""
+    if e >= stop:
         return True
     if mark[0] in "。！？।॥｡؟۔":
         return True
@@ -165,7 +168,7 @@ def _ends(s: str, mark: str, a: int, e: int, ev: Evidence) -> bool:
     wide = bool(f) and not f.isdigit() and not f.isupper() and not f.islower()
     if not gap[:1].isspace() and not (gap[:1] in OPEN or (gap == "" and wide)):
         return False
-    if regex.match(r"\s*[,;:–—]", s[e:]):
+    if _GOES_ON.match(s, e):
         return False
     if mark[0] in "!?":
         return not f.islower()
@@ -173,7 +176,8 @@ def _ends(s: str, mark: str, a: int, e: int, ev: Evidence) -> bool:
         return False
     if len(mark) > 1 or mark[0] == "…":
         return True
-    w = _LAST.search(s, 0, a)
+    lo = max(0, a - 80)
+    w = _LAST.search(s[lo:a])
     word = w.group() if w else ""
     if not word:
         return True
@@ -183,7 +187,8 @@ def _ends(s: str, mark: str, a: int, e: int, ev: Evidence) -> bool:
             return len(word) >= 4
         if len(word) > 2:
             return True
-        before = s[: w.start()].rstrip(" ")
+        at = lo + w.start()
+        before = s[max(0, at - 80) : at].rstrip(" ")
         if before.endswith("."):
             return True
         last = _LAST.search(before)
@@ -206,6 +211,7 @@ def split_line(s: str, ev: Evidence) -> list[tuple[int, int]]:
     pairs = _pairs(s)
     closing = {c: o for o, c in pairs.items()}
     cuts: list[int] = []
+    stop = len(s.rstrip())
     start, hold, inner = 0, -1, False  # hold: closing place of the outermost open pair; inner: a stop right before it
     i = 0
 
@@ -232,25 +238,25 @@ def split_line(s: str, ev: Evidence) -> list[tuple[int, int]]:
                 if not inner:
                     continue
                 inner = False
-                rest = s[e:].lstrip(" ")
-                lead = rest[:1]
-                if not rest:
+                on = _BLANK.match(s, e).end()
+                lead = s[on : on + 1]
+                if e >= stop:
                     cut(e)
                 elif s[o] in _BRACKETS:
                     if o == first():
                         cut(e)
-                elif regex.match(r"[,;:–—]|[.!?。！？।]", rest) or lead.islower():
+                elif _AFTER.match(lead) or lead.islower():
                     continue
                 elif o == first():
                     cased = lead.isupper() or lead in OPEN or lead == '"' or lead in "¿¡"
                     if cased:
                         cut(e)
                 else:
-                    before = s[:o].rstrip(" ")[-1:]
+                    before = s[max(0, o - 40) : o].rstrip(" ")[-1:]
                     if before in ":：,，、" or lead.isupper() or lead in OPEN:
                         cut(e)
             elif t[0] in ".!?…。！？।॥｡؟۔":
-                inner = not s[e:hold].strip()
+                inner = _BLANK.match(s, e, hold).end() == hold
             continue
         if t[0] == " ":
             cut(a)
@@ -262,7 +268,7 @@ def split_line(s: str, ev: Evidence) -> list[tuple[int, int]]:
             while e < len(s) and s[e] in CLOSERS and e not in pairs:
                 e += 1
             i = e
-            if _ends(s, t, a, a + len(t) if e == a + len(t) else e, ev):
+            if _ends(s, t, a, e, ev, stop):
                 cut(e)
     cut(len(s))
     out, lo = [], 0
