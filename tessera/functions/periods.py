@@ -37,7 +37,7 @@ def relative_quarter(word: Column, reference: Column) -> Column:
 def from_filename(name: Column) -> Column:
     """The one period a file name holds; '' where it holds none or several."""
     found = F.array_distinct(F.regexp_extract_all(F.upper(name), F.lit(r"(?:FY)?((?:19|20)[0-9]{2}(?:[HQ][1-4])?)"), F.lit(1)))
-    return F.when(F.size(found) == 1, found[0]).otherwise("")
+    return F.when(F.size(found) == 1, F.get(found, F.lit(0))).otherwise("")
 
 
 def label(period_type: Column, period: Column) -> Column:

@@ -47,7 +47,7 @@ def compress(results: DataFrame, query_tokens: str, text_col: str, least: float
     scored = F.transform(parts, lambda s: F.struct(s.alias("s"), F.when(F.size(token_set(s)) > 0, F.size(F.array_intersect(token_set(s), F.col(query_tokens))) / F.size(token_set(s))).otherwise(0.0).alias("c")))
     keep = F.filter("scored", lambda x: x["c"] >= least)
     top = F.array_max(F.transform("scored", lambda x: x["c"]))
-    best = F.filter("scored", lambda x: x["c"] == top)[0]["s"]
+    best = F.get(F.filter("scored", lambda x: x["c"] == top), F.lit(0))["s"]
     out = results.withColumn("scored", scored)
     return out.withColumn("prompt_text", F.when(F.size(keep) > 0, F.array_join(F.transform(keep, lambda x: x["s"]), " ")).otherwise(F.coalesce(best, F.lit("")))).drop("scored")
 

@@ -1 +1 @@
-"""Part of tessera."""
+"""Sources: files as documents, paged HTTP resources, graph tables and JSON lists."""

@@ -1 +1 @@
-"""Part of tessera."""
+"""Streaming twins of ingestion and conversation state."""
