@@ -6,15 +6,20 @@ so a filter is applied before. Scores are rounded before ranking and ties go by
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokens
-from tessera.functions.vectors import cosine
 
 K1, B = 1.5, 0.75
 #: A query side above this many rows is not broadcast.
 BROADCAST_ROWS = 200_000
+#: Queries of one matrix product.
+QUERY_BLOCK = 1024
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -57,13 +62,39 @@ def ranked(scores: DataFrame, k: int | None = None, by: str = "score", key: str
     return out.where(F.col("rank") <= k) if k else out
 
 
-def vector_scores(docs: DataFrame, id_col: str, vec_col: str, queries: DataFrame, query_col: str, query_vec: str) -> DataFrame:
-    """(query_id, id, score) of every document for a stated query set, in blocks; all cosines count, 0 included."""
-    d = docs.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
-    q = queries.select(F.col(query_col).alias("query_id"), F.col(query_vec).alias("q"))
-    bounded = q.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    pairs = d.crossJoin(F.broadcast(q)) if bounded else d.crossJoin(q)
-    return pairs.select("query_id", "id", F.round(cosine(F.col("v"), F.col("q")), 6).alias("score"))
+def vector_topk(docs: DataFrame, id_col: str, vec_col: str, queries: DataFrame, query_col: str, query_vec: str, k: int = 10) -> DataFrame:
+    """(query_id, id, score, rank): the k best cosines of a stated query set against every document, ties by id.
+
+    Query vectors go to the executors in blocks of ``QUERY_BLOCK``. Each batch of documents is one
+    matrix product per block and passes on its own k best only, so the shuffle holds k rows a query and batch.
+    Vectors of another dimension than the query's are an error; zero vectors have cosine 0.
+    """
+    d = docs.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    q = queries.select(F.col(query_col).alias("query_id"), F.col(query_vec).cast("array<double>").alias("v")).where("query_id is not null and v is not null")
+    if q.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        raise ValueError(f"more than {BROADCAST_ROWS} queries; pass them in blocks")
+    rows = q.orderBy("query_id").collect()
+    names = [r.query_id for r in rows]
+    shared = docs.sparkSession.sparkContext.broadcast(np.array([r.v for r in rows], float).reshape(len(rows), -1))
+    unit = lambda m: np.divide(m, (n := np.linalg.norm(m, axis=1, keepdims=True)), out=np.zeros_like(m), where=n > 0)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        qs = unit(shared.value)
+        for pdf in batches:
+            if not len(pdf) or not len(qs):
+                continue
+            pdf = pdf.sort_values("id", ignore_index=True)
+            m = unit(np.array(pdf.v.tolist(), float).reshape(len(pdf), -1))
+            for lo in range(0, len(qs), QUERY_BLOCK):
+                s = np.round(m @ qs[lo : lo + QUERY_BLOCK].T, 6) + 0.0
+                top = np.argsort(-s, axis=0, kind="stable")[:k]
+                cols = np.arange(s.shape[1])
+                yield pd.DataFrame({"q": np.tile(cols + lo, len(top)), "id": pdf.id.to_numpy()[top].ravel(), "score": s[top, cols].ravel()})
+
+    part = d.mapInPandas(run, f"q long, id {dict(d.dtypes)['id']}, score double")
+    best = ranked(part, k, key="q")
+    label = docs.sparkSession.createDataFrame(pd.DataFrame({"q": range(len(names)), "query_id": names}), f"q long, query_id {dict(q.dtypes)['query_id']}")
+    return best.join(F.broadcast(label), "q").select("query_id", "id", "score", "rank")
 
 
 def rrf(rankings: list[DataFrame], k: int = 60, key: str = "query_id") -> DataFrame:
@@ -74,12 +105,12 @@ def rrf(rankings: list[DataFrame], k: int = 60, key: str = "query_id") -> DataFr
     return every.groupBy(key, "id").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("fused"))
 
 
-def hybrid(lexical: DataFrame, dense: DataFrame, k: int = 50) -> DataFrame:
-    """Top k by fused rank with the best score of each channel, 0 where a channel has none."""
-    fused = rrf([ranked(lexical), ranked(dense)])
-    best = lambda s, n: s.groupBy("query_id", "id").agg(F.greatest(F.max("score"), F.lit(0.0)).alias(n))
-    out = fused.join(best(lexical, "bm25"), ["query_id", "id"], "left").join(best(dense, "vector"), ["query_id", "id"], "left")
-    out = out.select("query_id", "id", "fused", F.coalesce("bm25", F.lit(0.0)).alias("bm25"), F.coalesce("vector", F.lit(0.0)).alias("vector"))
+def hybrid(lexical: DataFrame, dense: DataFrame, k: int = 50, c: int = 60) -> DataFrame:
+    """Top k by fused rank with the best score of each channel, 0 where a channel has none; both channels meet in one aggregate."""
+    one = ranked(lexical).select("query_id", "id", "rank", F.col("score").alias("bm25"), F.lit(None).cast("double").alias("vector"))
+    two = ranked(dense).select("query_id", "id", "rank", F.lit(None).cast("double").alias("bm25"), F.col("score").alias("vector"))
+    best = lambda n: F.greatest(F.coalesce(F.max(n), F.lit(0.0)), F.lit(0.0)).alias(n)
+    out = one.unionByName(two).groupBy("query_id", "id").agg(F.round(F.sum(1.0 / (c + F.col("rank"))), 9).alias("fused"), best("bm25"), best("vector"))
     return ranked(out, k, "fused")
 
 

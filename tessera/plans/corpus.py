@@ -108,23 +108,19 @@ _NORM = "(sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) *
 _COSINE = "round(" + _COS.format(n=_NORM) + ", 6)"
 
 
-def _vec(s: SparkSession, d: str) -> DataFrame:
-    e = table(s, d, "embeddings")
-    return retrieval.vector_scores(e, "vec_id", "embedding", e.where("vec_id % 20 = 0"), "vec_id", "embedding")
-
-
 _V = f"v AS (SELECT b.vec_id AS query_id, a.vec_id AS id, {_COSINE} AS score FROM embeddings a JOIN (SELECT * FROM embeddings WHERE vec_id % 20 = 0) b ON true)"
 
 
 @query(f"WITH {_V} SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM v QUALIFY rank <= 10")
 def vector_topk(s: SparkSession, d: str) -> DataFrame:
-    return retrieval.ranked(_vec(s, d), 10)
+    e = table(s, d, "embeddings")
+    return retrieval.vector_topk(e, "vec_id", "embedding", e.where("vec_id % 20 = 0"), "vec_id", "embedding", 10)
 
 
 @query(f"WITH {_V} SELECT query_id, v.id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v.id) AS rank FROM v JOIN embeddings e ON e.vec_id = v.id WHERE e.label = 3 QUALIFY rank <= 5")
 def vector_where_filter(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "embeddings")
-    return retrieval.ranked(retrieval.vector_scores(filters.apply(e, [("label", "eq", 3)]), "vec_id", "embedding", e.where("vec_id % 20 = 0"), "vec_id", "embedding"), 5)
+    return retrieval.vector_topk(filters.apply(e, [("label", "eq", 3)]), "vec_id", "embedding", e.where("vec_id % 20 = 0"), "vec_id", "embedding", 5)
 
 
 _WORDS = f"w AS (SELECT query_id, b.id, round(len(list_intersect({sql_set('q.question')}, {sql_set('b.text')}))::DOUBLE / len({sql_set('q.question')}), 6) AS score FROM q JOIN ({_CORPUS}) b ON true WHERE len({sql_set('q.question')}) > 0)"
