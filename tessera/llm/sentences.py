@@ -40,6 +40,7 @@ _WORD = regex.compile(r"\p{L}[\p{L}\p{M}\p{N}'’\-]*(?:\.\p{L}[\p{L}\p{M}]*)*")
 _MARK = regex.compile(r"[.!?…]+|[。！？।॥｡؟۔]+|(?<=\p{Thai}\p{M}*ๆ?) +(?=\p{L}|[“„«(「『（]|\d+年)|[“”„«»()（）「」『』\[\]【】《》‹›｢｣〈〉\"]")
 _LAST = regex.compile(r"[\p{L}\p{M}\p{N}.'’\-]+$")
 _FIRST = regex.compile(r"[\p{L}\p{N}]")
+_YEAR = regex.compile(r"\s*\d+年")
 _GOES_ON = regex.compile(r"\s*[,;:–—]")
 _BLANK = regex.compile(r"\s*")
 _AFTER = regex.compile(r"[,;:–—]|[.!?。！？।]")
@@ -91,7 +92,7 @@ def count_tokens(text: str, into: Counter) -> None:
         if dot:
             f = s[b + 1 : b + 4].lstrip(" ")
             if f and s[b + 1] in " ,;:":
-                c = f[0]
+                c = "年" if _YEAR.match(s, b + 1) else f[0]
                 into["l" if c.islower() or c in ",;:" else "d" if c.isdigit() else "u" if c.isupper() else "o", low] += 1
             elif not f or f[0] == "\n":
                 into["o", low] += 1
@@ -108,7 +109,9 @@ class Evidence:
         self.own: Counter = Counter()
 
     def of(self, kind: str, word: str) -> int:
-        return 4 * self.own.get((kind, word), 0) + self.corpus.get((kind, word), 0)
+        """Occurrences; those of the document weigh four times, but a digit after a long word there may be the very case in question."""
+        own = 0 if kind == "d" and len(word) > 4 else self.own.get((kind, word), 0)
+        return 4 * own + self.corpus.get((kind, word), 0)
 
     def opener(self, word: str) -> bool | None:
         s, m = self.of("S", word), self.of("M", word)
@@ -165,7 +168,7 @@ def _ends(s: str, mark: str, a: int, e: int, ev: Evidence, stop: int) -> bool:
     if not nxt:
         return True
     gap = s[e : nxt.start()]
-    wide = bool(f) and not f.isdigit() and not f.isupper() and not f.islower()
+    wide = not f.isdigit() and not f.isupper() and not f.islower() or bool(_YEAR.match(s, e))
     if not gap[:1].isspace() and not (gap[:1] in OPEN or (gap == "" and wide)):
         return False
     if _GOES_ON.match(s, e):
@@ -183,7 +186,7 @@ def _ends(s: str, mark: str, a: int, e: int, ev: Evidence, stop: int) -> bool:
         return True
     follower = m.group() if (m := _NEXT.match(s, nxt.start())) else ""
     if word.replace(".", "").replace(",", "").isdigit():
-        if f.isdigit():
+        if f.isdigit() and not wide:
             return len(word) >= 4
         if len(word) > 2:
             return True
@@ -195,7 +198,7 @@ def _ends(s: str, mark: str, a: int, e: int, ev: Evidence, stop: int) -> bool:
         return bool(before) and not (last and last.group() in BEFORE_ORDINAL)
     if not ev.abbreviation(word):
         return True
-    if f.isdigit():
+    if f.isdigit() and not wide:
         return False
     if wide or not f:
         return not ev.continues(word)
