@@ -26,6 +26,8 @@ from tessera.session import width
 
 #: Labelled rows per language the models are fitted to.
 SAMPLE = 500
+#: Longest text of the sample, so that its size is bounded; such texts are used whole.
+LONGEST = 4000
 ORDER = 4
 # Names of the languages as written in labels.
 NAMES = {
@@ -254,15 +256,15 @@ def whole(units: list[tuple[int, int, str | None, float, bool]]) -> tuple[str |
 
 
 def labelled_sample(rows: DataFrame, per_language: int = SAMPLE) -> list[tuple[str, str]]:
-    """At most ``per_language`` (code, text) rows of each single-language label, by hash of the key; all that is gathered is so bounded."""
-    keyed = rows.where("text is not null and trim(text) <> ''").withColumn("code", label_column("label")).where(F.length("code") == 2)
+    """At most ``per_language`` (code, text) rows of each single-language label, by hash of the key, among texts of at most ``LONGEST`` characters; all that is gathered is so bounded."""
+    keyed = rows.where("text is not null and trim(text) <> ''").where(F.char_length("text") <= LONGEST).withColumn("code", label_column("label")).where(F.length("code") == 2)
     counts = {r.code: r["count"] for r in keyed.groupBy("code").count().collect()}
     if not counts:
         return []
     share = F.create_map(*[x for c, n in counts.items() for x in (F.lit(c), F.lit(int(1e6 * min(1.0, 1.5 * per_language / n))))])
     some = keyed.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < share[F.col("code")])
     rank = F.row_number().over(Window.partitionBy("code").orderBy(F.xxhash64("key"), "key", "text"))
-    picked = some.withColumn("r", rank).where(F.col("r") <= per_language).select("code", F.substring("text", 1, 4000).alias("text"))
+    picked = some.withColumn("r", rank).where(F.col("r") <= per_language).select("code", "text")
     return [(r.code, r.text) for r in picked.collect()]
 
 
