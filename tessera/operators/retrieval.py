@@ -38,16 +38,18 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def bm25(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame) -> DataFrame:
-    """(query_id, id, score), positive scores only; term statistics are pre-aggregated and joined on the term."""
-    post = postings(docs, id_col, text_col)
-    size = lengths(docs, id_col, text_col)
-    stats = size.agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
+    """(query_id, id, score), positive scores only.
+
+    Words no query asks for leave before the first shuffle, the length travels with the word, and
+    document frequencies are pre-aggregated and joined on the term.
+    """
+    words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("tk"))
+    stats = words.agg(F.count("*").alias("n"), (F.sum(F.size("tk")) / F.count("*")).alias("avgdl"))
     wanted = terms.select("term").distinct()
-    hits = post.join(wanted, "term", "left_semi")
+    hits = words.select("id", F.size("tk").alias("dl"), F.explode("tk").alias("term")).join(wanted, "term", "left_semi").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     scored = (
         hits.join(df, "term")
-        .join(size, "id")
         .crossJoin(F.broadcast(stats))
         .withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
         .withColumn("w", F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
@@ -75,7 +77,7 @@ def vector_topk(docs: DataFrame, id_col: str, vec_col: str, queries: DataFrame,
         raise ValueError(f"more than {BROADCAST_ROWS} queries; pass them in blocks")
     rows = q.orderBy("query_id").collect()
     names = [r.query_id for r in rows]
-    shared = docs.sparkSession.sparkContext.broadcast(np.array([r.v for r in rows], float).reshape(len(rows), -1))
+    shared = docs.sparkSession.sparkContext.broadcast(np.array([r.v for r in rows], float) if rows else np.zeros((0, 1)))
     unit = lambda m: np.divide(m, (n := np.linalg.norm(m, axis=1, keepdims=True)), out=np.zeros_like(m), where=n > 0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

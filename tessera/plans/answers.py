@@ -75,16 +75,17 @@ def conversation_carry_forward(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT DISTINCT parent_id AS src, chunk_id AS dst FROM narrative_chunk WHERE active = 1 AND seq < 6 AND parent_id LIKE '%#c%' AND split_part(parent_id, '#c', 1) = doc_id AND split_part(parent_id, '#c', 2)::INT < seq),
- n AS (SELECT DISTINCT chunk_id AS id FROM narrative_chunk WHERE active = 1 AND seq < 6),
- l AS (SELECT id, 0 AS level FROM n UNION SELECT e.dst, l.level + 1 FROM l JOIN e ON e.src = l.id) SELECT id, max(level)::INT AS level FROM l GROUP BY id"""
+    """WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders UNION ALL SELECT 'n' || c_nationkey, 'o' || o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey),
+ n AS (SELECT src AS id FROM e UNION SELECT dst FROM e), l AS (SELECT id, 0 AS level FROM n UNION SELECT e.dst, l.level + 1 FROM l JOIN e ON e.src = l.id) SELECT id, max(level)::INT AS level FROM l GROUP BY id"""
 )
 def topo_layers(s: SparkSession, d: str) -> DataFrame:
-    """Longest-path levels of the forward parent links of the first chunks of every file."""
-    c = table(s, d, "narrative_chunk").where("active = 1 and seq < 6").select("chunk_id", "doc_id", "seq", "parent_id").distinct()
-    part = F.split("parent_id", "#c")
-    e = c.where(F.col("parent_id").contains("#c")).where((part[0] == F.col("doc_id")) & (part[1].try_cast("int") < F.col("seq")))
-    return workflow.layers_table(c.select(F.col("chunk_id").alias("id")).distinct(), e.select(F.col("parent_id").alias("src"), F.col("chunk_id").alias("dst")).distinct())
+    """Longest-path levels of the graph region, nation, customer, order with a second way from nation to order."""
+    link = lambda df, a, x, b, y: df.select(F.concat(F.lit(a), F.col(x).cast("string")).alias("src"), F.concat(F.lit(b), F.col(y).cast("string")).alias("dst"))
+    c, o = table(s, d, "customer"), table(s, d, "orders")
+    e = link(table(s, d, "nation"), "r", "n_regionkey", "n", "n_nationkey").unionByName(link(c, "n", "c_nationkey", "c", "c_custkey")).unionByName(link(o, "c", "o_custkey", "o", "o_orderkey"))
+    e = e.unionByName(link(o.join(c, F.col("o_custkey") == F.col("c_custkey")), "n", "c_nationkey", "o", "o_orderkey"))
+    nodes = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
+    return workflow.layers_table(nodes, e.distinct())
 
 
 @query("SELECT o_orderkey, CASE WHEN o_totalprice > 250000 THEN 'large' WHEN starts_with(o_orderpriority, '1') THEN 'urgent' ELSE 'other' END AS branch, CASE WHEN o_totalprice > 250000 THEN round(o_totalprice / 2, 2) ELSE round(o_totalprice, 2) END AS amount FROM orders")
