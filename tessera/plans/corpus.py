@@ -424,3 +424,64 @@ def relative_period(s: SparkSession, d: str) -> DataFrame:
 @query("""WITH f AS (SELECT doc_id, source_path, list_distinct(regexp_extract_all(upper(doc_id), '(?:FY)?((?:19|20)[0-9]{2}(?:[HQ][1-4])?)', 1)) AS l FROM narrative_doc) SELECT doc_id, source_path, CASE WHEN len(l) = 1 THEN l[1] ELSE '' END AS period FROM f""")
 def period_from_filename(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "narrative_doc").select("doc_id", "source_path", periods.from_filename(F.col("doc_id")).alias("period"))
+
+
+_CLEAN = "lower(trim(regexp_replace({0}, '\\s+', ' ', 'g'), ' '))"
+
+
+@query(
+    f"""WITH w AS (SELECT {_CLEAN.format('name_en')} AS w, metric_code FROM metric_def UNION SELECT {_CLEAN.format('name_zh')}, metric_code FROM metric_def UNION SELECT lower(metric_code), metric_code FROM metric_def),
+ f AS (SELECT fact_id, {_CLEAN.format('raw_label')} AS a, {_CLEAN.format("regexp_replace(raw_label, '[(（【].*$', '')")} AS b FROM fact_metric)
+SELECT fact_id, coalesce(x.metric_code, y.metric_code) AS code FROM f LEFT JOIN w x ON x.w = a LEFT JOIN w y ON y.w = b"""
+)
+def normalize_metric(s: SparkSession, d: str) -> DataFrame:
+    """Row labels to metric codes: the whole label, else the label without what follows a bracket; null where neither is a name."""
+    m = table(s, d, "metric_def")
+    words = m.select(text.clean(F.col("name_en")).alias("w"), "metric_code").union(m.select(text.clean(F.col("name_zh")), "metric_code")).union(m.select(F.lower("metric_code"), "metric_code")).distinct()
+    f = table(s, d, "fact_metric").select("fact_id", text.clean(F.col("raw_label")).alias("a"), text.clean(F.regexp_replace("raw_label", "[(（【].*$", "")).alias("b"))
+    x = words.select(F.col("w").alias("a"), F.col("metric_code").alias("x"))
+    y = words.select(F.col("w").alias("b"), F.col("metric_code").alias("y"))
+    return f.join(x, "a", "left").join(y, "b", "left").select("fact_id", F.coalesce("x", "y").alias("code"))
+
+
+@query(
+    _TOP
+    + f""", g AS (SELECT query_id, list_distinct(flatten(list({sql_set('c.text')}))) AS seen FROM t JOIN retrieval_ab_corpus c ON c.doc_id = t.id WHERE rank <= 5 GROUP BY query_id)
+SELECT q.query_id, CASE WHEN len({sql_set('question')}) = 0 THEN 1.0 WHEN seen IS NULL THEN 0.0 ELSE round(len(list_intersect({sql_set('question')}, seen))::DOUBLE / len({sql_set('question')}), 6) END AS grade FROM q LEFT JOIN g USING (query_id)"""
+)
+def relevance_grade(s: SparkSession, d: str) -> DataFrame:
+    """Share of the question's words found in its five best texts together."""
+    texts = _corpus(s, d).select(F.col("doc_id").alias("id"), text.token_set(F.col("text")).alias("t"))
+    seen = _top(s, d).where("rank <= 5").join(texts, "id").groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("t"))).alias("seen"))
+    q = _questions(s, d).select("query_id", text.token_set(F.col("question")).alias("q")).join(seen, "query_id", "left")
+    grade = F.when(F.size("q") == 0, 1.0).when(F.col("seen").isNull(), 0.0).otherwise(F.round(F.size(F.array_intersect("q", "seen")) / F.size("q"), 6))
+    return q.select("query_id", grade.alias("grade"))
+
+
+@query(
+    f"""WITH {_bm25_sql(_CORPUS)}, m AS (SELECT query_id, max(score) AS top FROM b GROUP BY 1)
+SELECT query_id, b.id, round(0.62 * len(list_intersect({sql_set('question')}, {sql_set('c.text')}))::DOUBLE / greatest(len({sql_set('question')}), 1) + 0.38 * score / top, 4) AS confidence,
+ row_number() OVER (PARTITION BY query_id ORDER BY round(0.62 * len(list_intersect({sql_set('question')}, {sql_set('c.text')}))::DOUBLE / greatest(len({sql_set('question')}), 1) + 0.38 * score / top, 4) DESC, b.id) AS rank
+FROM b JOIN m USING (query_id) JOIN q USING (query_id) JOIN retrieval_ab_corpus c ON c.doc_id = b.id QUALIFY rank <= 3"""
+)
+def template_confidence(s: SparkSession, d: str) -> DataFrame:
+    """Match confidence: 0.62 of the word overlap and 0.38 of the score against the best one; three best per query."""
+    from pyspark.sql import Window
+
+    q = _questions(s, d)
+    b = retrieval.bm25(_corpus(s, d), "doc_id", "text", retrieval.query_terms(q, "query_id", "question"))
+    top = b.groupBy("query_id").agg(F.max("score").alias("top"))
+    c = _corpus(s, d).select(F.col("doc_id").alias("id"), text.token_set(F.col("text")).alias("t"))
+    j = b.join(top, "query_id").join(q.select("query_id", text.token_set(F.col("question")).alias("q")), "query_id").join(c, "id")
+    conf = F.round(0.62 * F.size(F.array_intersect("q", "t")) / F.greatest(F.size("q"), F.lit(1)) + 0.38 * F.col("score") / F.col("top"), 4)
+    out = j.select("query_id", "id", conf.alias("confidence"))
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("confidence"), "id"))).where("rank <= 3")
+
+
+@query()
+def semantic_segments(s: SparkSession, d: str) -> DataFrame:
+    """Segments of documents cut where neighbouring paragraphs share little; a paragraph's vector counts its letters a to z."""
+    p = chunking.paragraphs(table(s, d, "documents"), "doc_id", "text")
+    low = F.lower("text")
+    v = F.array(*[(F.char_length(low) - F.char_length(F.replace(low, F.lit(x), F.lit("")))).cast("double") for x in "abcdefghijklmnopqrstuvwxyz"])
+    return chunking.semantic_cuts(p.select("id", "para", v.alias("v")))
