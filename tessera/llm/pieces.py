@@ -9,6 +9,7 @@ Consecutive pieces overlap by whole units of the level they were cut at, up to t
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -89,8 +90,8 @@ def _words(text: str, a: int, b: int, limit: int) -> list[tuple[int, int, int]]:
 
 def _sentences(text: str, a: int, b: int, limit: int, units: list[Span]) -> list[tuple[int, int, int]]:
     parts = []
-    for x, y in units:
-        if x >= a and y <= b:
+    for x, y in units[bisect_left(units, (a, 0)) : bisect_left(units, (b, 0))]:
+        if y <= b:
             parts += _words(text, x, y, limit) if y - x > limit else [(x, y, 1)]
     return _merge(parts, limit)
 
@@ -166,9 +167,10 @@ def split_oversized(
                     if line.strip():
                         lines.append((at, at + len(line)))
                     at += len(line) + 1
+                ends = [y for _, y in lines]
                 for k, (a, b, v) in enumerate(pack(t, limit, overlap, ev)):
-                    hit = [j for j, (x, y) in enumerate(lines) if x < b and y > a]
-                    lo, hi = (hit[0], hit[-1]) if hit else (0, 0)
+                    hi = max(0, bisect_left(lines, (b, 0)) - 1)
+                    lo = min(hi, max(0, bisect_right(ends, a)))
                     out.append((i, k, a + 1, b, p + lo, p + hi, v, t[a:b]))
             yield pd.DataFrame(out, columns=["id", "piece_no", "start_pos", "end_pos", "para_from", "para_to", "level", "piece"])
 
