@@ -248,6 +248,15 @@ def connected_components(s: SparkSession, d: str) -> DataFrame:
     return graph.components(e, ids)
 
 
+@query()
+def connected_components_linked(s: SparkSession, d: str) -> DataFrame:
+    """Groups of active chunks tied by any parent link, inside a file or across files."""
+    a = table(s, d, "narrative_chunk").where("active = 1").select("chunk_id", "parent_id").distinct()
+    ids = a.select(F.col("chunk_id").alias("id")).distinct()
+    e = a.select(F.col("chunk_id").alias("src"), F.col("parent_id").alias("dst")).join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return graph.components(e, ids)
+
+
 @query("SELECT r AS src, m AS dst, 'mentions' AS type, any_value(e) AS entity_type FROM (SELECT doc_id AS r, name AS m, arg_max(entity_type, ent_id) AS e FROM graph_entity GROUP BY 1, 2) GROUP BY 1, 2")
 def relation_edges(s: SparkSession, d: str) -> DataFrame:
     """Document mentions entity, the last mention wins."""
