@@ -2,8 +2,10 @@
 
 Running headers and page numbers are taken out, the lines become one stream, and the stream is
 decoded by a shortest path over words: a word may stand as it is, be a confusion of a known
-word, be joined with the next across a line end (with or without a hyphen) or be two known
-words run together. What is known comes from the counts of all words of files that are not
+word, be joined with the next across a line end (with or without a hyphen) or across a blank
+inside a line, or be two known words run together. Two words are taken apart only if clean files
+have them side by side, else every compound of two known words would be; halves parted by a blank
+are put together only if one of them is unknown and the whole is known as it stands. What is known comes from the counts of all words of files that are not
 scans; the words of the scans, their joins and their possible readings are looked up in these
 counts by joins on distinct strings, so neither table is ever gathered or broadcast. Paragraph
 boundaries are then chosen by dynamic programming over the lines.
@@ -32,6 +34,7 @@ _NUMERAL = regex.compile(r"(?<![\p{L}\p{N}.,])[\dOZSBlI|]+(?:[.,][\dOZSBlI|]+)*(
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 LEAST = 2
 MOST_CHANGES = 3
+TORN = 4.5  # price of two words run together, or of one word parted by a blank: above a word with one confusion beside a known one, below an unknown word
 
 
 def fold(word: str) -> str:
@@ -73,6 +76,25 @@ def readings(word: str) -> dict[str, int]:
     return out
 
 
+def halves(word: str) -> list[str]:
+    """All ways to take a word of letters apart, with a blank between the halves."""
+    return [f"{word[:k]} {word[k:]}" for k in range(1, len(word))] if word.isalpha() else []
+
+
+def _side_by_side(line: str) -> Iterator[tuple[str, str]]:
+    """Words of letters with nothing but blanks between them."""
+    last = None
+    for m in WORD.finditer(line):
+        if last and m.group().isalpha() and last.group().isalpha() and line[last.end() : m.start()].isspace():
+            yield last.group(), m.group()
+        last = m
+
+
+def _torn(a: str, b: str) -> bool:
+    """Can two words on a line be one that a blank parts, by their case?"""
+    return not b[0].isupper() or a.isupper() and b.isupper()
+
+
 def page_of(locator: str | None) -> int | None:
     m = regex.search(r"(?:page=|;p|\bp\.? ?)(\d+)", locator or "")
     return int(m.group(1)) if m else None
@@ -201,10 +223,17 @@ def strings(lines: list[str]) -> set[str]:
     return {w for w in out if len(w) <= 60}
 
 
+def torn(lines: list[str]) -> set[str]:
+    """Neighbours on a line as one word, to be looked up as they stand."""
+    out = {(a + b).lower() for line in lines for a, b in _side_by_side(line) if _torn(a, b)}
+    return {w for w in out if len(w) <= 60}
+
+
 class Lexicon:
-    """What was looked up for one text: count of a string, and its best reading."""
+    """What was looked up for one text: count of a string, its best reading, and the length of the first of two words run together."""
 
-    def __init__(self, rows: list[tuple[str, int, str | None, int]]):
+    def __init__(self, rows: list[tuple[str, int, str | None, int]], apart: dict[str, int] | None = None):
+        self.apart = apart or {}
         self.n = {w: n for w, n, _, _ in rows}
         self.best = {w: b for w, _, b, _ in rows if b}
         self.cost = {w: c for w, _, b, c in rows if b}
@@ -242,6 +271,7 @@ def decode(lines: list[str], lex: Lexicon) -> tuple[list[str], bool, bool]:
         words += [(i, *m.span(), m.group()) for m in WORD.finditer(line)]
     ends = {i: (a, mark, b) for i, a, mark, b in _breaks(lines)}
     n = len(words)
+    line_blank = lambda k: lines[words[k][0]][words[k][2] : words[k + 1][1]].isspace()
     best = [0.0] + [1e9] * n
     came: list[tuple] = [()] * (n + 1)
     for k in range(n):
@@ -249,6 +279,11 @@ def decode(lines: list[str], lex: Lexicon) -> tuple[list[str], bool, bool]:
         price, reading = lex.price(w)
         if best[k] + price < best[k + 1]:
             best[k + 1], came[k + 1] = best[k] + price, ("word", k, reading)
+        if w.lower() in lex.apart and not lex.known(w) and best[k] + TORN < best[k + 1]:
+            best[k + 1], came[k + 1] = best[k] + TORN, ("split", k, lex.apart[w.lower()])
+        if k + 1 < n and words[k + 1][0] == i and w.isalpha() and words[k + 1][3].isalpha() and line_blank(k) and _torn(w, words[k + 1][3]):
+            if lex.n.get((w + words[k + 1][3]).lower(), 0) > LEAST and not (lex.known(w) and lex.known(words[k + 1][3])) and best[k] + TORN < best[k + 2]:
+                best[k + 2], came[k + 2] = best[k] + TORN, ("merge", k)
         if k + 1 < n and words[k + 1][0] > i and i in ends and ends[i][0] == w and words[k + 1][3].startswith(ends[i][2]):
             mark, nxt = ends[i][1], words[k + 1][3]
             joined = w + nxt
@@ -289,10 +324,19 @@ def decode(lines: list[str], lex: Lexicon) -> tuple[list[str], bool, bool]:
                 char = True
                 edits.setdefault(i, []).append((a, e, _like(w, step[2])))
             continue
+        if step[0] == "split":
+            edits.setdefault(i, []).append((a, e, f"{w[: step[2]]} {w[step[2] :]}"))
+            continue
         j, a2, e2, w2 = words[k + 1]
+        if step[0] == "merge":
+            edits.setdefault(i, []).append((a, e2, w + w2))
+            continue
         char |= bool(step[2])
         hyphen |= bool(step[3])
-        edits.setdefault(i, []).append((a, len(lines[i]), _like(w, step[2]) if step[2] else w + w2))
+        whole, k2 = w + w2, lex.apart.get((w + w2).lower(), 0)
+        if k2 not in (0, len(w)) and not lex.known(whole):  # at len(w) the line end itself parts the two words
+            whole = f"{whole[:k2]} {whole[k2:]}"
+        edits.setdefault(i, []).append((a, len(lines[i]), _like(w, step[2]) if step[2] else whole))
         moved[j] = (e2, "")
         edits.setdefault(j, []).append((a2, e2, ""))
     out = []
@@ -368,7 +412,7 @@ def paragraphs(lines: list[str]) -> list[str]:
 
 
 def lexicon(texts: DataFrame) -> DataFrame:
-    """(word, n) of all words and hyphenated compounds of clean texts, counted in each batch before the shuffle."""
+    """(word, n) of all words, hyphenated compounds and pairs of neighbours of clean texts, counted in each batch before the shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c: Counter = Counter()
@@ -381,6 +425,9 @@ def lexicon(texts: DataFrame) -> DataFrame:
                         c[fold(w)] += 1
                 for w in _COMPOUND.findall(s):
                     c[w.lower()] += 1
+                for line in s.split("\n"):
+                    for a, b in _side_by_side(line):
+                        c[f"{a} {b}".lower()] += 1
             if len(c) > 300_000:
                 yield pd.DataFrame({"word": list(c), "n": list(c.values())})
                 c = Counter()
@@ -422,10 +469,11 @@ def repair(scans: DataFrame, clean: DataFrame) -> DataFrame:
             out = []
             for row, c, d, ti, loc, t, rep in zip(pdf.row, pdf.chunk_id, pdf.doc_id, pdf.title, pdf.source_locator, pdf.text, pdf.repeated):
                 lines, head, number = lines_of(t, ti, d, page_of(loc), frozenset(rep if rep is not None else ()))
-                out.append((row, c, lines, head, number, sorted(strings(lines))))
-            yield pd.DataFrame(out, columns=["row", "chunk_id", "lines", "header", "pageno", "needs"])
+                needs = strings(lines)
+                out.append((row, c, lines, head, number, sorted(needs), sorted(torn(lines) - needs)))
+            yield pd.DataFrame(out, columns=["row", "chunk_id", "lines", "header", "pageno", "needs", "torn"])
 
-    schema = "row long, chunk_id string, lines array<string>, header boolean, pageno boolean, needs array<string>"
+    schema = "row long, chunk_id string, lines array<string>, header boolean, pageno boolean, needs array<string>, torn array<string>"
     ready = durable(base.repartition(n, "row").mapInPandas(prepare, schema), "scan")
     lex = durable(lexicon(clean), "lexicon")
     asked = ready.select("row", F.explode("needs").alias("word"))
@@ -434,26 +482,34 @@ def repair(scans: DataFrame, clean: DataFrame) -> DataFrame:
 
     def guess(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(w, r, k) for w in pdf.word for r, k in readings(w).items()]
+            rows = [(w, r, k) for w in pdf.word for r, k in readings(w).items()] + [(w, r, 0) for w in pdf.word for r in halves(w)]
             yield pd.DataFrame(rows, columns=["word", "reading", "cost"])
 
     guesses = known.where(F.col("n") < LEAST).select("word").repartition(n).mapInPandas(guess, "word string, reading string, cost int")
     found = guesses.join(lex.select(F.col("word").alias("reading"), F.col("n").alias("rn")), "reading").where(F.col("rn") >= LEAST + 1)
-    best = found.groupBy("word").agg(F.max_by(F.struct("reading", "cost"), F.struct(-F.col("cost"), F.col("rn"), F.col("reading"))).alias("b"))
-    facts = known.join(best, "word", "left").select("word", "n", F.col("b.reading").alias("best"), F.coalesce("b.cost", F.lit(0)).alias("cost"))
-    joins = ready.select("row", F.explode("needs").alias("word")).join(facts, "word")
-    own = joins.groupBy("row").agg(F.collect_list(F.struct("word", "n", "best", "cost")).alias("facts"))
+    two = F.col("reading").contains(" ")
+    order = F.struct(-F.col("cost"), F.col("rn"), F.col("reading"))
+    best = found.groupBy("word").agg(
+        F.max_by(F.when(~two, F.struct("reading", "cost")), F.when(~two, order)).alias("b"), F.max_by(F.when(two, F.instr("reading", " ") - 1), F.when(two, order)).alias("apart")
+    )
+    facts = known.join(best, "word", "left").select("word", "n", F.col("b.reading").alias("best"), F.coalesce("b.cost", F.lit(0)).alias("cost"), F.coalesce("apart", F.lit(0)).alias("apart"))
+    whole = ready.select("row", F.explode("torn").alias("word"))
+    seen = whole.select("word").distinct().join(lex, "word").where(F.col("n") > LEAST)
+    whole = whole.join(seen, "word").select("word", "row", "n", F.lit(None).cast("string").alias("best"), F.lit(0).alias("cost"), F.lit(0).alias("apart"))
+    joins = ready.select("row", F.explode("needs").alias("word")).join(facts, "word").unionByName(whole)
+    own = joins.groupBy("row").agg(F.collect_list(F.struct("word", "n", "best", "cost", "apart")).alias("facts"))
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for c, lines, head, number, facts in zip(pdf.chunk_id, pdf.lines, pdf.header, pdf.pageno, pdf.facts):
-                know = Lexicon([(f["word"], f["n"], f["best"], f["cost"]) for f in facts] if facts is not None else [])
+                facts = facts if facts is not None else []
+                know = Lexicon([(f["word"], f["n"], f["best"], f["cost"]) for f in facts], {f["word"]: f["apart"] for f in facts if f["apart"]})
                 fixed, hyphen, char = decode(list(lines), know)
                 out.append((c, "\n\n".join(paragraphs(fixed)), head, number, hyphen, char))
             yield pd.DataFrame(out, columns=["chunk_id", "text", "header", "pageno", "hyphen", "char"])
 
-    todo = ready.drop("needs").join(own, "row", "left")
+    todo = ready.drop("needs", "torn").join(own, "row", "left")
     return todo.mapInPandas(solve, "chunk_id string, text string, header boolean, pageno boolean, hyphen boolean, char boolean")
 
 

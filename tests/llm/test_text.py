@@ -241,6 +241,20 @@ def test_repair(spark):
     assert {tuple(r) for r in scans.noise(out).collect()} == {("a", "header"), ("a", "pageno"), ("a", "hyphen"), ("a", "char")}
 
 
+def test_repair_words_run_together_and_parted(spark):
+    clean = [("The claims ratio of the premium reserve fell because the boatyard closed; input and output rose.",)] * 6
+    rows = [
+        ("a", "D_2019_Board_1.pdf", None, None, "The Claimsratio of the pre mium reserve fell."),
+        ("b", "D_2019_Board_1.pdf", None, None, "The reserveinput of the boat yard fell."),  # never side by side: a compound; "boat" is unknown
+        ("c", "D_2019_Board_1.pdf", None, None, "The in put and the Pre Mium and the c1aims rati-\no rose, cla im s too."),
+    ]
+    df = spark.createDataFrame(rows, "chunk_id string, doc_id string, title string, source_locator string, text string")
+    got = {r.chunk_id: (r.text, r.hyphen, r.char) for r in scans.repair(df, spark.createDataFrame(clean, "text string")).collect()}
+    assert got["a"] == ("The Claims ratio of the premium reserve fell.", False, False)
+    assert got["b"] == ("The reserveinput of the boatyard fell.", False, False)
+    assert got["c"] == ("The input and the Pre Mium and the claims ratio rose, cla im s too.", True, True)
+
+
 # --- personal data
 
 
