@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import periods, text, vectors
 from tessera.operators import chunking, evaluation, filters, post, retrieval
-from tessera.session import table
+from tessera.session import table, width
 
 H = r"[\x{4E00}-\x{9FFF}]"
 
@@ -401,6 +401,32 @@ def sparse_dot_score(s: SparkSession, d: str) -> DataFrame:
     return t.join(q, "term").groupBy("doc_id").agg(F.round(F.sum(F.col("w") * F.col("qw")), 6).alias("score"))
 
 
+@query(
+    """WITH s AS (SELECT vec_id, label, list_transform(range(0, len(embedding), 16), lambda k: embedding[k + 1:k + 16])::DOUBLE[][] AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+ m AS (SELECT b.vec_id AS query_id, a.vec_id, list_sum(list_transform(b.x, lambda q: list_max(list_transform(a.x, lambda x: list_dot_product(q, x) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(x, x))))))) AS v FROM s a JOIN s b ON b.vec_id % 20 = 0)
+SELECT query_id, vec_id, round(v, 6) AS score FROM m"""
+)
+def maxsim_score_all(s: SparkSession, d: str) -> DataFrame:
+    """Late interaction of all slices of every vector whose id is divisible by 20 with all slices of every vector."""
+    e = table(s, d, "embeddings").where("vec_id is not null and size(embedding) > 0")
+    parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size("embedding") / 16).cast("int") - 1), lambda k: F.slice("embedding", 16 * k + 1, 16))
+    docs = e.select("vec_id", parts.alias("x")).repartition(width(s))
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), parts.alias("q"))
+    return docs.crossJoin(q).select("query_id", "vec_id", F.round(vectors.maxsim(F.col("q"), F.col("x")), 6).alias("score"))
+
+
+@query(
+    r"""WITH t AS (SELECT doc_id, term, count(*)::DOUBLE AS w FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM retrieval_ab_corpus) GROUP BY ALL)
+SELECT b.doc_id AS query_id, a.doc_id, round(sum(a.w * b.w), 6) AS score FROM t a JOIN t b ON a.term = b.term WHERE TRY_CAST(right(regexp_replace(b.doc_id, '[^0-9]', '', 'g'), 2) AS INT) % 20 = 0 GROUP BY ALL"""
+)
+def sparse_dot_score_all(s: SparkSession, d: str) -> DataFrame:
+    """Learned-sparse style score of all texts against every text whose id, read by its digits, is divisible by 20."""
+    t = _corpus(s, d).select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").cast("double").alias("w"))
+    number = F.right(F.regexp_replace("doc_id", "[^0-9]", ""), F.lit(2)).try_cast("int")
+    q = t.where(number % 20 == 0).select(F.col("doc_id").alias("query_id"), "term", F.col("w").alias("qw"))
+    return t.join(q, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("qw")), 6).alias("score"))
+
+
 @query(
     """WITH v(raw) AS (VALUES ('2024'), ('FY2024'), ('fy 2023 h1'), ('2022Q3'), ('2022 q5'), ('H1 2024'), ('二零二四'), ('')),
  s AS (SELECT raw, replace(upper(regexp_replace(raw, '\\s+', '', 'g')), 'FY', '') AS p FROM v)

@@ -1,6 +1,10 @@
-"""Queries of the stores against brute force on small tables."""
+"""Queries of the stores and the corpus against brute force on small tables."""
 
-from tessera.plans import stores
+import math
+import random
+from collections import Counter
+
+from tessera.plans import corpus, stores
 
 
 def written(spark, tmp_path, name, rows, schema):
@@ -25,3 +29,23 @@ def test_components_span_files(spark, tmp_path):
             root[max(x, y)] = min(x, y)
     got = {r.id: r.component for r in stores.connected_components_linked(spark, d).collect()}
     assert got == {c: top(c) for c in ids} and got["b#c2"] == "a#c1"
+
+
+def test_maxsim_reads_whole_vectors_for_all_queries(spark, tmp_path):
+    r = random.Random(5)
+    rows = [(i, [r.uniform(-1, 1) for _ in range(64)]) for i in range(41)]
+    rows[1] = (1, rows[0][1][:48] + [-x for x in rows[0][1][48:]])  # differs from 0 in the last slice only
+    d = written(spark, tmp_path, "embeddings", rows, "vec_id long, embedding array<double>")
+    cut = lambda v: [v[k : k + 16] for k in range(0, 64, 16)]
+    cos = lambda a, b: sum(map(lambda x, y: x * y, a, b)) / math.hypot(*a) / math.hypot(*b)
+    want = {(q, i): sum(max(cos(x, y) for y in cut(v)) for x in cut(rows[q][1])) for q in (0, 20, 40) for i, v in rows}
+    got = {(x.query_id, x.vec_id): x.score for x in corpus.maxsim_score_all(spark, d).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want) and got[0, 0] > got[0, 1]
+
+
+def test_sparse_dot_asks_every_twentieth(spark, tmp_path):
+    texts = {"c-00.txt": "a b a", "c-01.txt": "b a", "c-20.txt": "b b c", "c-40.txt": "", "x": "c"}
+    d = written(spark, tmp_path, "retrieval_ab_corpus", [(k, v, "en", "E", "G") for k, v in texts.items()], "doc_id string, text string, language string, entity string, geography string")
+    bags = {k: Counter(v.split()) for k, v in texts.items()}
+    dots = {(q, k): float(sum(n * bags[q][w] for w, n in b.items())) for q in ("c-00.txt", "c-20.txt", "c-40.txt") for k, b in bags.items()}
+    assert {(x.query_id, x.doc_id): x.score for x in corpus.sparse_dot_score_all(spark, d).collect()} == {k: v for k, v in dots.items() if v}
