@@ -232,6 +232,15 @@ def cooccurrence_pairs(s: SparkSession, d: str) -> DataFrame:
     return graph.cooccurrence(table(s, d, "graph_entity"), "doc_id", "entity_type")
 
 
+@query(
+    """WITH m AS (SELECT DISTINCT doc_id, name AS x FROM graph_entity WHERE doc_id IS NOT NULL AND name IS NOT NULL)
+SELECT a.x AS a, b.x AS b, count(*) AS n_groups FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.x < b.x GROUP BY ALL"""
+)
+def cooccurrence_names(s: SparkSession, d: str) -> DataFrame:
+    """Entities named in the same document; joined by document, so a name that many documents hold is no hot key, and pairs are counted in part before the shuffle."""
+    return graph.cooccurrence(table(s, d, "graph_entity"), "doc_id", "name")
+
+
 _CC = """ed AS (SELECT DISTINCT chunk_id AS src, parent_id AS dst FROM narrative_chunk WHERE active = 1 AND parent_id IN (SELECT chunk_id FROM narrative_chunk WHERE active = 1) AND split_part(chunk_id, '#', 1) = split_part(parent_id, '#', 1)),
  vv AS (SELECT DISTINCT chunk_id AS id FROM narrative_chunk WHERE active = 1),
  un AS (SELECT src AS u, dst AS v FROM ed UNION SELECT dst, src FROM ed),

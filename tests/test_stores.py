@@ -49,3 +49,9 @@ def test_sparse_dot_asks_every_twentieth(spark, tmp_path):
     bags = {k: Counter(v.split()) for k, v in texts.items()}
     dots = {(q, k): float(sum(n * bags[q][w] for w, n in b.items())) for q in ("c-00.txt", "c-20.txt", "c-40.txt") for k, b in bags.items()}
     assert {(x.query_id, x.doc_id): x.score for x in corpus.sparse_dot_score_all(spark, d).collect()} == {k: v for k, v in dots.items() if v}
+
+
+def test_cooccurrence_of_names(spark, tmp_path):
+    rows = [("d1", "hot", "A"), ("d1", "x", "A"), ("d1", "x", "A"), ("d1", "y", "A"), ("d2", "hot", "A"), ("d2", "x", "B"), ("d3", "hot", "A"), (None, "x", "A"), (None, "y", "A"), ("d3", None, "A")]
+    d = written(spark, tmp_path, "graph_entity", rows, "doc_id string, name string, entity_type string")
+    assert {tuple(r) for r in stores.cooccurrence_names(spark, d).collect()} == {("hot", "x", 2), ("hot", "y", 1), ("x", "y", 1)}
