@@ -1,15 +1,21 @@
 """Quantities stated in different units, brought to the common unit of their metric.
 
 A hidden Markov model is run over each series (metric, entity, channel, period type) in time
-order: the hidden state of a row is its unit, a stated unit leaves only the states it can
-mean, and the transition cost is the jump of the log value in the common unit against the
-level of the row before plus a price for switching. Viterbi decoding is done for many series
-at once in numpy. Series above ``MAX_SERIES`` rows are cut by a hash of the row id into as
-many interleaved sub-series as needed, each in time order, so no task holds an unbounded group.
+order; the hidden state of a row is its unit. What a row says of its unit is a likelihood over
+states: a full name leaves one, a bare sign or a missing scale leaves several at a price, no
+statement leaves all. A state is paid for by how far the log value under it jumps from the
+smooth level of the series, the running median of the medians of its periods, and every change
+of state has a price. Viterbi decoding runs over many series at once in numpy.
+
+Series above ``BLOCK`` rows are decoded in blocks: every block is reduced to the matrix of its
+cheapest ways from state to state, the matrices are chained forwards and backwards, and each
+block is then decoded between the costs that reach it from both sides, which gives the decoding
+of the whole series without any task holding it.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import unicodedata
@@ -17,13 +23,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import width
+from tessera.session import durable, width
 
-MAX_SERIES = 4096
+#: Rows of a series decoded in one piece; longer series are decoded in blocks of about this size, with the same result.
+BLOCK = 4096
 TOLERANCE = 0.005
+#: Price of a change of unit, of a jump per unit of the log value and its most, and of all units but the common one where a row says nothing.
+SWITCH, JUMP, MOST_JUMP, UNUSUAL = 0.5, 1.0, 9.0, 0.01
+#: Periods before and after that make the level of a period.
+REACH = 3
+CLOSED = 1e9
+# Price of reading a statement in another way than the usual one.
+NO_SCALE = {1e3: 6.8, 1e6: 6.8, 1e9: 6.8}
+OTHER_SCALE = {"mil": {1e3: 1.0}, "th": {1e6: 6.8}}
+OTHER_CURRENCY = {"$": {"HKD": 4.0, "SGD": 4.0}}
+# Statements that leave several units open at no price, kind -> name -> (factor, offset).
+OPEN_UNITS = {
+    "temp": {"deg": [(1.0, 0.0), (5.0 / 9.0, -32.0)], "degrees": [(1.0, 0.0), (5.0 / 9.0, -32.0)], "°": [(1.0, 0.0), (5.0 / 9.0, -32.0)]},
+    "area": {"sq": [(1.0, 0.0), (0.09290304, 0.0)], "square": [(1.0, 0.0), (0.09290304, 0.0)]},
+    "mass": {"ton": [(1.0, 0.0), (1e3, 0.0)]},
+}
+OPEN_CURRENCIES = {"¥": ["CNY", "JPY"]}
 
 # Names of currencies as written in sources.
 CURRENCIES = {
@@ -100,33 +123,47 @@ def _fold(s: str) -> str:
 
 _PLAIN = {kind: {_fold(n): u for u, names in table.items() for n in names} for kind, table in UNITS.items()}
 _SCALE = {_fold(n): f for f, names in SCALES.items() for n in names} | {"'000": 1e3}
-_CCY = sorted(((_fold(n), c) for c, names in CURRENCIES.items() for n in names), key=lambda x: -len(x[0]))
+_CCY = sorted([*((_fold(n), c) for c, names in CURRENCIES.items() for n in names), *((n, "") for n in OPEN_CURRENCIES)], key=lambda x: -len(x[0]))
 
 
-def parse_unit(text: str | None, kind: str) -> tuple[str, float, float] | None:
-    """(currency or '', scale or factor, offset) of a unit text of a kind of metric, or None where it states none."""
+Claim = tuple[tuple[tuple[str, float, float], float], ...]
+
+
+def parse_claim(text: str | None, kind: str) -> Claim | None:
+    """The units a text may state, each (currency or '', scale or factor, offset) with the price of reading it so, or None where it states none."""
     s = _fold(text or "")
     if not s:
         return None
     if kind != "money":
-        hit = _PLAIN.get(kind, {}).get(s) or _PLAIN.get(kind, {}).get(s.rstrip("."))
-        return ("", *hit) if hit else None
+        for name in (s, s.rstrip(".")):
+            if name in OPEN_UNITS.get(kind, {}):
+                return tuple((("", *u), 0.0) for u in OPEN_UNITS[kind][name])
+            if hit := _PLAIN.get(kind, {}).get(name):
+                return ((("", *hit), 0.0),)
+        return None
     for name, ccy in _CCY:
-        if (at := s.find(name)) >= 0:
-            rest = (s[:at] + " " + s[at + len(name) :]).strip(" .,-/()")
-            if not rest:
-                return (ccy, 1.0, 0.0)
-            factor = 1.0
-            for word in rest.split():
-                f = _SCALE.get(word) or _SCALE.get(word.rstrip("."))
-                if f is None:
-                    break
-                factor *= f
-            else:
-                return (ccy, factor, 0.0)
+        if (at := s.find(name)) < 0:
+            continue
+        rest = (s[:at] + " " + s[at + len(name) :]).strip(" .,-/()")
+        factor, other = 1.0, dict(NO_SCALE) if not rest else {}
+        for word in rest.split():
+            f = _SCALE.get(word) or _SCALE.get(word.rstrip("."))
+            if f is None:
+                break
+            other = {factor * x: c for x, c in OTHER_SCALE.get(word, {}).items()}
+            factor *= f
+        else:
+            money = {c: 0.0 for c in OPEN_CURRENCIES.get(name, [ccy])} | OTHER_CURRENCY.get(name, {})
+            return tuple(((c, f, 0.0), pc + pf) for c, pc in money.items() for f, pf in ({factor: 0.0} | other).items())
     return None
 
 
+def parse_unit(text: str | None, kind: str) -> tuple[str, float, float] | None:
+    """The usual reading of :func:`parse_claim`."""
+    claim = parse_claim(text, kind)
+    return claim[0][0] if claim else None
+
+
 def parse_number(text: str | None) -> float | None:
     """The figure of a cell text; both 1,234.5 and 1.234,5 and 1 234,5 are read, brackets mean negative."""
     s = unicodedata.normalize("NFKC", text or "")
@@ -149,25 +186,31 @@ def parse_number(text: str | None) -> float | None:
         return None
 
 
-def _from_label(label: str | None, kind: str) -> tuple[str, float, float] | None:
+def _from_label(label: str | None, kind: str) -> Claim | None:
     for sep in ("【", " – in ", " - in ", " — in ", " in ", "(", "（", "[", ", ", "，", " – ", ": ", "/"):
         if label and sep in label:
-            hit = parse_unit(label.rsplit(sep, 1)[1].strip(" )）】]"), kind)
+            hit = parse_claim(label.rsplit(sep, 1)[1].strip(" )）】]"), kind)
             if hit:
                 return hit
     return None
 
 
-def stated_unit(unit: str | None, label: str | None, raw: str | None, kind: str) -> tuple[str, float, float] | None:
-    """The unit a row states, looked for in the unit field, the row label and the cell text in turn."""
-    hit = parse_unit(unit, kind) or _from_label(label, kind)
+def claim_of(unit: str | None, label: str | None, raw: str | None, kind: str) -> Claim | None:
+    """What a row says of its unit, looked for in the unit field, the row label and the cell text in turn."""
+    hit = parse_claim(unit, kind) or _from_label(label, kind)
     if hit or not raw:
         return hit
     s = unicodedata.normalize("NFKC", raw)
     keep = "'000" in s
     m = _NUMBER.search(s.replace("'000", "\0\0\0\0"))
     rest = (s[: m.start()] + " " + s[m.end() :]) if m else s
-    return parse_unit(rest, kind) or (parse_unit(rest.replace("'000", "") + " '000", kind) if keep else None)
+    return parse_claim(rest, kind) or (parse_claim(rest.replace("'000", "") + " '000", kind) if keep else None)
+
+
+def stated_unit(unit: str | None, label: str | None, raw: str | None, kind: str) -> tuple[str, float, float] | None:
+    """The usual reading of :func:`claim_of`."""
+    claim = claim_of(unit, label, raw, kind)
+    return claim[0][0] if claim else None
 
 
 def states(kind: str) -> list[tuple[str, float, float]]:
@@ -177,155 +220,279 @@ def states(kind: str) -> list[tuple[str, float, float]]:
     return [("", f, o) for f, o in UNITS.get(kind, {(1.0, 0.0): []})]
 
 
-def viterbi(level: np.ndarray, allowed: np.ndarray, start: np.ndarray, switch: float = 1.0, spread: float = 0.7) -> np.ndarray:
+@functools.lru_cache(maxsize=100_000)
+def prices(kind: str, claim: str) -> np.ndarray:
+    """Price of every state of a kind under a claim, written as 'state:price ...'; '' claims nothing, states that are not claimed are closed."""
+    options = states(kind)
+    if not claim:
+        usual = options.index(("USD", 1e6, 0.0)) if kind == "money" else 0
+        return np.where(np.arange(len(options)) == usual, 0.0, UNUSUAL)
+    out = np.full(len(options), CLOSED)
+    for part in claim.split():
+        i, c = part.split(":")
+        out[int(i)] = float(c)
+    return out
+
+
+def viterbi(cost: np.ndarray, start: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> np.ndarray:
     """Best state of every row.
 
-    level: (rows, states) log value in the common unit under each state; allowed: the same
-    shape, bool; start: True where a new series begins. Series are decoded side by side: step
-    k handles the k-th row of every series that has one.
+    cost: (rows, states); start: True where a new series begins; before and after: (series,
+    states) costs that reach the first row and leave the last one. Series are decoded side by
+    side: step k handles the k-th row of every series that has one. A change of state costs
+    ``SWITCH`` whatever the states are, so a step takes one minimum.
     """
-    n, s = level.shape
-    best, back = np.zeros((n, s)), np.zeros((n, s), dtype=np.int16)
-    cost = np.where(allowed, 0.0, 1e9)
+    n, s = cost.shape
+    if not n:
+        return np.zeros(0, np.int64)
+    best, stay = np.zeros((n, s)), np.ones((n, s), bool)
+    top = np.zeros(n, np.int64)
     heads = np.flatnonzero(start)
     length = np.diff(np.append(heads, n))
-    price = switch * (1.0 - np.eye(s))
     best[heads] = cost[heads]
+    if before is not None:
+        best[heads] += np.minimum(before, before.min(axis=1, keepdims=True) + SWITCH)
     order = np.argsort(-length, kind="stable")
-    heads, length = heads[order], length[order]
-    step = max(1, 4_000_000 // (s * s))
-    for k in range(1, int(length[0]) if n else 0):
-        rows = heads[: np.searchsorted(-length, -k, side="left")] + k
-        for lo in range(0, len(rows), step):
-            r = rows[lo : lo + step]
-            jump = np.abs(level[r][:, None, :] - level[r - 1][:, :, None]) / spread
-            total = best[r - 1][:, :, None] + np.minimum(jump, 12.0) + price
-            back[r] = total.argmin(axis=1)
-            best[r] = total.min(axis=1) + cost[r]
+    h, ln = heads[order], length[order]
+    for k in range(1, int(ln[0])):
+        r = h[: np.searchsorted(-ln, -k, side="left")] + k
+        last = best[r - 1]
+        top[r - 1] = last.argmin(axis=1)
+        switch = last.min(axis=1, keepdims=True) + SWITCH
+        stay[r] = last <= switch
+        best[r] = np.minimum(last, switch) + cost[r]
     out = np.zeros(n, dtype=np.int64)
     tails = heads + length - 1
-    out[tails] = best[tails].argmin(axis=1)
-    for k in range(int(length[0]) - 1 if n else 0, 0, -1):
-        rows = heads[: np.searchsorted(-length, -k, side="left")] + k
-        out[rows - 1] = back[rows, out[rows]]
+    out[tails] = (best[tails] + (0 if after is None else after)).argmin(axis=1)
+    for k in range(int(ln[0]) - 1, 0, -1):
+        r = h[: np.searchsorted(-ln, -k, side="left")] + k
+        out[r - 1] = np.where(stay[r, out[r]], out[r], top[r - 1])
     return out
 
 
-_OUT = "fact_id long, common_value double, unit_currency string, unit_factor double, unit_offset double, stated boolean"
+def block_matrix(cost: np.ndarray) -> np.ndarray:
+    """(states, states) cheapest cost of a block of rows, first row in state i, last row in state j."""
+    s = cost.shape[1]
+    m = np.where(np.eye(s, dtype=bool), cost[0][:, None], 1e12)
+    for row in cost[1:]:
+        m = np.minimum(m, m.min(axis=1, keepdims=True) + SWITCH) + row
+    return m
 
 
-def _decode(pdf: pd.DataFrame, rates: dict[tuple[str, int], float]) -> pd.DataFrame:
-    """Rows of whole series, in order, of one or more kinds."""
-    parts = []
-    for kind, g in pdf.groupby("kind", sort=False):
-        options = states(kind)
-        index = {o: i for i, o in enumerate(options)}
-        seen: dict = {}
-        n, s = len(g), len(options)
-        hit = np.full(n, -1)
-        for i, key in enumerate(zip(g.unit, g.raw_label, g.raw_value)):
-            if key not in seen:
-                u = stated_unit(*key, kind)
-                seen[key] = -1 if u is None else index.get(u, -1)
-            hit[i] = seen[key]
-        value = g.value.to_numpy(dtype=float, copy=True)
-        for i in np.flatnonzero(np.isnan(value)):
-            x = parse_number(g.raw_value.iat[i])
-            value[i] = np.nan if x is None else x
-        year = pd.to_numeric(g.period.str[:4], errors="coerce").fillna(0).astype(int).to_numpy()
-        factor = np.tile([o[1] for o in options], (n, 1))
-        offset = np.tile([o[2] for o in options], (n, 1))
-        if kind == "money":
-            ys, at = np.unique(year, return_inverse=True)
-            fx = np.array([[rates.get((o[0], int(y)), np.nan) for o in options] for y in ys])[at] if n else factor
-            factor = factor * fx / 1e6
-        common = (value[:, None] + offset) * factor
-        with np.errstate(divide="ignore", invalid="ignore"):
-            level = common / 10.0 if kind == "temp" else np.log(np.abs(common))
-        level = np.where(np.isfinite(level), level, 0.0)
-        allowed = np.zeros((n, s), dtype=bool)
-        allowed[np.arange(n), np.where(hit >= 0, hit, 0)] = True
-        allowed[hit < 0] = True
-        sid = g.series.to_numpy()
-        start = np.append(True, sid[1:] != sid[:-1])
-        state = viterbi(level, allowed, start)
-        row = np.arange(n)
-        parts.append(
-            pd.DataFrame(
-                {
-                    "fact_id": g.fact_id.to_numpy(),
-                    "common_value": common[row, state],
-                    "unit_currency": [options[i][0] for i in state],
-                    "unit_factor": factor[row, state],
-                    "unit_offset": offset[row, state],
-                    "stated": hit >= 0,
-                },
-                index=g.index,
-            )
-        )
-    return pd.concat(parts) if parts else pd.DataFrame(columns=[c.split()[0] for c in _OUT.split(", ")])
-
-
-def convert(facts: DataFrame, metrics: DataFrame, fx: DataFrame) -> DataFrame:
-    """Every fact with its key, decoded unit and value in the common unit of its metric.
-
-    ``stated`` tells whether the row itself names its unit; where it does not, the decoded
+def through(v: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Costs after a block for costs ``v`` before its first row, with the change of state before it."""
+    return (np.minimum(v, v.min() + SWITCH)[:, None] + m).min(axis=0)
+
+
+def back_through(v: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Costs from the row before a block on, for costs ``v`` from its last row on, with the change of state before it."""
+    w = (m + v[None, :]).min(axis=1)
+    return np.minimum(w, w.min() + SWITCH)
+
+
+def _common(kind: str, value: np.ndarray, period: pd.Series, rates: dict[tuple[str, int], float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(value in the common unit, factor) of every row under every state, and the log of it (a tenth of it for temperatures); nan where there is none."""
+    options = states(kind)
+    factor = np.tile([o[1] for o in options], (len(value), 1))
+    if kind == "money":
+        years, at = np.unique(pd.to_numeric(period.str[:4], errors="coerce").fillna(0).astype(int).to_numpy(), return_inverse=True)
+        fx = np.array([[rates.get((o[0], int(y)), np.nan) for o in options] for y in years])
+        factor = factor * (fx[at] if len(value) else 1.0) / 1e6
+    common = (value[:, None] + np.array([o[2] for o in options])) * factor
+    with np.errstate(divide="ignore", invalid="ignore"):
+        level = common / 10.0 if kind == "temp" else np.log(np.abs(common))
+    return common, factor, np.where(np.isfinite(level), level, np.nan)
+
+
+def _costs(kind: str, claims: list[str], x: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Price of every state for every row: what the row says of it and the jump from the level."""
+    said = np.stack([prices(kind, c) for c in claims]) if claims else np.zeros(x.shape)
+    jump = np.minimum(np.abs(x - level[:, None]) * JUMP, MOST_JUMP)
+    none = np.isnan(x)  # no rate of the year, or a figure of 0
+    return said + np.where(none, MOST_JUMP, np.where(np.isnan(level)[:, None], 0.0, jump))
+
+
+KEYS = ["metric_code", "entity", "channel", "period_type", "period"]
+_READ = "fact_id long, " + ", ".join(f"{k} string" for k in KEYS) + ", kind string, figure double, claim string, usual double"
+_OUT = "common_value double, unit_currency string, unit_factor double, unit_offset double, stated boolean"
+
+
+def convert(facts: DataFrame, metrics: DataFrame, fx: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Every fact with its key, decoded unit and value in the common unit of its metric, as a written table.
+
+    ``stated`` tells whether the row itself says anything of its unit; where it does not, the
     unit is the one that fits the level of its series best. A value that is null and has no
     readable cell text, or money without a rate of its year, gives a null common_value. Facts
-    of an unknown metric have stated = false and a null value. Repeated rows stay repeated.
-    metric_def and fx_rate are dimension tables of fixed size (21 and 112 rows here); the
-    rates are gathered after a count that refuses more than 100,000.
+    of an unknown metric have stated = false and a null value. Repeated rows stay repeated,
+    ties go to the first state, an empty table gives an empty result. metric_def and fx_rate
+    are dimension tables of fixed size (21 and 112 rows here); the rates are gathered and
+    sent to the executors, one number for every currency and year.
     """
     spark = facts.sparkSession
-    if fx.count() > 100_000:
-        raise ValueError("fx_rate is not of dimension size")
-    rates = {(r.currency, r.fiscal_year): r.usd_per_unit for r in fx.select("currency", "fiscal_year", "usd_per_unit").collect()}
-    keys = ["metric_code", "entity", "channel", "period_type", "period"]
+    rates = {(r.currency, r.fiscal_year): r.usd_per_unit for r in fx.select("currency", "fiscal_year", "usd_per_unit").where(F.col("currency").isin(*CURRENCIES)).collect()}
     kinds = metrics.groupBy("metric_code").agg(F.first("kind").alias("kind"))
-    rows = facts.select("fact_id", *keys, F.col("value").cast("double"), *[F.col(c).cast("string") for c in ("unit", "raw_label", "raw_value")])
+    rows = facts.select("fact_id", *KEYS, F.col("value").cast("double"), *[F.col(c).cast("string") for c in ("unit", "raw_label", "raw_value")])
     rows = rows.join(kinds, "metric_code", "left").withColumn("kind", F.coalesce("kind", F.lit("unknown")))
-    series = F.xxhash64("metric_code", "entity", "channel", "period_type")
-    rows = rows.withColumn("series", series)
-    sizes = rows.groupBy("series").count().where(F.col("count") > MAX_SERIES).select("series", F.ceil(F.col("count") / MAX_SERIES).cast("int").alias("cuts"))
-    rows = rows.join(sizes, "series", "left")
-    rows = rows.withColumn("cut", F.when(F.col("cuts").isNotNull(), F.pmod(F.xxhash64("fact_id"), F.col("cuts"))).otherwise(0))
-    placed = rows.repartition(width(spark), "series", "cut").sortWithinPartitions("kind", "series", "cut", "period", "fact_id")
-    placed = placed.withColumn("series", F.xxhash64("series", "cut")).drop("cut", "cuts")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for pdf in batches:
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            last = pdf.series.iat[-1] if len(pdf) else None
-            whole = (pdf.series != last).to_numpy()
-            held = pdf[~whole]
-            if whole.any():
-                yield _keyed(pdf[whole])
-        if held is not None and len(held):
-            yield _keyed(held)
-
-    def _keyed(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = _decode(pdf, rates)
-        return pdf[["fact_id", *keys]].join(out.drop(columns="fact_id"))
+    names = [c.split()[0] for c in _READ.split(", ")]
 
-    schema = "fact_id long, " + ", ".join(f"{k} string" for k in keys) + ", " + _OUT.split(", ", 1)[1]
-    out = placed.mapInPandas(run, schema)
-    return out.withColumn("common_value", F.when(~F.isnan("common_value"), F.col("common_value")))
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict = {}
+        for pdf in batches:
+            said = []
+            for key in zip(pdf.unit, pdf.raw_label, pdf.raw_value, pdf.kind):
+                hit = seen.get(key)
+                if hit is None:
+                    claim = claim_of(*key)
+                    index = {o: i for i, o in enumerate(states(key[3]))}
+                    hit = " ".join(f"{index[u]}:{c:g}" for u, c in claim or () if u in index)
+                    if len(seen) > 200_000:
+                        seen.clear()
+                    seen[key] = hit
+                said.append(hit)
+            value = pdf.value.to_numpy(dtype=float, copy=True)
+            for i in np.flatnonzero(np.isnan(value)):
+                x = parse_number(pdf.raw_value.iat[i])
+                value[i] = np.nan if x is None else x
+            pdf["figure"], pdf["claim"], pdf["usual"] = value, said, np.nan
+            for kind, g in pdf.groupby("kind", sort=False):
+                some = g[g.claim != ""]
+                if len(some):
+                    x = _common(kind, some.figure.to_numpy(), some.period, rates)[2]
+                    pdf.loc[some.index, "usual"] = x[np.arange(len(some)), [int(c.split(":", 1)[0]) for c in some.claim]]
+            yield pdf[names]
+
+    series = F.xxhash64(*KEYS[:4])
+    ready = durable(rows.mapInPandas(read, _READ).withColumn("series", series), "facts")
+    periods = ready.groupBy("series", "period").agg(F.count("*").alias("n"), F.percentile_approx(F.when(~F.isnan("usual"), F.col("usual")), 0.5, 1000).alias("middle"))
+    near = Window.partitionBy("series").orderBy("period").rowsBetween(-REACH, REACH)
+    around = F.array_sort(F.collect_list("middle").over(near))
+    levels = durable(periods.select(
+        "series", "period", F.try_element_at(around, F.greatest(F.lit(1), ((F.size(around) + 1) / 2).cast("int"))).alias("level"),
+        F.sum("n").over(Window.partitionBy("series")).alias("total"), F.ceil(F.col("n") / block).cast("int").alias("cuts"),
+    ), "levels")
+    # rows of a period stand in the order of a hash, so that any number of cuts leaves the order as it is
+    share = F.least((F.col("turn").cast("double") / float(1 << 63) + 1.0) / 2.0, F.lit(1.0 - 1e-12))
+    spread = F.floor(share * F.col("cuts")).cast("int")
+    placed = ready.join(levels, ready["series"].eqNullSafe(levels["series"]) & ready["period"].eqNullSafe(levels["period"]), "left").drop(levels["series"]).drop(levels["period"]).withColumn("turn", F.xxhash64(F.lit(1), "fact_id"))
+    placed = placed.withColumn("long", F.coalesce(F.col("total") > block, F.lit(False))).withColumn("cut", F.when(F.col("long"), spread).otherwise(0))
+    at = [*KEYS, "kind", "figure", "claim", "level", "series", "cut", "turn"]
+    short = placed.where(~F.col("long")).select("fact_id", *at).repartition(width(spark), "series").sortWithinPartitions("kind", "series", "period", "turn", "fact_id")
+    schema = "fact_id long, " + ", ".join(f"{k} string" for k in KEYS) + ", " + _OUT
+
+    def decoded(g: pd.DataFrame, begins: np.ndarray, before=None, after=None) -> pd.DataFrame:
+        kind = g.kind.iat[0]
+        common, factor, x = _common(kind, g.figure.to_numpy(dtype=float), g.period, rates)
+        state = viterbi(_costs(kind, g.claim.tolist(), x, g.level.to_numpy(dtype=float)), begins, before, after)
+        row, options = np.arange(len(g)), states(kind)
+        out = g[["fact_id", *KEYS]].copy()
+        out["common_value"], out["unit_factor"] = common[row, state], factor[row, state]
+        out["unit_currency"], out["unit_offset"] = [options[i][0] for i in state], [options[i][2] for i in state]
+        out["stated"] = (g.claim != "").to_numpy()
+        return out[[c.split()[0] for c in schema.split(", ")]]
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _by(batches, ["kind", "series"]):
+            for _, g in pdf.groupby("kind", sort=False):
+                sid = g.series.to_numpy()
+                yield decoded(g, np.append(True, sid[1:] != sid[:-1]))
+
+    out = short.mapInPandas(whole, schema)
+    if not levels.where(F.col("total") > block).isEmpty():
+        out = out.unionByName(_long(placed.where("long").select("fact_id", *at), decoded, rates, schema))
+    return durable(out.withColumn("common_value", F.when(~F.isnan("common_value"), F.col("common_value"))), "converted")
+
+
+def _by(batches: Iterator[pd.DataFrame], cols: list[str]) -> Iterator[pd.DataFrame]:
+    """Batches put together so that no group of rows equal in ``cols`` is parted; the rows come in groups."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        same = np.logical_and.reduce([((c := pdf[k]) == c.iat[-1]).to_numpy() | (c.isna().to_numpy() & pd.isna(c.iat[-1])) for k in cols])
+        first = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        goes_on = held and all(pdf[k].iat[0] == held[-1][k].iat[-1] or (pd.isna(pdf[k].iat[0]) and pd.isna(held[-1][k].iat[-1])) for k in cols)
+        if first or (held and not goes_on):
+            ready = [*held, pdf.iloc[:first]] if first else held
+            yield pd.concat(ready, ignore_index=True)
+            held = [pdf.iloc[first:]]
+        else:
+            held.append(pdf)
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _long(rows: DataFrame, decoded, rates: dict, schema: str) -> DataFrame:
+    """Rows of series above a block, decoded block by block between the costs from both sides."""
+    spark = rows.sparkSession
+    keys = ["series", "period", "cut"]
+    blocks = durable(rows.repartition(width(spark), *keys).sortWithinPartitions("kind", *keys, "turn", "fact_id"), "blocks")
+    # a written file may be read in several parts, so rows are put together again by block
+    placed = blocks.repartition(width(spark), *keys).sortWithinPartitions("kind", *keys, "turn", "fact_id")
+
+    def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _by(batches, ["kind", *keys]):
+            for (kind, sid, cut), part in pdf.groupby(["kind", "series", "cut"], sort=False):
+                for period, g in part.groupby("period", sort=False, dropna=False):
+                    x = _common(kind, g.figure.to_numpy(dtype=float), g.period, rates)[2]
+                    m = block_matrix(_costs(kind, g.claim.tolist(), x, g.level.to_numpy(dtype=float)))
+                    yield pd.DataFrame({"series": [sid], "period": pd.Series([None if pd.isna(period) else period], dtype=object), "cut": [cut], "m": [m.ravel()]})
+
+    made = durable(placed.mapInPandas(matrices, "series long, period string, cut int, m array<double>"), "matrices")
+
+    def chain(step):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sid, v = None, None
+            for pdf in batches:
+                out = []
+                for s, p, c, m in zip(pdf.series, pdf.period, pdf.cut, pdf.m):
+                    k = math.isqrt(len(m))
+                    if s != sid:
+                        sid, v = s, np.zeros(k)
+                    out.append((s, p, c, v))
+                    v = step(v, np.asarray(m).reshape(k, k))
+                    v = v - v.min()
+                yield pd.DataFrame(out, columns=["series", "period", "cut", "v"])
+
+        return run
+
+    asc, desc = [F.col(k) for k in keys], [F.col("series"), F.col("period").desc(), F.col("cut").desc()]
+    first = made.repartition(width(spark), "series").sortWithinPartitions(*asc).mapInPandas(chain(through), "series long, period string, cut int, v array<double>")
+    last = made.repartition(width(spark), "series").sortWithinPartitions(*desc).mapInPandas(chain(back_through), "series long, period string, cut int, v array<double>")
+    costs = first.withColumnRenamed("v", "before").join(last.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("v").alias("after")), F.col("series").eqNullSafe(F.col("_series")) & F.col("period").eqNullSafe(F.col("_period")) & (F.col("cut") == F.col("_cut")))
+    costs = costs.select(*keys, "before", "after")
+    # one row with the costs leads the rows of its block
+    lead = costs.select(*[F.lit(None).cast(t).alias(c) if c not in keys else F.col(c) for c, t in placed.dtypes], "before", "after", F.lit(0).alias("row"))
+    rest = blocks.select("*", F.lit(None).cast("array<double>").alias("before"), F.lit(None).cast("array<double>").alias("after"), F.lit(1).alias("row"))
+    both = lead.unionByName(rest).repartition(width(spark), *keys).sortWithinPartitions(*keys, "row", "turn", "fact_id")
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _by(batches, keys):
+            heads = np.flatnonzero(pdf.row.to_numpy() == 0)
+            for lo, hi in zip(heads, [*heads[1:], len(pdf)]):
+                g = pdf.iloc[lo + 1 : hi].reset_index(drop=True)
+                yield decoded(g, np.append(True, np.zeros(len(g) - 1, bool)), np.asarray(pdf.before.iat[lo])[None], np.asarray(pdf.after.iat[lo])[None])
+
+    return both.mapInPandas(solve, schema)
 
 
 def agreeing_pairs(converted: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """(fact_a, fact_b), fact_a smaller: stated in different units, same key, equal within ``tolerance`` of the larger.
 
-    A range join: log values are cut into bands of the tolerance's width and a row meets only
-    its own and the two neighbouring bands, so a hot key does not compare all its rows.
+    Rows of one key, unit and value are one class. Classes are joined by range: log values are
+    cut into bands of the tolerance's width and a class meets only its own and the two
+    neighbouring bands, so a hot key does not compare all its rows. Pairs of classes are then
+    expanded to their members. ``converted`` is read three times and should be a written table.
     """
     span = -math.log(1.0 - tolerance) * 1.02
-    keys = ["metric_code", "entity", "channel", "period_type", "period"]
     v = F.col("common_value")
-    base = converted.where(F.col("stated") & v.isNotNull()).withColumn("band", F.floor(F.log(F.greatest(F.abs(v), F.lit(1e-30))) / span)).withColumn("sign", F.signum(v).cast("int"))
-    a = base.select(F.col("fact_id").alias("fact_a"), *keys, "sign", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), v.alias("va"), F.col("unit_factor").alias("fa"), F.col("unit_offset").alias("oa"))
-    b = base.select(F.col("fact_id").alias("fact_b"), *keys, "sign", "band", v.alias("vb"), F.col("unit_factor").alias("fb"), F.col("unit_offset").alias("ob"))
-    on = [a[c].eqNullSafe(b[c]) for c in keys] + [a["sign"] == b["sign"], a["band"] == b["band"], F.col("fact_a") < F.col("fact_b")]
+    exact = [*KEYS, "common_value", "unit_factor", "unit_offset"]
+    base = converted.where(F.col("stated") & v.isNotNull()).withColumn("class", F.struct(F.xxhash64(*exact).alias("x"), F.xxhash64(F.lit(7), *exact).alias("y")))
+    classes = base.groupBy("class", *exact).agg(F.count("*").alias("n")).withColumn("band", F.floor(F.log(F.greatest(F.abs(v), F.lit(1e-30))) / span)).withColumn("sign", F.signum(v).cast("int"))
+    a = classes.select(F.col("class").alias("ca"), *KEYS, "sign", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), v.alias("va"), F.col("unit_factor").alias("fa"), F.col("unit_offset").alias("oa"))
+    b = classes.select(F.col("class").alias("cb"), *KEYS, "sign", "band", v.alias("vb"), F.col("unit_factor").alias("fb"), F.col("unit_offset").alias("ob"))
+    on = [a[c].eqNullSafe(b[c]) for c in KEYS] + [a["sign"] == b["sign"], a["band"] == b["band"], F.col("ca") < F.col("cb")]
     unlike = (F.abs(F.col("fa") - F.col("fb")) > 1e-9 * F.abs(F.col("fa"))) | (F.col("oa") != F.col("ob"))
     near = F.abs(F.col("va") - F.col("vb")) <= tolerance * F.greatest(F.abs("va"), F.abs("vb"))
-    return a.join(b, on).where(unlike & near).select("fact_a", "fact_b").distinct()
+    pairs = a.join(b, on).where(unlike & near).select("ca", "cb")
+    out = pairs.join(base.select(F.col("class").alias("ca"), F.col("fact_id").alias("one")), "ca").join(base.select(F.col("class").alias("cb"), F.col("fact_id").alias("two")), "cb")
+    return out.where("one <> two").select(F.least("one", "two").alias("fact_a"), F.greatest("one", "two").alias("fact_b")).distinct()

@@ -64,15 +64,31 @@ def test_parse_units_and_numbers():
     assert [U.parse_number(x) for x in ("5 675,9 M€", "296.569,0 Tsd. €", "1,232.5 people", "(12.5)", "7,771,880.0", None, "none")] == [5675.9, 296569.0, 1232.5, -12.5, 7771880.0, None, None]
 
 
-def test_viterbi_finds_a_unit_switch():
+def _brute_states(cost):
+    import itertools
+
+    n, s = cost.shape
+    total = lambda p: sum(cost[i, k] for i, k in enumerate(p)) + U.SWITCH * sum(a != b for a, b in zip(p, p[1:]))
+    return min(total(p) for p in itertools.product(range(s), repeat=n)), total
+
+
+def test_viterbi_against_all_paths_and_blocks():
     import numpy as np
 
-    value = np.array([100.0, 104.0, 0.11, 0.108, 110.0])
-    factors = np.array([1.0, 1000.0])
-    level = np.log(value[:, None] * factors)
-    allowed = np.ones((5, 2), bool)
-    allowed[0] = [True, False]
-    assert U.viterbi(level, allowed, np.array([True, False, False, False, False])).tolist() == [0, 0, 1, 1, 0]
+    r = np.random.default_rng(4)
+    for _ in range(40):
+        cost = r.uniform(0, 2, (6, 3))
+        least, total = _brute_states(cost)
+        assert abs(total(U.viterbi(cost, np.array([True] + [False] * 5)).tolist()) - least) < 1e-9
+        parts = [cost[:2], cost[2:5], cost[5:]]
+        m = [U.block_matrix(p) for p in parts]
+        front, back = [np.zeros(3)], [np.zeros(3)]
+        for x in m[:-1]:
+            front.append(U.through(front[-1], x))
+        for x in reversed(m[1:]):
+            back.insert(0, U.back_through(back[0], x))
+        path = [s for p, f, b in zip(parts, front, back) for s in U.viterbi(p, np.array([True] + [False] * (len(p) - 1)), f[None], b[None])]
+        assert abs(total(path) - least) < 1e-9
 
 
 FACT = "fact_id long, metric_code string, entity string, channel string, period_type string, period string, value double, unit string, raw_label string, raw_value string, series string"
@@ -107,5 +123,36 @@ def test_convert_and_pairs(spark):
     assert {tuple(r) for r in U.agreeing_pairs(out).collect()} == {(1, 2), (5, 6), (8, 9)}
 
 
+def test_decoded_unit_overrules_the_usual_reading(spark):
+    rows = [(i, "REVENUE", "E", "TOTAL", "FY", "2020", 12.0 + 0.01 * i, "EUR_M", "Revenue", None, None) for i in range(1, 6)]
+    rows += [(6, "REVENUE", "E", "TOTAL", "FY", "2020", 14.46, "$ mn", "Revenue", None, None), (7, "REVENUE", "E", "TOTAL", "FY", "2020", 14400.0, "USD mil", "Revenue", None, None), (8, "REVENUE", "E", "TOTAL", "FY", "2020", 14.4, "$", "Revenue", None, None)]
+    assert U.stated_unit("USD mil", None, None, "money") == ("USD", 1e6, 0.0) and U.stated_unit("$", None, None, "money") == ("USD", 1.0, 0.0)
+    out = facts(spark, rows)
+    by = {r.fact_id: round(r.common_value, 4) for r in out.collect()}
+    assert by[6] == 14.46 and by[7] == 14.4 and by[8] == 14.4  # mil for thousand and a scale left out
+    found = {tuple(r) for r in U.agreeing_pairs(out).collect()}
+    assert (7, 8) in found and (1, 7) in found and (1, 8) in found and (6, 8) not in found  # 6 and 8 are decoded to the same unit
+
+
+def test_long_series_equal_whole_ones(spark):
+    r = random.Random(5)
+    units = ["EUR_M", "$", "$ mil", None, "€ k", "USD", "EUR"]
+    rows = [(i, "REVENUE", r.choice("EF"), "TOTAL", "FY", "2020", r.choice([12.0, 12000.0, 12e6]) * r.uniform(0.9, 1.1), r.choice(units), "Revenue", None, None) for i in range(300)]
+    rows += [(i, "REVENUE", "E", None, "FY", None, 5.0, "EUR", "Revenue", None, None) for i in range(300, 330)]
+    df = spark.createDataFrame(rows + rows[:3], FACT)
+    metrics = spark.createDataFrame([("REVENUE", "money")], "metric_code string, kind string")
+    fx = spark.createDataFrame([("EUR", 2020, 1.2), ("USD", 2020, 1.0)], "currency string, fiscal_year int, usd_per_unit double")
+    take = lambda block: sorted((x.fact_id, x.common_value, x.unit_factor, x.stated) for x in U.convert(df, metrics, fx, block).collect())
+    small, large = take(16), take(10_000)
+    assert len(small) == 333
+    assert small == large
+
+
+def test_many_copies_of_a_figure(spark):
+    k = ("E", "TOTAL", "FY", "2020")
+    rows = [(i, "REVENUE", *k, 12.0, "USD_M", "Revenue", None, None) for i in range(50)] + [(99, "REVENUE", *k, 12000.0, "USD K", "Revenue", None, None)]
+    assert {tuple(r) for r in U.agreeing_pairs(facts(spark, rows)).collect()} == {(i, 99) for i in range(50)}
+
+
 def test_empty_facts(spark):
     assert U.agreeing_pairs(facts(spark, [])).count() == 0
