@@ -35,11 +35,14 @@ def local_session(app: str = "tessera", cores: str = "8", memory: str = "8g") ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests on one machine) is a temporary folder set.
+    Only where the cluster names none and the master is local (tests on one machine) is a
+    temporary folder set; a cluster without the setting is refused.
     """
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), f"tessera-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -60,3 +63,11 @@ def durable(df: DataFrame, label: str = "step") -> DataFrame:
 def width(spark: SparkSession, waves: int = 2) -> int:
     """Partitions for CPU-bound Python stages: follows the configured shuffle width, never below a few waves of tasks."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), waves * spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame, waves: int = 2) -> DataFrame:
+    """``df`` in enough partitions for CPU-bound Python work: a scan that already fills all cores stays as it is, without a shuffle."""
+    spark = df.sparkSession
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df.repartition(width(spark, waves))
+    return df if df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism else df.repartition(width(spark, waves))
