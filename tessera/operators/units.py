@@ -485,14 +485,18 @@ def agreeing_pairs(converted: DataFrame, tolerance: float = TOLERANCE) -> DataFr
     """
     span = -math.log(1.0 - tolerance) * 1.02
     v = F.col("common_value")
-    exact = [*KEYS, "common_value", "unit_factor", "unit_offset"]
-    base = converted.where(F.col("stated") & v.isNotNull()).withColumn("class", F.struct(F.xxhash64(*exact).alias("x"), F.xxhash64(F.lit(7), *exact).alias("y")))
-    classes = base.groupBy("class", *exact).agg(F.count("*").alias("n")).withColumn("band", F.floor(F.log(F.greatest(F.abs(v), F.lit(1e-30))) / span)).withColumn("sign", F.signum(v).cast("int"))
-    a = classes.select(F.col("class").alias("ca"), *KEYS, "sign", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), v.alias("va"), F.col("unit_factor").alias("fa"), F.col("unit_offset").alias("oa"))
-    b = classes.select(F.col("class").alias("cb"), *KEYS, "sign", "band", v.alias("vb"), F.col("unit_factor").alias("fb"), F.col("unit_offset").alias("ob"))
-    on = [a[c].eqNullSafe(b[c]) for c in KEYS] + [a["sign"] == b["sign"], a["band"] == b["band"], F.col("ca") < F.col("cb")]
+    exact = [F.xxhash64(*KEYS), F.xxhash64(F.lit(7), *KEYS), v, F.col("unit_factor"), F.col("unit_offset")]  # a key is its two hashes
+    base = converted.where(F.col("stated") & v.isNotNull()).select("fact_id", *[c.alias(n) for c, n in zip(exact, "klvfo")])
+    base = base.withColumn("c", F.xxhash64(*"klvfo"))
+    x = F.col("v")
+    classes = base.groupBy(*"cklvfo").agg(F.count("*").alias("n")).withColumn("band", F.floor(F.log(F.greatest(F.abs(x), F.lit(1e-30))) / span)).withColumn("sign", F.signum(x).cast("int"))
+    near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")
+    a = classes.select("k", "l", "sign", near, *[F.col(n).alias(n + "a") for n in "cvfo"])
+    b = classes.select("k", "l", "sign", "band", *[F.col(n).alias(n + "b") for n in "cvfo"])
     unlike = (F.abs(F.col("fa") - F.col("fb")) > 1e-9 * F.abs(F.col("fa"))) | (F.col("oa") != F.col("ob"))
-    near = F.abs(F.col("va") - F.col("vb")) <= tolerance * F.greatest(F.abs("va"), F.abs("vb"))
-    pairs = a.join(b, on).where(unlike & near).select("ca", "cb")
-    out = pairs.join(base.select(F.col("class").alias("ca"), F.col("fact_id").alias("one")), "ca").join(base.select(F.col("class").alias("cb"), F.col("fact_id").alias("two")), "cb")
+    close = F.abs(F.col("va") - F.col("vb")) <= tolerance * F.greatest(F.abs("va"), F.abs("vb"))
+    pairs = a.join(b, ["k", "l", "sign", "band"]).where((F.col("ca") < F.col("cb")) & unlike & close).select("k", "l", "ca", "cb")
+    one = base.select("k", "l", F.col("c").alias("ca"), F.col("fact_id").alias("one"))
+    two = base.select("k", "l", F.col("c").alias("cb"), F.col("fact_id").alias("two"))
+    out = pairs.join(one, ["k", "l", "ca"]).join(two, ["k", "l", "cb"])
     return out.where("one <> two").select(F.least("one", "two").alias("fact_a"), F.greatest("one", "two").alias("fact_b")).distinct()
