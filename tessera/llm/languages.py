@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.charlm import CharModels, keys
 from tessera.llm.normalize import alike
-from tessera.llm.sentences import Evidence, plain, split_units
+from tessera.llm.sentences import plain, split_units
 from tessera.session import width
 
 #: Labelled rows per language the models are fitted to.
@@ -86,7 +86,7 @@ def _segments(text: str) -> list[tuple[int, int]]:
     """Places of the units of a text; lines broken inside a sentence are joined for the cut."""
     joined = _JOIN.sub(lambda m: " " * len(m.group()), text)
     out = []
-    for a, b in split_units(joined, Evidence()):
+    for a, b in split_units(joined):
         cut = [a, *(m.start() for m in _GLUED.finditer(text, a, b)), b]
         out += [(x, y) for x, y in zip(cut, cut[1:]) if text[x:y].strip()]
     return out

@@ -42,24 +42,20 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_units(spark: SparkSession, d: str) -> DataFrame:
     """Sentence units with their places."""
     rows = _active(spark, d, "docx", "pptx", "txt")
-    out = sentences.units(rows, "chunk_id", counts=sentences.corpus_counts(rows))
+    out = sentences.units(rows, "chunk_id", doc_col="doc_id")
     return out.withColumnRenamed("id", "chunk_id")
 
 
 def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Pieces of at most 480 characters of every oversized active chunk of text files."""
     rows = _active(spark, d, "docx", "pptx", "txt")
-    counts = sentences.corpus_counts(rows)
     start = rows.withColumn("first_para", F.when(F.col("para_end") >= F.col("para_start"), F.col("para_start")).otherwise(F.least("para_start", "para_end")))
-    big = start.where(F.char_length("text") > pieces.LIMIT)
-    return pieces.split_oversized(big, "chunk_id", para_col="first_para", counts=counts).withColumnRenamed("id", "chunk_id").drop("level")
+    return pieces.split_oversized(start, "chunk_id", doc_col="doc_id", para_col="first_para").withColumnRenamed("id", "chunk_id").drop("level")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """The coarsest boundary that suffices: the deepest level the packing had to descend to."""
-    rows = _active(spark, d, "docx", "pptx", "txt")
-    counts = sentences.corpus_counts(rows)
-    out = pieces.split_oversized(rows.where(F.char_length("text") > pieces.LIMIT), "chunk_id", counts=counts)
+    out = pieces.split_oversized(_active(spark, d, "docx", "pptx", "txt"), "chunk_id", doc_col="doc_id")
     deepest = out.groupBy(F.col("id").alias("chunk_id")).agg(F.max("level").alias("level"))
     return deepest.select("chunk_id", F.element_at(F.array(*map(F.lit, pieces.LEVELS)), F.col("level") + 1).alias("cut"))
 

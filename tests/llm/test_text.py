@@ -74,11 +74,30 @@ def test_units_edges(spark):
 
 
 def test_corpus_decides(spark):
-    df = spark.createDataFrame([(f"The Zed. {w} rose and the {w} fell. Then it ended.",) for w in ("Alpha", "Beta", "Gamma", "Delta")] + [("with the Zed. firm and the Zed. group",)] * 4, "text string")
-    counts = sentences.corpus_counts(df)
-    assert counts["l", "zed"] == 8
-    ev = sentences.Evidence(counts)
-    assert len(sentences.split_units("They saw the Zed. Alpha plan.", ev)) == 1
+    texts = [f"The Zed. {w} rose and the {w} fell. Then it ended." for w in ("Alpha", "Beta", "Gamma", "Delta")] + ["with the Zed. firm and the Zed. group"] * 4 + ["They saw the Zed. Alpha plan."]
+    df = spark.createDataFrame([(i, str(i), t, "clash") for i, t in enumerate(texts)], "id int, doc string, text string, facts string")
+    got = sentences.units(df, "id", doc_col="doc").where("id = 8").count()
+    assert got == 1 and len(sentences.split_units(texts[-1])) == 2
+
+
+def test_the_rest_of_the_file_decides(spark):
+    """An abbreviation is known by its uses in another chunk of the file, and however much unrelated text is added."""
+    rows = [(1, "f", "We called the dept. Monday it opened."), (2, "f", "the dept. was large; a dept. of ours, dept. heads too. They come each Monday and every Monday."), (3, "g", "We called the dept. Monday it opened.")]
+    cut = lambda more: {(r.id): r.n for r in sentences.units(spark.createDataFrame(rows + more, "id int, doc string, text string"), "id", doc_col="doc").where("id < 4").groupBy("id").agg(F.count("*").alias("n")).collect()}
+    small = cut([])
+    assert small[1] == 1
+    assert cut([(100 + i, f"x{i % 50}", f"Words w{i} and others rose in plan {i}. Nothing else happened here.") for i in range(3000)]) == small
+
+
+def test_known_abbreviations_yield_to_evidence():
+    text = "The art is old. We like art and art and art and art here. It is art. Then we left."
+    assert len(sentences.split_units(text)) == 4
+    assert len(sentences.split_units("See art. Then we left.")) == 1
+
+
+def test_long_word_before_a_stop():
+    w = "x" * 300
+    assert len(sentences.split_units(f"The {w}. Then.")) == 2 and len(sentences.split_units("1" * 200 + ". Then.")) == 2
 
 
 # --- pieces
@@ -99,6 +118,20 @@ def test_pack_properties():
         assert all(i in covered for i, c in enumerate(text) if not c.isspace())
 
 
+def test_pack_follows_the_tree():
+    body = lambda n, w: "\n".join(f"{w} line {i} of text." for i in range(n))
+    text = f"# One\n{body(3, 'a')}\n## Sub\n{body(14, 'b')}\n# Two\n{body(14, 'c')}\n## Last\n{body(2, 'd')}"
+    got = [text[a:b] for a, b, _ in pieces.pack(text, 300, 0)]
+    assert [g.split("\n")[0] for g in got] == ["# One", "## Sub", "# Two", "## Last"]  # no piece crosses a border though there were room
+    nested = "intro here.\n- a " + "x " * 40 + "\n  - a1 " + "y " * 60 + "\n  - a2 " + "z " * 60 + "\n- b " + "w " * 40
+    got = [nested[a:b].strip()[:4] for a, b, _ in pieces.pack(nested, 200, 0)]
+    assert got == ["intr", "- a ", "- a1", "- a2", "- b "]
+    deep = "\n".join(" " * i + f"- item {i} " + "x" * 20 for i in range(1500))
+    assert max(b - a for a, b, _ in pieces.pack(deep, 2000, 0)) <= 2000
+    n = pieces.heading_level
+    assert [n("# A", "", ""), n("<h3>A</h3>", "x", ""), n("2.1 Scope", "x", ""), n("Chapter 4", "x", ""), n("第三条 总则", "", ""), n("Outlook", "", "The year was long and hard."), n("a short line", "", "x" * 99), n("Outlook", "text", "x" * 99)] == [1, 3, 2, 1, 2, pieces.UNMARKED, 0, 0]
+
+
 def test_pack_levels():
     level = lambda t: pieces.LEVELS[max(v for _, _, v in pieces.pack(t))]
     assert level("\n".join(["A line of text."] * 60)) == "para"
