@@ -42,7 +42,7 @@ _WIDE = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F) if chr(c) not in "！？
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}\p{N}'’\-]*(?:\.\p{L}[\p{L}\p{M}]*)*")
 _MARK = regex.compile(r"[.!?…]+|[。！？।॥｡؟۔]+|(?<=\p{Thai}\p{M}*ๆ?) +(?=\p{L}|[“„«(「『（]|\d+年)|[“”„«»()（）「」『』\[\]【】《》‹›｢｣〈〉\"]")
 _LAST = regex.compile(r"(?r)[\p{L}\p{M}\p{N}.'’\-]+")
-_ASK = regex.compile(r"(?<![^\s\p{P}])([\p{L}\p{M}\p{N}'’\-][\p{L}\p{M}\p{N}.'’\-]*)\.[”»)）」』\]\"]*[ \n]+[^\p{L}\p{N}\n]*([\p{L}\p{N}][\p{L}\p{M}\p{N}'’\-]*)?", regex.V1)
+_ASK = regex.compile(r"(?<![^\s\p{P}])([\p{L}\p{M}\p{N}'’\-][\p{L}\p{M}\p{N}.'’\-]*)\.[”»)）」』\]\"]*(?: [^\p{L}\p{N}\n]*|(?=[^\x00-\xff]))(?!\p{Ll})([\p{L}\p{N}][\p{L}\p{M}\p{N}'’\-]*)", regex.V1)
 _FIRST = regex.compile(r"[\p{L}\p{N}]")
 _YEAR = regex.compile(r"\s*\d+年")
 _GOES_ON = regex.compile(r"\s*[,;:–—]")
@@ -119,7 +119,7 @@ def asked(text: str) -> set[str]:
         w = w.rstrip(".").lower()
         if "." not in w and len(w) > 1 and not w.isdigit():
             out.add(w)
-            if f and f[0].isupper():
+            if f[0].isupper():
                 out.add("^" + f)
     return out
 
