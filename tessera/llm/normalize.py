@@ -2,9 +2,11 @@
 
 The characters of a whole Arrow batch become one numpy array. Lookup-table gathers give every
 character its expansion (width and presentation forms, decomposition, kinds of space, nothing
-for invisible characters, Latin letters for look-alikes), expansion offsets place them, marks
-are put in canonical order and composed with their base in vector rounds. No call is made per
-row. Case, accents, raised or circled digits, fractions and squared words are kept.
+for invisible characters), expansion offsets place them, marks are put in canonical order and
+composed with their base in vector rounds. No call is made per row. Case, accents, raised or
+circled digits, fractions and squared words are kept. In the consistent form a letter of another
+script that is printed like a Latin one becomes Latin only inside a word that has Latin letters
+too, so text in Cyrillic or Greek stays what it is; the key of a look replaces it everywhere.
 """
 
 from __future__ import annotations
@@ -20,19 +22,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tessera.llm.codepoints import to_arrow, to_codes
-from tessera.session import durable, width
+from tessera.session import durable, spread
 
 # Letters of other scripts printed like the Latin letter above them.
 LATIN = "aceopxyisjhdqwAABBCCEEHHIIIJKKMMNOOPPSTTXXYYZZ"
 ALIKE = "асеорхуіѕјһԁԛԝАΑВΒСϹЕΕНΗІΙӀЈКΚМΜΝОΟРΡЅТΤХΧΥҮΖΖ"
 ALIKE_EXTRA = {"ο": "o", "ӏ": "l", "ν": "v", "ɡ": "g", "ı": "i", "ϲ": "c", "ϳ": "j", "Ѵ": "V", "Ԛ": "Q", "Ԝ": "W", "ү": "y", "ё": "ë", "Ё": "Ë"}
+# The same of Cherokee, Armenian and Coptic letters.
+CHEROKEE = dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏚᎢᏙᎳᏃᎡ", "ABCDEGHJKLMPSTVWZR"))
+OTHER_SCRIPTS = CHEROKEE | {"օ": "o", "Օ": "O", "ս": "u", "հ": "h", "ց": "g", "զ": "q", "Ս": "U", "Լ": "L", "ⲟ": "o", "Ⲟ": "O", "ⲥ": "c", "Ⲥ": "C"}
 #: Compatibility forms that differ to the eye and therefore stay.
 KEPT = ("<super>", "<sub>", "<circle>", "<fraction>", "<square>", "<font>", "<vertical>")
 INVISIBLE = [0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)]
 
 
 def alike() -> dict[int, int]:
-    return {ord(a): ord(b) for a, b in zip(ALIKE, LATIN)} | {ord(a): ord(b) for a, b in ALIKE_EXTRA.items()}
+    return {ord(a): ord(b) for a, b in zip(ALIKE, LATIN)} | {ord(a): ord(b) for a, b in (ALIKE_EXTRA | OTHER_SCRIPTS).items()}
 
 
 def _expand(c: int, letters: dict[int, int]) -> list[int]:
@@ -158,12 +163,47 @@ def _composed(codes: np.ndarray, row: np.ndarray, t: dict[str, np.ndarray]) -> n
     return keep
 
 
-def canonical(column: pa.Array, fold_letters: bool = True) -> pa.Array:
-    """The consistent form of every text of a column; null stays null, blank text becomes ''."""
-    t = tables(fold_letters)
+@functools.lru_cache(maxsize=1)
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: kind (0 no letter, 1 Latin, 2 printed like a Latin letter, 3 any other letter or mark), and the Latin letter of kind 2."""
+    kind, to = np.zeros(0x30000, np.uint8), np.arange(0x30000, dtype=np.uint32)
+    for c in range(0x30000):
+        if unicodedata.category(chr(c))[0] in "LM":
+            kind[c] = 1 if c < 0x250 or 0x1E00 <= c < 0x1F00 else 3
+    for c, latin in alike().items():
+        kind[c], to[c] = 2, latin
+    for c in (0x131, 0x261):  # Latin letters themselves
+        kind[c] = 1
+    return kind, to
+
+
+def _fold_mixed(codes: np.ndarray, row: np.ndarray) -> None:
+    """Makes look-alike letters Latin, in place, in words with a Latin letter whose other letters are all look-alikes."""
+    table, to = _letters()
+    kind = table[np.minimum(codes, len(table) - 1)]
+    if not (kind == 2).any():
+        return
+    first = (kind > 0) & np.append(True, (kind[:-1] == 0) | (row[1:] != row[:-1]))
+    at = np.flatnonzero(kind > 0)
+    word = np.cumsum(first)[at]
+    n = int(word[-1]) + 1
+    has = [np.bincount(word[kind[at] == k], minlength=n) > 0 for k in (1, 2)]
+    strange = np.bincount(word[(kind[at] == 3) & (codes[at] >= 0x370)], minlength=n) > 0
+    hit = at[(kind[at] == 2) & (has[0] & has[1] & ~strange)[word]]
+    codes[hit] = to[codes[hit]]
+
+
+def canonical(column: pa.Array, fold_letters: bool | None = None) -> pa.Array:
+    """The consistent form of every text of a column; null stays null, blank text becomes ''.
+
+    Letters printed like Latin ones are folded in mixed words (None), everywhere (True, the key of a look) or nowhere (False).
+    """
+    t = tables(bool(fold_letters))
     codes, offsets, valid = to_codes(column)
     codes, offsets = _expanded(codes, offsets, t)
     row = np.repeat(np.arange(len(valid)), np.diff(offsets))
+    if fold_letters is None:
+        _fold_mixed(codes, row)
     codes = _ordered(codes, row, t["ccc"][codes])
     keep = _composed(codes, row, t)
     blank = (codes == 0x20) | (codes == 0xA)
@@ -180,12 +220,10 @@ def canonical(column: pa.Array, fold_letters: bool = True) -> pa.Array:
     return to_arrow(codes[keep], new, valid)
 
 
-def normalize(df: DataFrame, text_col: str, out_col: str = "canonical", fold_letters: bool = True) -> DataFrame:
-    """``df`` with ``out_col``, the consistent form of ``text_col``.
+def normalize(df: DataFrame, text_col: str, out_col: str = "canonical", fold_letters: bool | None = None) -> DataFrame:
+    """``df`` with ``out_col``, the consistent form of ``text_col`` (or, with ``fold_letters`` true, the key of its look).
 
-    Null gives null, empty and blank text ''; a clash of ``out_col`` with a column of ``df`` is
-    refused. With ``fold_letters`` letters of other scripts printed like Latin ones are replaced
-    everywhere, which is right for comparison; without it they stay.
+    Null gives null, empty and blank text ''; a clash of ``out_col`` with a column of ``df`` is refused.
     """
     if out_col in df.columns:
         raise ValueError(f"{out_col} exists already")
@@ -203,15 +241,17 @@ def lookalikes(rows: DataFrame) -> DataFrame:
     """(src, key_a, key_b) for rows (src, key, text) of one source that look the same but differ.
 
     Rows without visible text or key take part in no pair; equal texts are no pair; repeated rows
-    count once. Only looks that occur in two or more spellings are joined, spelling against other
-    spelling, so a look that is always spelt alike costs nothing however many rows have it.
+    count once. The spellings of a look are paired, one row each, and only pairs of spellings are
+    expanded to their rows, so a look that is always spelt alike costs nothing however many rows have it.
     """
-    spark = rows.sparkSession
     plain = rows.select(F.col("src"), F.col("key").cast("string").alias("key"), F.col("text").cast("string").alias("text")).where("key is not null and text is not null")
-    done = normalize(plain.repartition(width(spark), "src", "key"), "text").where("canonical <> ''")
-    marks = durable(done.select("src", "key", F.sha2("canonical", 256).alias("look"), F.md5("text").alias("exact")).distinct(), "looks")
+    done = normalize(spread(plain), "text", "look", True).where("look <> ''")
+    marks = durable(done.select("src", "key", F.sha2("look", 256).alias("look"), F.md5("text").alias("exact")).distinct(), "looks")
     several = marks.groupBy("src", "look").agg(F.min("exact").alias("lo"), F.max("exact").alias("hi")).where("lo <> hi").select("src", "look")
-    some = marks.join(several, ["src", "look"], "left_semi").select("src", "look", "key", "exact")
-    a = some.select("src", "look", F.col("key").alias("key_a"), F.col("exact").alias("ea"))
-    b = some.select("src", "look", F.col("key").alias("key_b"), F.col("exact").alias("eb"))
-    return a.join(b, ["src", "look"]).where("key_a < key_b and ea <> eb").select("src", "key_a", "key_b").distinct()
+    some = durable(marks.join(several, ["src", "look"], "left_semi"), "spellings")
+    spelt = some.select("src", "look", "exact").distinct()
+    pairs = spelt.withColumnRenamed("exact", "ea").join(spelt.withColumnRenamed("exact", "eb"), ["src", "look"]).where("ea < eb")
+    a = some.select("src", "look", F.col("key").alias("one"), F.col("exact").alias("ea"))
+    b = some.select("src", "look", F.col("key").alias("two"), F.col("exact").alias("eb"))
+    out = pairs.join(a, ["src", "look", "ea"]).join(b, ["src", "look", "eb"]).where("one <> two")
+    return out.select("src", F.least("one", "two").alias("key_a"), F.greatest("one", "two").alias("key_b")).distinct()

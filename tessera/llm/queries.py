@@ -30,8 +30,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
-    """The consistent form of every text, question and name."""
-    return normalize.normalize(_looks(spark, d), "text").drop("text")
+    """The consistent form of every text, question and name, and the key of its look."""
+    return normalize.normalize(normalize.normalize(_looks(spark, d), "text"), "text", "look", True).drop("text")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

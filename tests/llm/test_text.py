@@ -30,6 +30,12 @@ def test_canonical_keeps_what_differs():
     assert got == ["FY²", "2①", "½", "F2", "Group", "", None, ""]
 
 
+def test_canonical_keeps_other_scripts():
+    texts = ["Расходы выросли", "Сорт", "Τα κόστη", "Prісе", "раypal", "ЅАР 5", "Ꭺpple", "наy", "кофе-bar", "Ёлка"]
+    assert normalize.canonical(pa.array(texts)).to_pylist() == ["Расходы выросли", "Сорт", "Τα κόστη", "Price", "paypal", "ЅАР 5", "Apple", "наy", "кофе-bar", "Ёлка"]
+    assert normalize.canonical(pa.array(["Сорт", "СОРЕ"]), True).to_pylist() == ["Copт", "COPE"]
+
+
 def test_lookalikes(spark):
     rows = [("s", "1", "Café X"), ("s", "2", "Café X"), ("s", "2", "Café X"), ("s", "3", "Cafe X"), ("t", "4", "Café X"), ("s", "5", "CAFÉ X"), ("s", None, "Café X"), ("s", "6", None), ("s", "7", "​"), ("s", "8", " "), ("s", "9", "Café X")]
     df = spark.createDataFrame([(*x, "clash") for x in rows], "src string, key string, text string, look string")
