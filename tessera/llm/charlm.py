@@ -11,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 _PRIME = np.uint64(0x100000001B3)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def keys(codes: np.ndarray, order: int) -> np.ndarray:
@@ -19,7 +20,7 @@ def keys(codes: np.ndarray, order: int) -> np.ndarray:
     for i in range(order):
         h = (h ^ (codes[i : i + len(h)].astype(np.uint64) + np.uint64(1))) * _PRIME
         h ^= h >> np.uint64(29)
-    return h
+    return h * _SPREAD
 
 
 class CharModels:
@@ -45,9 +46,20 @@ class CharModels:
             self.keys.append(every)
             self.prob.append(prob)
             self.pass_on.append(gamma)
+        self._index()
         self.floor = np.array([p[-1] for p in per], np.float32)
         return self
 
+    def _index(self) -> None:
+        """Where the hashes of every leading bit pattern begin: a look-up starts there, as hashes are spread evenly."""
+        self.begin, self.shift, self.most = [], [], []
+        for table in self.keys:
+            bits = max(1, int(len(table)).bit_length())
+            begin = np.searchsorted(table, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+            self.begin.append(np.append(begin, len(table)).astype(np.int32))
+            self.shift.append(np.uint64(64 - bits))
+            self.most.append(int(np.diff(self.begin[-1]).max()))
+
     def _one(self, codes: np.ndarray) -> list:
         """Per order: n-gram hashes, log probability, log weight as a context; last the log probability of an unknown character."""
         top = self.order
@@ -63,7 +75,7 @@ class CharModels:
                 h = h[start]
             u, first, count = np.unique(h, return_index=True, return_counts=True)
             grams.append((u, start[first], count))
-        shorter = [keys(codes, k) for k in range(0, top + 1)]
+        shorter = [keys(codes, k) for k in range(top + 1)]
         out: list = []
         v = max(2, len(grams[0][0]) + 1)
         low_key, low_log, floor = None, None, 0.0
@@ -133,6 +145,16 @@ class CharModels:
         return out
 
     def _look(self, k: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the sorted array, found) of every hash."""
         table = self.keys[k]
-        at = np.minimum(np.searchsorted(table, h), len(table) - 1)
-        return at, table[at] == h
+        at = np.minimum(self.begin[k][(h >> self.shift[k]).astype(np.int64)], len(table) - 1).astype(np.int64)
+        hit = table[at] == h
+        todo = np.flatnonzero(~hit & (table[at] < h))
+        for _ in range(self.most[k]):
+            if not len(todo):
+                break
+            at[todo] = np.minimum(at[todo] + 1, len(table) - 1)
+            now = table[at[todo]]
+            hit[todo] = now == h[todo]
+            todo = todo[now < h[todo]]
+        return at, hit

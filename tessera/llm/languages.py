@@ -1,9 +1,13 @@
 """Language of documents and of their segments (problem 1).
 
-Kneser-Ney character models of each language are fitted to a bounded sample of labelled rows,
-at most ``SAMPLE`` per language taken by a hash of the key; since labels may be wrong, sentences
-whose 4-grams are commoner under another label are left out first. A unit gets the language of least cross-entropy per character; one whose best value is
-above the calibrated limit of that language (nothing of any known language) is rejected.
+Kneser-Ney character models are fitted to plain sentences of every language and to a bounded
+sample of labelled rows, at most ``SAMPLE`` per language taken by a hash of the key; since labels
+may be wrong, sentences whose 4-grams are commoner under another label are left out first. The
+models of the languages of one script share sorted hash arrays; a unit is scored by those of its
+main script and gets the language of least cross-entropy per character. It is rejected where a
+language that is to be rejected is nearer, or where the cross-entropy is above the limit, which
+comes from plain sentences the models have not seen and widens for short units. The confidence is
+a softmax of the cross-entropies whose scale is fitted to those sentences as well.
 """
 
 from __future__ import annotations
@@ -21,8 +25,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.charlm import CharModels, keys
 from tessera.llm.normalize import alike
+from tessera.llm.plain_sentences import KNOWN, OTHER
 from tessera.llm.sentences import plain, split_units
-from tessera.session import width
+from tessera.session import durable, spread
 
 #: Labelled rows per language the models are fitted to.
 SAMPLE = 500
@@ -72,14 +77,16 @@ def label_codes(label: str | None) -> tuple[str, ...] | None:
     return tuple(sorted(out)) or None
 
 
-def label_column(c: str):
-    """The labels of a column as codes joined by '+'; null where they name none."""
+def with_codes(rows: DataFrame, label: str = "label", out: str = "code") -> DataFrame:
+    """``rows`` with the codes their label names, joined by '+', or null; every different label is read once."""
 
     @F.pandas_udf("string")
     def codes(s: pd.Series) -> pd.Series:
         return s.map(lambda x: "+".join(label_codes(x) or ()) or None)
 
-    return codes(F.col(c))
+    kinds = rows.select(F.coalesce(F.col(label), F.lit("")).alias("_label")).distinct()
+    kinds = durable(kinds.withColumn(out, codes("_label")), "labels")
+    return rows.withColumn("_label", F.coalesce(F.col(label), F.lit(""))).join(kinds, "_label", "left").drop("_label")
 
 
 def _segments(text: str) -> list[tuple[int, int]]:
@@ -147,47 +154,85 @@ def unmixed(units: list[tuple[str, str]], languages: list[str], rounds: int = 3,
 
 
 class Identifier:
-    """Models with the cross-entropy limits of rejection and the main script of each language."""
-
-    def __init__(self, languages: list[str]):
-        self.models = CharModels(languages, ORDER)
-        self.limit = np.full(len(languages), np.inf)
-        self.script = np.zeros(len(languages), np.int64)
-
-    def entropy(self, units: list[str], most: int = 200_000) -> np.ndarray:
-        """(units, languages) cross-entropy per character, in nats."""
-        out = np.full((len(units), len(self.models.languages)), 99.0)
-        lo = 0
-        while lo < len(units):
-            hi, n = lo, 0
-            while hi < len(units) and (n == 0 or n + len(units[hi]) < most):
-                n += len(units[hi]) + 3
-                hi += 1
-            codes, unit = _codes(units[lo:hi])
-            score = self.models.score(codes)
-            starts = np.flatnonzero(codes == 0)
-            length = np.diff(np.append(starts, len(codes))) - 1
-            part = -np.add.reduceat(score, starts, axis=0) / length[:, None]
-            out[lo:hi] = np.where((self.script == 0) | (scripts(codes, starts)[:, None] == self.script), part, 99.0)
-            lo = hi
+    """Models by script with the limits of rejection and the scale of confidence."""
+
+    def __init__(self) -> None:
+        self.groups: dict[int, CharModels] = {}
+        self.limit: dict[str, tuple[float, float]] = {}
+        self.scale = (1.0, 0.5)
+
+    def fit(self, rows: list[tuple[str, str]]) -> Identifier:
+        """Models from (language, cleaned unit) rows."""
+        by: dict[str, list[str]] = {}
+        for c, u in rows:
+            by.setdefault(c, []).append(u)
+        script: dict[int, list[str]] = {}
+        for c, us in sorted(by.items()):
+            codes, _ = _codes(us)
+            script.setdefault(int(np.bincount(scripts(codes, np.flatnonzero(codes == 0))).argmax()), []).append(c)
+        for k, languages in script.items():
+            self.groups[k] = CharModels(languages, ORDER).fit([_codes(by[c])[0] for c in languages])
+        return self
+
+    def entropy(self, units: list[str], most: int = 200_000) -> list[tuple[list[str], np.ndarray] | None]:
+        """(languages, cross-entropy per character in nats) of each unit under the models of its script; None where no model is of it."""
+        out: list[tuple[list[str], np.ndarray] | None] = [None] * len(units)
+        if not units:
+            return out
+        codes, _ = _codes(units)
+        kind = scripts(codes, np.flatnonzero(codes == 0))
+        for k, models in self.groups.items():
+            own = np.flatnonzero(kind == k).tolist()
+            lo = 0
+            while lo < len(own):
+                hi, n = lo, 0
+                while hi < len(own) and (n == 0 or n + len(units[own[hi]]) < most):
+                    n += len(units[own[hi]]) + 3
+                    hi += 1
+                codes, _ = _codes([units[i] for i in own[lo:hi]])
+                starts = np.flatnonzero(codes == 0)
+                length = np.diff(np.append(starts, len(codes))) - 1
+                h = -np.add.reduceat(models.score(codes), starts, axis=0) / length[:, None]
+                for i, row in zip(own[lo:hi], h):
+                    out[i] = models.languages, row
+                lo = hi
         return out
 
+    def confidence(self, h: np.ndarray, length: int) -> np.ndarray:
+        """Probability of each language of a script."""
+        t, power = self.scale
+        x = np.minimum((h - h.min()) * t * length**power, 50.0)
+        p = np.exp(-x)
+        return p / p.sum()
+
     def judge(self, units: list[str]) -> list[tuple[str | None, float]]:
         """(language or None where rejected, confidence) of each cleaned unit."""
-        h = self.entropy(units)
-        best = h.argmin(axis=1) if len(h) else np.zeros(0, int)
-        out = []
-        for i, u in enumerate(units):
-            letters = sum(3 if ord(c) > 0x2E80 else 1 for c in u if c != " ")
-            gap = np.minimum((h[i] - h[i, best[i]]) * min(len(u) + 2, 60) * 0.5, 50.0)
-            conf = float(1.0 / np.exp(-gap).sum())
-            ok = letters >= 6 and h[i, best[i]] <= self.limit[best[i]]
-            out.append((self.models.languages[best[i]] if ok else None, conf if ok else 0.0))
+        out: list[tuple[str | None, float]] = []
+        for u, hit in zip(units, self.entropy(units)):
+            if hit is None or not u:
+                out.append((None, 0.0))
+                continue
+            languages, h = hit
+            best = int(h.argmin())
+            lang = languages[best]
+            mean, width_ = self.limit.get(lang, (np.inf, 0.0))
+            if lang in OTHER or h[best] > mean + width_ / np.sqrt(len(u)):
+                out.append((None, 0.0))
+            else:
+                out.append((lang, float(self.confidence(h, len(u))[best])))
         return out
 
 
+def _plain_units(table: dict[str, str]) -> list[tuple[str, str]]:
+    return [(c, _clean(line)) for c, text in table.items() for line in text.split("\n")]
+
+
 def fit(sample: list[tuple[str, str]]) -> Identifier:
-    """Models from (code, text) rows, cleaned once of what the first fit gives to another language."""
+    """Models from (code, text) rows and the plain sentences; an empty sample leaves the plain sentences alone.
+
+    Limits and the scale of confidence come from plain sentences, every fourth of which is held
+    out in turn, so they are of another kind of text than the sample.
+    """
     units: list[tuple[str, str]] = []
     for code, text in sample:
         for a, b in _segments(text):
@@ -195,33 +240,42 @@ def fit(sample: list[tuple[str, str]]) -> Identifier:
             if len(u) >= 6:
                 units.append((code, u))
     units = list(dict.fromkeys(units))
-    languages = sorted({c for c, _ in units}) or ["en"]
-
-    def build(rows: list[tuple[str, str]]) -> Identifier:
-        ident = Identifier(languages)
-        ident.models.fit([_codes([u for c, u in rows if c == code] or ["x"])[0] for code in languages])
-        for j, code in enumerate(languages):
-            codes, _ = _codes([u for c, u in rows if c == code] or ["x"])
-            ident.script[j] = np.bincount(scripts(codes, np.flatnonzero(codes == 0))).argmax()
-        return ident
-
-    if not units:
-        return build([("en", "x")])
-    rows = [x for x, ok in zip(units, unmixed(units, languages)) if ok]
-    have = {c for c, _ in rows}
-    rows += [x for x in units if x[0] not in have]
-    half = [x for i, x in enumerate(rows) if i % 2]
-    final = build(rows)
-    if {c for c, _ in half} == set(languages):  # limits come from sentences the model has not seen
-        held = [x for i, x in enumerate(rows) if not i % 2]
-        h = build(half).entropy([u for _, u in held])
-        for j, code in enumerate(languages):
-            own = [h[i, j] for i, (c, _) in enumerate(held) if c == code]
-            if own:
-                final.limit[j] = np.quantile(own, 0.99) * 1.5 + 1.2
+    languages = sorted({c for c, _ in units})
+    rows = [x for x, ok in zip(units, unmixed(units, languages)) if ok] if units else []
+    seed, other = _plain_units(KNOWN), _plain_units(OTHER)
+    plain_rows = seed + other
+    seen: dict[str, list[tuple[float, int]]] = {}
+    checks: list[tuple[np.ndarray, int, int]] = []
+    for fold in range(FOLDS):
+        held = [x for i, x in enumerate(plain_rows) if i % FOLDS == fold]
+        kept = [x for i, x in enumerate(plain_rows) if i % FOLDS != fold]
+        part = Identifier().fit([x for i, x in enumerate(rows) if i % FOLDS == fold] + kept)
+        pieces = [(c, p) for c, u in held for p in (u, u[: len(u) // 2], u[len(u) // 2 :], u[: len(u) // 4]) if len(p) > 3]
+        for (c, u), hit in zip(pieces, part.entropy([u for _, u in pieces])):
+            if hit is not None and c in hit[0]:
+                j = hit[0].index(c)
+                seen.setdefault(c, []).append((float(hit[1][j]), len(u)))
+                checks.append((hit[1], j, len(u)))
+    final = Identifier().fit(rows + plain_rows)
+    for c, xs in seen.items():
+        h, n = np.array([x for x, _ in xs]), np.array([k for _, k in xs])
+        mean = float(np.average(h, weights=n))
+        final.limit[c] = mean, float(np.quantile((h - mean) * np.sqrt(n), 0.995))
+    best = np.inf
+    for power in (0.5, 0.75, 1.0):
+        for t in np.geomspace(0.2, 10.0, 25):
+            trial = Identifier()
+            trial.scale = (float(t), power)
+            loss = -sum(np.log(max(1e-12, trial.confidence(h, n)[j])) for h, j, n in checks)
+            if loss < best:
+                best, final.scale = loss, trial.scale
     return final
 
 
+#: Parts the plain sentences are held out in.
+FOLDS = 4
+
+
 def identify(text: str | None, ident: Identifier) -> list[tuple[int, int, str | None, float, bool]]:
     """(start, end, language, confidence, full sentence) of the units of one text."""
     if not text or not text.strip():
@@ -231,13 +285,25 @@ def identify(text: str | None, ident: Identifier) -> list[tuple[int, int, str |
     verdict = ident.judge(clean)
     out = []
     for (a, b), u, (lang, conf) in zip(places, clean, verdict):
-        full = bool(_STOP.search(text[a:b].rstrip())) or (lang == "th" and len(u) >= 20)
-        out.append((a, b, lang, conf, full and len(u) >= (4 if lang in ("zh", "ja") else 10)))
+        out.append((a, b, lang, conf, _full(text[a:b], u, lang)))
     return out
 
 
+def _full(unit: str, clean: str, lang: str | None) -> bool:
+    """Is a unit a full sentence: it has a stop and more than one word (or two ideographs), or is Thai, which has no stops, and of some length?"""
+    if lang == "th":
+        return len(clean) >= THAI_SENTENCE
+    return bool(_STOP.search(unit.rstrip())) and (" " in clean or lang in ("zh", "ja", "th") and len(clean) > 1)
+
+
+#: Letters from which a Thai unit counts as a sentence; Thai has no mark for its end.
+THAI_SENTENCE = 20
+#: Confidence from which a full sentence adds its language to those of the text.
+SURE = 0.97
+
+
 def whole(units: list[tuple[int, int, str | None, float, bool]]) -> tuple[str | None, float]:
-    """(codes joined by '+', confidence) of a text: the languages of its full sentences, at most the two with most text."""
+    """(codes joined by '+', confidence) of a text: the language with most text in full sentences and all others of which one sentence is sure."""
     for only_full in (True, False):
         size: dict[str, float] = {}
         sure: dict[str, float] = {}
@@ -250,20 +316,22 @@ def whole(units: list[tuple[int, int, str | None, float, bool]]) -> tuple[str |
         top = sorted(size, key=lambda x: (-size[x], x))
         if not only_full:
             return top[0], sure[top[0]]
-        pick = [top[0], *[x for x in top[1:] if sure[x] >= 0.97]][:2]
+        pick = [top[0], *[x for x in top[1:] if sure[x] >= SURE]]
         return "+".join(sorted(pick)), min(sure[x] for x in pick)
     return None, 0.0
 
 
 def labelled_sample(rows: DataFrame, per_language: int = SAMPLE) -> list[tuple[str, str]]:
     """At most ``per_language`` (code, text) rows of each single-language label, by hash of the key, among texts of at most ``LONGEST`` characters; all that is gathered is so bounded."""
-    keyed = rows.where("text is not null and trim(text) <> ''").where(F.char_length("text") <= LONGEST).withColumn("code", label_column("label")).where(F.length("code") == 2)
+    keyed = with_codes(rows.where("text is not null and trim(text) <> ''").where(F.char_length("text") <= LONGEST)).where(F.length("code") == 2)
     counts = {r.code: r["count"] for r in keyed.groupBy("code").count().collect()}
     if not counts:
         return []
-    share = F.create_map(*[x for c, n in counts.items() for x in (F.lit(c), F.lit(int(1e6 * min(1.0, 1.5 * per_language / n))))])
-    some = keyed.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < share[F.col("code")])
-    rank = F.row_number().over(Window.partitionBy("code").orderBy(F.xxhash64("key"), "key", "text"))
+    # the hash as a number from 0 to 1: the share may be as small as it likes, half as much again as needed is taken and cut exactly
+    at = F.xxhash64("key", "text").cast("double") / float(1 << 64) + 0.5
+    share = F.create_map(*[x for c, n in counts.items() for x in (F.lit(c), F.lit(1.5 * per_language / n + 1e-15))])
+    some = keyed.where(at < share[F.col("code")])
+    rank = F.row_number().over(Window.partitionBy("code").orderBy(at, "key", "text"))
     picked = some.withColumn("r", rank).where(F.col("r") <= per_language).select("code", "text")
     return [(r.code, r.text) for r in picked.collect()]
 
@@ -281,35 +349,35 @@ def segments(rows: DataFrame, ident: Identifier) -> DataFrame:
     return _run(rows, ident, True)
 
 
+#: Verdicts on cleaned units a worker keeps; beyond that it starts anew.
+KEPT = 100_000
+
+
 def _run(rows: DataFrame, ident: Identifier, parts: bool) -> DataFrame:
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(ident)
-    data = rows.select("src", F.col("key").cast("string").alias("key"), "text", "label").distinct().repartition(width(spark), "src", "key")
+    shared = rows.sparkSession.sparkContext.broadcast(ident)
+    data = rows.select("src", F.col("key").cast("string").alias("key"), "text", "label").distinct()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
+        known: dict[str, tuple[str | None, float]] = {}
         for pdf in batches:
-            for lo in range(0, len(pdf), 500):
-                part = pdf.iloc[lo : lo + 500]
+            for lo in range(0, len(pdf), 1000):
+                part = pdf.iloc[lo : lo + 1000]
                 out = []
-                places, clean, owner = [], [], []
-                for i, t in enumerate(part.text):
-                    for a, b in _segments(t) if t and t.strip() else ():
-                        places.append((a, b))
-                        clean.append(_clean(t[a:b]))
-                        owner.append(i)
-                verdict = model.judge(clean)
-                units: list[list] = [[] for _ in range(len(part))]
                 texts = part.text.tolist()
-                for (a, b), u, (lang, conf), i in zip(places, clean, verdict, owner):
-                    full = bool(_STOP.search(texts[i][a:b].rstrip())) or (lang == "th" and len(u) >= 20)
-                    units[i].append((a, b, lang, conf, full and len(u) >= (4 if lang in ("zh", "ja") else 10)))
-                for src, key, label, own in zip(part.src, part.key, part.label, units):
+                places = [_segments(t) if t and t.strip() else [] for t in texts]
+                clean = [[_clean(t[a:b]) for a, b in own] for t, own in zip(texts, places)]
+                if len(known) > KEPT:
+                    known.clear()
+                new = list(dict.fromkeys(u for own in clean for u in own if u not in known))
+                known.update(zip(new, model.judge(new)))
+                for src, key, label, t, own, us in zip(part.src, part.key, part.label, texts, places, clean):
+                    units = [(a, b, *known[u], _full(t[a:b], u, known[u][0])) for (a, b), u in zip(own, us)]
                     if not parts:
-                        out.append((src, key, label, *whole(own)))
+                        out.append((src, key, label, *whole(units)))
                         continue
                     runs: list[list] = []
-                    for a, b, lang, conf, _ in own:
+                    for a, b, lang, conf, _ in units:
                         if lang and runs and runs[-1][2] == lang:
                             runs[-1][1] = b
                             runs[-1][3] = min(runs[-1][3], conf)
@@ -325,5 +393,5 @@ def _run(rows: DataFrame, ident: Identifier, parts: bool) -> DataFrame:
 
 def mislabelled(detected: DataFrame) -> DataFrame:
     """(src, key, lang) of the rows whose label is missing or names something else than the language found."""
-    told = label_column("label")
-    return detected.where("lang is not null").withColumn("told", told).where("told is null or told <> lang").select("src", "key", "lang").distinct()
+    told = with_codes(durable(detected.where("lang is not null"), "detected"), out="told")
+    return told.where("told is null or told <> lang").select("src", "key", "lang").distinct()
