@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from tessera.llm.charlm import CharModels, keys
 from tessera.llm.normalize import alike
 from tessera.llm.plain_sentences import KNOWN, OTHER
-from tessera.llm.sentences import plain, split_units
-from tessera.session import durable, spread
+from tessera.llm.sentences import Evidence, plain, split_units
+from tessera.session import durable, width
 
 #: Labelled rows per language the models are fitted to.
 SAMPLE = 500
@@ -51,8 +51,8 @@ UNKNOWN = frozenset(["", "n/a", "na", "unknown", "und", "none", "null", "-", "?"
 _BY_NAME = {n: code for code, names in NAMES.items() for n in names.split()}
 _LONG = [n for n in _BY_NAME if len(n) > 4]
 _JOIN = regex.compile(r"(?<=[^\s.!?。！？।:：”»)）」])[ ]*\n[ ]*(?=\S)")
-_GLUED = regex.compile(r"(?<=\p{Ll}[.!?])(?=\p{Lu}\p{Ll})|(?<=[。！？।])(?=\S)")
-_CODE = regex.compile(r"[A-Za-z0-9/+=_-]{40,}|https?:\S+|\b[A-Z]{2,}(?:-[A-Z0-9.]+)+\b")
+_GLUED = regex.compile(r"(?<=\p{Ll}[.!?])(?=\p{Lu}\p{Ll})|(?<=[。！？।])(?=\S)|(?<=\p{Latin}[.!?]\s)(?=[\p{L}--\p{Latin}])", regex.V1)
+_CODE = regex.compile(r"[A-Za-z0-9/+=_-]{40,}+|https?:\S+|\b[A-Z]{2,}+(?:-[A-Z0-9.]+)+\b")
 _STOP = regex.compile(r"[.!?…。！？।][”»\"')）」\]]*$")
 
 
@@ -89,27 +89,35 @@ def with_codes(rows: DataFrame, label: str = "label", out: str = "code") -> Data
     return rows.withColumn("_label", F.coalesce(F.col(label), F.lit(""))).join(kinds, "_label", "left").drop("_label")
 
 
+_USUAL = Evidence()  # only the usual abbreviations: a cut more or less does not change a language
+
+
 def _segments(text: str) -> list[tuple[int, int]]:
     """Places of the units of a text; lines broken inside a sentence are joined for the cut."""
     joined = _JOIN.sub(lambda m: " " * len(m.group()), text)
     out = []
-    for a, b in split_units(joined):
+    for a, b in split_units(joined, _USUAL):
         cut = [a, *(m.start() for m in _GLUED.finditer(text, a, b)), b]
         out += [(x, y) for x, y in zip(cut, cut[1:]) if text[x:y].strip()]
     return out
 
 
 _FOLD = str.maketrans({chr(a): chr(b) for a, b in alike().items()})
+_FOREIGN = regex.compile(r"[\p{Cyrillic}\p{Greek}][A-Za-z]|[A-Za-z][\p{Cyrillic}\p{Greek}]")
 _MIXED = regex.compile(r"\w*(?:[a-z][\p{Cyrillic}\p{Greek}]|[\p{Cyrillic}\p{Greek}][a-z])\w*", regex.I)
 
 
+_LETTERS_ONLY = regex.compile(r"[^\p{L}\p{M}'’]+")
+_NOT_ASCII_LETTER = regex.compile(r"[^a-z']+")
+
+
 def _clean(s: str) -> str:
     """Lower-case letters of a unit; look-alike letters inside words of Latin letters are made Latin."""
+    if s.isascii():
+        return _NOT_ASCII_LETTER.sub(" ", _CODE.sub(" ", s).lower()).strip()
     s = unicodedata.normalize("NFC", s)
-    if not s.isascii():
-        s = _MIXED.sub(lambda m: m.group().translate(_FOLD), s)
-    s = _CODE.sub(" ", plain(s)[0].replace("\n", " ")).lower()
-    return regex.sub(r"[^\p{L}\p{M}'’]+", " ", s).strip()
+    s = plain(_MIXED.sub(lambda m: m.group().translate(_FOLD), s) if _FOREIGN.search(s) else s)[0]
+    return _LETTERS_ONLY.sub(" ", _CODE.sub(" ", s).lower()).strip()
 
 
 def _codes(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -355,7 +363,7 @@ KEPT = 100_000
 
 def _run(rows: DataFrame, ident: Identifier, parts: bool) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(ident)
-    data = rows.select("src", F.col("key").cast("string").alias("key"), "text", "label").distinct()
+    data = rows.select("src", F.col("key").cast("string").alias("key"), "text", "label").distinct().repartition(width(rows.sparkSession))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value

@@ -48,6 +48,7 @@ _YEAR = regex.compile(r"\s*\d+年")
 _GOES_ON = regex.compile(r"\s*[,;:–—]")
 _BLANK = regex.compile(r"\s*")
 _AFTER = regex.compile(r"[,;:–—]|[.!?。！？।]")
+_PAIRED = regex.compile(r"[“”„«»()（）「」『』\[\]【】《》‹›｢｣〈〉\"]")
 _NEXT = regex.compile(r"\p{L}[\p{L}\p{M}\p{N}'’\-]*")
 
 
@@ -169,7 +170,7 @@ def _pairs(s: str) -> dict[int, int]:
     """Opening place -> closing place of the quotations and brackets of a line; lone marks are left out."""
     stack: list[tuple[str, int]] = []
     out: dict[int, int] = {}
-    for m in regex.finditer(r"[“”„«»()（）「」『』\[\]【】《》‹›｢｣〈〉\"]", s):
+    for m in _PAIRED.finditer(s):
         ch, i = m.group(), m.start()
         if ch == '"':
             if stack and stack[-1][0] == '"':
