@@ -1,18 +1,21 @@
 """Text of scanned pages repaired into continuous paragraphs (problem 2).
 
 Running headers and page numbers are taken out, the lines become one stream, and the stream is
-decoded by a shortest path over words: a word may stand as it is, be a confusion of a known
+decoded by a shortest path over its words: a word may stand as it is, be a misreading of a known
 word, be joined with the next across a line end (with or without a hyphen) or across a blank
 inside a line, or be two known words run together. Two words are taken apart only if clean files
 have them side by side, else every compound of two known words would be; halves parted by a blank
-are put together only if one of them is unknown and the whole is known as it stands. What is known comes from the counts of all words of files that are not
-scans; the words of the scans, their joins and their possible readings are looked up in these
-counts by joins on distinct strings, so neither table is ever gathered or broadcast. Paragraph
-boundaries are then chosen by dynamic programming over the lines.
+are put together only if one of them is unknown and the whole is known as it stands. What is
+known comes from the counts of all words of files that are not scans; the words of the scans and
+their joins are looked up in these counts by joins on distinct strings. Misreadings are found by
+a join too: confusable characters are spelt alike in the key of a word, so a misread word and the
+right one have the same key, and only words of equal key are aligned. Neither table is ever
+gathered or broadcast. Paragraph boundaries are then chosen by dynamic programming over the lines.
 """
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,58 +25,89 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.sentences import plain
-from tessera.session import durable, width
+from tessera.session import durable, spread, width
 
 # What is read in place of what, as a reader of print confuses them.
 CONFUSED = [("c", "e"), ("l", "i"), ("f", "t"), ("@", "a"), ("ri", "n"), ("5", "s"), ("0", "o"), ("1", "l"), ("1", "i"), ("9", "g"), ("ii", "u"), ("ii", "ü"), ("rn", "m"), ("li", "h"), ("6", "é"), ("6", "b"), ("vv", "w"), ("cl", "d"), ("8", "b"), ("i", "l"), ("rl", "n"), ("|", "l"), ("$", "s"), ("€", "e"), ("q", "g"), ("u", "v"), ("tl", "d"), ("с", "е"), ("з", "э"), ("ш", "щ")]
 _DIGITS = str.maketrans({"O": "0", "o": "0", "Z": "2", "z": "2", "S": "5", "s": "5", "l": "1", "I": "1", "|": "1", "B": "8", "g": "9", "b": "6"})
 MARKS = "-‐‑¬\xad"
 WORD = regex.compile(r"[[\p{L}\p{M}\p{N}@|$€]--[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]]+(?:['’][\p{L}\p{M}@0-9]+)*", regex.V1)
+_LINE_END = regex.compile(rf"([[\p{{L}}\p{{M}}\p{{N}}@|$€]--[\p{{Han}}]]+)([{MARKS}]?)$", regex.V1)
 _COMPOUND = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:-[\p{L}\p{M}\p{N}]+)+")
 _NUMERAL = regex.compile(r"(?<![\p{L}\p{N}.,])[\dOZSBlI|]+(?:[.,][\dOZSBlI|]+)*(?![\p{L}\p{N}])")
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 LEAST = 2
-MOST_CHANGES = 3
+_rx = functools.lru_cache(maxsize=None)(regex.compile)
+#: Price of an unknown word, of a misreading and of each confusion in it: one with six confusions or more costs more than an unknown word.
+UNKNOWN, MISREAD, CONFUSION = 6.0, 2.5, 0.6
+#: Longest line that can be a running header.
+HEADER_WIDTH = 90
 TORN = 4.5  # price of two words run together, or of one word parted by a blank: above a word with one confusion beside a known one, below an unknown word
 
 
 def fold(word: str) -> str:
     """The form words are counted under: lower case, digits as 0."""
-    return regex.sub(r"\d", "0", word.lower())
-
-
-def readings(word: str) -> dict[str, int]:
-    """Words that ``word`` may be a misreading of, with the number of confusions, at most ``MOST_CHANGES``; digits and signs inside words must all be read as letters."""
-    w = word.lower()
-    if len(w) > 60 or not any(c.isalpha() for c in w):
-        return {}
-    out: dict[str, int] = {}
-    front = {(0, ""): 0}  # (read so far, written so far) -> confusions
-    for _ in range(len(w) + 1):
-        nxt: dict[tuple[int, str], int] = {}
-        for (i, s), k in front.items():
-            if i == len(w):
-                if k and (s not in out or out[s] > k):
-                    out[s] = k
-                continue
-            ch = w[i]
-            if not (ch.isdigit() or ch in "@|$€"):
-                key = (i + 1, s + ch)
-                if nxt.get(key, 99) > k:
-                    nxt[key] = k
-            if k < MOST_CHANGES:
-                for wrong, right in CONFUSED:
-                    if w.startswith(wrong, i):
-                        key = (i + len(wrong), s + right)
-                        if nxt.get(key, 99) > k + 1:
-                            nxt[key] = k + 1
-        if len(nxt) > 1500:
-            nxt = dict(sorted(nxt.items(), key=lambda x: x[1])[:1500])
-        front = nxt
-        if not front:
-            break
-    out.pop(w, None)
-    return out
+    return _rx(r"\d").sub("0", word.lower())
+
+
+def _spellings() -> dict[str, str]:
+    """What every confusable character is spelt as in a key; both sides of every pair of ``CONFUSED`` come out alike.
+
+    Single characters that stand for each other share a letter; a character that is read as two
+    is spelt as these two. As cl and tl are both read for d, c and t share a letter as well.
+    """
+    same = [[r, w] for w, r in CONFUSED if len(w) == len(r) == 1] + [["c", "t"]]
+    group: dict[str, str] = {}
+
+    def find(c: str) -> str:
+        while group.get(c, c) != c:
+            c = group[c]
+        return c
+
+    for x, y in same:
+        x, y = sorted((find(x), find(y)))
+        group[y] = x
+    long = {find(r): w for w, r in CONFUSED if len(w) == 2}
+
+    def spell(c: str) -> str:
+        c = find(c)
+        return "".join(map(spell, long[c])) if c in long else c
+
+    return {c: spell(c) for w, r in CONFUSED for c in w + r}
+
+
+_SPELT = str.maketrans(_spellings())
+_BY_RIGHT: dict[str, list[str]] = {}
+for _wrong, _right in CONFUSED:
+    _BY_RIGHT.setdefault(_right, []).append(_wrong)
+_SIGNS = frozenset("@|$€")
+
+
+def key(word: str) -> str:
+    """The same for a word and all its misreadings."""
+    return word.translate(_SPELT)
+
+
+def changes(word: str, right: str) -> int | None:
+    """Least number of confusions by which ``right`` was read as ``word``, or None; digits and signs in words must all be confusions."""
+    now = {0: 0}  # places in ``word`` -> confusions so far
+    for ch in right:
+        nxt: dict[int, int] = {}
+        for i, k in now.items():
+            if i < len(word) and word[i] == ch and not (ch.isdigit() or ch in _SIGNS) and nxt.get(i + 1, 99) > k:
+                nxt[i + 1] = k
+            for wrong in _BY_RIGHT.get(ch, ()):
+                if word.startswith(wrong, i) and nxt.get(i + len(wrong), 99) > k + 1:
+                    nxt[i + len(wrong)] = k + 1
+        now = nxt
+        if not now:
+            return None
+    return now.get(len(word))
+
+
+_DIGIT = regex.compile(r"\d")
+_TAIL = regex.compile(WORD.pattern + "$", regex.V1)
+_HEAD = WORD
 
 
 def halves(word: str) -> list[str]:
@@ -96,7 +130,7 @@ def _torn(a: str, b: str) -> bool:
 
 
 def page_of(locator: str | None) -> int | None:
-    m = regex.search(r"(?:page=|;p|\bp\.? ?)(\d+)", locator or "")
+    m = _rx(r"(?:page=|;p|\bp\.? ?)(\d+)").search(locator or "")
     return int(m.group(1)) if m else None
 
 
@@ -107,19 +141,20 @@ def _roman(s: str) -> int | None:
     return sum(-a if a < b else a for a, b in zip(v, [*v[1:], 0]))
 
 
+@functools.lru_cache(maxsize=20_000)
 def _letters(s: str) -> str:
     """Letters of a line without its period, misread letters folded."""
-    s = regex.sub(r"\b[12][\dOo]\d\d(?:[HQ]\d)?\b", " ", s).replace("5", "s").replace("1", "l").replace("0", "o").replace("8", "b").replace("@", "a")
-    return regex.sub(r"[^\p{L}]", "", s).lower().translate(str.maketrans("cf", "et"))
+    s = _rx(r"\b[12][\dOo]\d\d(?:[HQ]\d)?\b").sub(" ", s).replace("5", "s").replace("1", "l").replace("0", "o").replace("8", "b").replace("@", "a")
+    return _rx(r"[^\p{L}]").sub("", s).lower().translate(str.maketrans("cf", "et"))
 
 
 def page_number(line: str, page: int | None, last: int | None = None) -> bool:
     """Is the whole line the number of its page, bare or dressed ('Page 3 of 9', '- 3 -', 'p. 3', 'iii')?"""
     s = line.strip()
-    m = regex.fullmatch(r"(?:[-–—\[(]\s*)?(?:(?:page|pag[ec]|seite|página|p[áa]g\.?|стр\.?|p\.|s\.|第)\s*)?(\d{1,4})(?:\s*(?:/|of|von|de|sur|из|\|)\s*\d{1,4}|\s*[|]\s*\p{L}+|\s*[-–—\])]|\.|\s*页|\s*ページ)?", s, regex.I)
+    m = _rx(r"(?:[-–—\[(]\s*)?(?:(?:page|pag[ec]|seite|página|p[áa]g\.?|стр\.?|p\.|s\.|第)\s*)?(\d{1,4})(?:\s*(?:/|of|von|de|sur|из|\|)\s*\d{1,4}|\s*[|]\s*\p{L}+|\s*[-–—\])]|\.|\s*页|\s*ページ)?", regex.I).fullmatch(s)
     if m:
         return page is None and len(s) > len(m.group(1)) or m.group(1) == str(page)
-    m = regex.fullmatch(r"(?:[-–—\[(]\s*)?([ivxlc]{1,7})(?:\s*[-–—\])]|\.)?", s)
+    m = _rx(r"(?:[-–—\[(]\s*)?([ivxlc]{1,7})(?:\s*[-–—\])]|\.)?").fullmatch(s)
     return bool(m) and page is not None and _roman(m.group(1)) == page
 
 
@@ -130,6 +165,10 @@ def _near(a: str, b: str) -> bool:
     most = max(1, len(b) // 6)
     if abs(len(a) - len(b)) > most or not a:
         return False
+    have = Counter(a)
+    have.subtract(b)
+    if sum(map(abs, have.values())) > 2 * most:
+        return False
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
@@ -141,10 +180,10 @@ def _near(a: str, b: str) -> bool:
 def header(line: str, title: str, doc_id: str, page: int | None, repeated: frozenset[str]) -> tuple[bool, bool]:
     """(is the running header of the file, has the number of the page beside it)."""
     s = line.strip()
-    if not s or len(s) > 90 or regex.search(r"[.!?;]$", regex.sub(r"\bp\. ?\d+$", "", s)):
+    if not s or len(s) > HEADER_WIDTH or _rx(r"[.!?;]$").search(_rx(r"\bp\. ?\d+$").sub("", s)):
         return False, False
     number = False
-    m = regex.search(r"^(\d{1,4})(?:\s{2,}|\s*\|\s*|\s+(?=\p{Lu}))", s) or regex.search(r"(?:\s{2,}|\s*\|\s*|,\s*p\. ?|,\s*S\. ?|\s+[-–]\s+)(\d{1,4})$", s)
+    m = _rx(r"^(\d{1,4})(?:\s{2,}|\s*\|\s*|\s+(?=\p{Lu}))").search(s) or _rx(r"(?:\s{2,}|\s*\|\s*|,\s*p\. ?|,\s*S\. ?|\s+[-–]\s+)(\d{1,4})$").search(s)
     body = s
     if m and (page is None or m.group(1) == str(page)):
         body = s[: m.start()] + s[m.end() :]
@@ -158,11 +197,11 @@ def header(line: str, title: str, doc_id: str, page: int | None, repeated: froze
     whole = _letters(title)
     if whole and (_near(z, whole) or _near(z[-len(whole) :], whole)):
         return True, number
-    spaced = bool(regex.fullmatch(r"(?:\p{Lu}\s){3,}\s*\d{4}(?:[HQ]\d)?", body.strip()))
+    spaced = bool(_rx(r"(?:\p{Lu}\s){3,}\s*\d{4}(?:[HQ]\d)?").fullmatch(body.strip()))
     if spaced:
         return True, number
     parts = doc_id.rsplit(".", 1)[0].split("_")
-    if len(parts) >= 3 and regex.search(r"\d{4}", s):
+    if len(parts) >= 3 and _rx(r"\d{4}").search(s):
         period, kind = parts[1], _letters(parts[2])
         if period in body and (_near(z[-len(kind) :], kind) or (name and _near(z[: len(name)], name))):
             return True, number
@@ -174,8 +213,8 @@ def short_lines(text: str) -> list[str]:
     out = []
     for line in text.split("\n"):
         s = line.strip()
-        if 4 < len(s) <= 70 and not regex.search(r"[.!?;,:%)”»-]$", s) and regex.search(r"\d", s) and not regex.match(r"\d+\.\d", s):
-            z = _letters(regex.sub(r"^\d{1,4}\s+|\s*(?:\||, p\.)?\s*\d{1,4}$", "", s))
+        if 4 < len(s) <= HEADER_WIDTH and not _rx(r"[.!?;,:%)”»-]$").search(s) and _rx(r"\d").search(s) and not _rx(r"\d+\.\d").match(s):
+            z = _letters(_rx(r"^\d{1,4}\s+|\s*(?:\||, p\.)?\s*\d{1,4}$").sub("", s))
             if len(z) >= 6:
                 out.append(z)
     return out
@@ -204,8 +243,8 @@ def _breaks(lines: list[str]) -> list[tuple[int, str, str, str]]:
     out = []
     full = [i for i, x in enumerate(lines) if x]
     for i, j in zip(full, full[1:]):
-        m = regex.search(rf"([[\p{{L}}\p{{M}}\p{{N}}@|$€]--[\p{{Han}}]]+)([{MARKS}]?)$", lines[i], regex.V1)
-        f = regex.match(r"[\p{L}\p{M}\p{N}@|$€]+", lines[j])
+        m = _LINE_END.search(lines[i])
+        f = _rx(r"[\p{L}\p{M}\p{N}@|$€]+").match(lines[j])
         if m and f and (m.group(2) or f.group()[0].islower() or f.group()[0] in "@0159"):
             out.append((i, m.group(1), m.group(2), f.group()))
     return out
@@ -215,18 +254,19 @@ def strings(lines: list[str]) -> set[str]:
     """Everything of a text that has to be looked up: its words, and joins across line ends."""
     out = set()
     for line in lines:
-        out.update(fold(w) if not regex.search(r"[\d@|$€]", w) else w.lower() for w in WORD.findall(line))
+        out.update(fold(w) if not _rx(r"[\d@|$€]").search(w) else w.lower() for w in WORD.findall(line))
     for _, a, mark, b in _breaks(lines):
         out.add((a + b).lower())
         if mark:
             out.add(f"{a}-{b}".lower())
-    return {w for w in out if len(w) <= 60}
+    return out
 
 
-def torn(lines: list[str]) -> set[str]:
-    """Neighbours on a line as one word, to be looked up as they stand."""
-    out = {(a + b).lower() for line in lines for a, b in _side_by_side(line) if _torn(a, b)}
-    return {w for w in out if len(w) <= 60}
+def torn(lines: list[str], unknown: set[str]) -> set[str]:
+    """Neighbours on a line, one of them unknown, as one word, to be looked up as they stand."""
+    if not unknown:
+        return set()
+    return {(a + b).lower() for line in lines for a, b in _side_by_side(line) if _torn(a, b) and (a.lower() in unknown or b.lower() in unknown)}
 
 
 class Lexicon:
@@ -250,11 +290,11 @@ class Lexicon:
         if self.known(low):
             return 1.0, None
         if low in self.best:
-            return 2.5 + 0.6 * self.cost[low], self.best[low]
-        shape = regex.sub(r"(?<=[\p{Ll}])[@0159](?=[\p{Ll}])|(?<=[\p{Ll}])@|@(?=\p{Ll})", lambda m: {"@": "a", "0": "o", "1": "l", "5": "s", "9": "g"}[m.group()], w)
-        if shape != w and not regex.search(r"[\d@]", shape):
+            return MISREAD + CONFUSION * self.cost[low], self.best[low]
+        shape = _rx(r"(?<=[\p{Ll}])[@0159](?=[\p{Ll}])|(?<=[\p{Ll}])@|@(?=\p{Ll})").sub(lambda m: {"@": "a", "0": "o", "1": "l", "5": "s", "9": "g"}[m.group()], w)
+        if shape != w and not _rx(r"[\d@]").search(shape):
             return 4.0, shape.lower()
-        return 6.0, None
+        return UNKNOWN, None
 
 
 def _like(model: str, word: str) -> str:
@@ -297,13 +337,13 @@ def decode(lines: list[str], lex: Lexicon) -> tuple[list[str], bool, bool]:
                 own = lex.count(joined) if joined.lower() in lex.n else 0
                 if hyphenated >= LEAST and hyphenated >= own and mark in "-‐‑":
                     continue
-                if cost >= 6.0:  # neither form is known: the mark and the halves decide
+                if cost >= UNKNOWN:  # neither form is known: the mark and the halves decide
                     cost = 3.0 if mark in "¬\xad‐" or apart > 2.0 else 9.0
                 total = best[k] + min(cost, 5.5)
                 if mark in "¬\xad" or own >= LEAST:
                     total -= 1.0
             else:
-                if cost >= 6.0 or apart <= 2.0:
+                if cost >= UNKNOWN or apart <= 2.0:
                     continue
                 total = best[k] + cost + 1.0
             if total < best[k + 2]:
@@ -350,7 +390,7 @@ def decode(lines: list[str], lex: Lexicon) -> tuple[list[str], bool, bool]:
         fixed = "".join([*cut, line[at:]])
         number = _fix_numbers(fixed, lex)
         char |= number != fixed
-        out.append(regex.sub(r"^[\s]+", "", number))
+        out.append(_rx(r"^[\s]+").sub("", number))
     return out, hyphen, char
 
 
@@ -359,11 +399,11 @@ def _fix_numbers(line: str, lex: Lexicon) -> str:
         s = m.group()
         if not any(c.isdigit() for c in s):
             before, after = line[: m.start()].rstrip(), line[m.end() :].lstrip()
-            if not (len(s) == 1 and s in "lOZ" and (after[:1] == "%" or regex.search(r"\b(?:Nr|No|no|núm|p|n\.º|табл)\.$", before))):
+            if not (len(s) == 1 and s in "lOZ" and (after[:1] == "%" or _rx(r"\b(?:Nr|No|no|núm|p|n\.º|табл)\.$").search(before))):
                 return s
         elif s.isdigit() or all(c.isdigit() or c in ".," for c in s):
             return s
-        whole = regex.sub(r"\W", "", s)
+        whole = _rx(r"\W").sub("", s)
         if whole.isalnum() and lex.n.get(whole.lower(), 0) >= LEAST:
             return s
         return s.translate(_DIGITS)
@@ -381,9 +421,9 @@ def paragraphs(lines: list[str]) -> list[str]:
 
     def gain(i: int) -> float:
         a, b = full[i], full[i + 1]
-        stop = bool(regex.search(r"[.!?。！？।][”»\")）」]*$", a))
+        stop = bool(_rx(r"[.!?。！？।][”»\")）」]*$").search(a))
         short = len(a) < 0.75 * wide
-        title = lambda x: bool(regex.match(r"\d+(?:\.\d+)+\s|#", x)) or (len(x) < 50 and not regex.search(r"[.!?,;:。！？।%-]$", x) and x[:1].isupper() and x.count(" ") < 6)
+        title = lambda x: bool(_rx(r"\d+(?:\.\d+)+\s|#").match(x)) or (len(x) < 50 and not _rx(r"[.!?,;:。！？।%-]$").search(x) and x[:1].isupper() and x.count(" ") < 6)
         if title(a) and not b[:1].islower():
             return 2.5
         if title(b) and stop:
@@ -392,50 +432,87 @@ def paragraphs(lines: list[str]) -> list[str]:
             return 1.6 if short else -0.4
         return -3.0
 
-    best, came = [0.0] + [-1e9] * n, [0] * (n + 1)
+    best, came = [0.0] * (n + 1), [0] * (n + 1)
+    top, at = -1e9, 0  # best of all beginnings two lines or more before e
     for e in range(1, n + 1):
-        for s in range(max(0, e - 200), e):
-            v = best[s] - 0.6 - (0.3 if e - s == 1 else 0.0) + (gain(e - 1) if e < n else 0.0)
-            if v > best[e]:
-                best[e], came[e] = v, s
+        if e > 1 and best[e - 2] > top:
+            top, at = best[e - 2], e - 2
+        alone = best[e - 1] - 0.3
+        came[e] = e - 1 if alone > top else at
+        best[e] = max(alone, top) - 0.6 + (gain(e - 1) if e < n else 0.0)
     out, e = [], n
     while e:
         part = full[came[e] : e]
-        text = part[0]
-        for x in part[1:]:
-            wide_script = regex.search(r"[\p{Han}\p{Hiragana}\p{Katakana}，。、]$", text) and regex.match(r"[\p{Han}\p{Hiragana}\p{Katakana}，。、（“「]", x)
-            kept = regex.search(r"\p{L}-$", text) and x[:1].islower() and not regex.match(r"(?:und|oder|et|y|and|or)\b", x)
-            text += x if wide_script or kept or not x or regex.match(r"[,.;:!?]", x) else " " + x
-        out.append(text)
+        text = [part[0]]
+        for last, x in zip(part, part[1:]):
+            wide_script = _rx(r"[\p{Han}\p{Hiragana}\p{Katakana}，。、]$").search(last) and _rx(r"[\p{Han}\p{Hiragana}\p{Katakana}，。、（“「]").match(x)
+            kept = _rx(r"\p{L}-$").search(last) and x[:1].islower() and not _rx(r"(?:und|oder|et|y|and|or)\b").match(x)
+            text.append(x if wide_script or kept or _rx(r"[,.;:!?]").match(x) else " " + x)
+        out.append("".join(text))
         e = came[e]
     return out[::-1]
 
 
 def lexicon(texts: DataFrame) -> DataFrame:
-    """(word, n) of all words, hyphenated compounds and pairs of neighbours of clean texts, counted in each batch before the shuffle."""
+    """(word, n) of all words, hyphenated compounds and pairs of neighbours of clean texts.
+
+    Each batch counts its pieces between blanks and takes only the different ones apart, before the shuffle.
+    """
+
+    def words(c: Counter) -> Counter:
+        out: Counter = Counter()
+        for piece, n in c.items():
+            if piece.isalpha() and piece.isascii():
+                out[piece] += n
+                continue
+            for w in WORD.findall(piece):
+                out[w] += n
+                if _DIGIT.search(w):
+                    out[fold(w)] += n
+            if "-" in piece:
+                for w in _COMPOUND.findall(piece):
+                    out[w] += n
+        return out
+
+    def pairs(c: Counter) -> Counter:
+        out: Counter = Counter()
+        for (a, b), n in c.items():
+            x, y = _TAIL.search(a), _HEAD.match(b)
+            if x and y and x.group().isalpha() and y.group().isalpha():
+                out[f"{x.group()} {y.group()}"] += n
+        return out
+
+    def frame(one: Counter, two: Counter) -> pd.DataFrame:
+        done = words(one)
+        done.update(pairs(two))
+        return pd.DataFrame({"word": list(done), "n": list(done.values())})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c: Counter = Counter()
+        one: Counter = Counter()
+        two: Counter = Counter()
         for pdf in batches:
             for t in pdf.text:
-                s = plain(t)[0]
-                for w in WORD.findall(s):
-                    c[w.lower()] += 1
-                    if regex.search(r"\d", w):
-                        c[fold(w)] += 1
-                for w in _COMPOUND.findall(s):
-                    c[w.lower()] += 1
-                for line in s.split("\n"):
-                    for a, b in _side_by_side(line):
-                        c[f"{a} {b}".lower()] += 1
-            if len(c) > 300_000:
-                yield pd.DataFrame({"word": list(c), "n": list(c.values())})
-                c = Counter()
-        if c:
-            yield pd.DataFrame({"word": list(c), "n": list(c.values())})
-
-    part = texts.select("text").where("text is not null").repartition(width(texts.sparkSession)).mapInPandas(run, "word string, n long")
-    return part.where(F.char_length("word") <= 60).groupBy("word").agg(F.sum("n").alias("n"))
+                for line in plain(t)[0].lower().split("\n"):
+                    found = line.split()
+                    one.update(found)
+                    two.update(zip(found, found[1:]))
+            if len(one) + len(two) > 400_000:
+                yield frame(one, two)
+                one, two = Counter(), Counter()
+        if one:
+            yield frame(one, two)
+
+    return spread(texts.select("text").where("text is not null")).mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def spell(column: str):
+    """:func:`key` as a column expression."""
+    single = {c: x for c, x in _spellings().items() if len(x) == 1 and x != c}
+    out = F.translate(F.col(column), "".join(single), "".join(single.values()))
+    for c, x in _spellings().items():
+        if len(x) > 1:
+            out = F.replace(out, F.lit(c), F.lit(x))
+    return out
 
 
 def _header_lines(scans: DataFrame) -> DataFrame:
@@ -462,6 +539,7 @@ def repair(scans: DataFrame, clean: DataFrame) -> DataFrame:
     spark = scans.sparkSession
     n = width(spark)
     base = scans.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("chunk_id", "doc_id", "title", "source_locator", "text")]).distinct()
+    base = durable(base, "scans")
     base = base.join(_header_lines(base), "doc_id", "left").withColumn("row", F.xxhash64("chunk_id", "text"))
 
     def prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -470,47 +548,65 @@ def repair(scans: DataFrame, clean: DataFrame) -> DataFrame:
             for row, c, d, ti, loc, t, rep in zip(pdf.row, pdf.chunk_id, pdf.doc_id, pdf.title, pdf.source_locator, pdf.text, pdf.repeated):
                 lines, head, number = lines_of(t, ti, d, page_of(loc), frozenset(rep if rep is not None else ()))
                 needs = strings(lines)
-                out.append((row, c, lines, head, number, sorted(needs), sorted(torn(lines) - needs)))
-            yield pd.DataFrame(out, columns=["row", "chunk_id", "lines", "header", "pageno", "needs", "torn"])
+                out.append((row, c, lines, head, number, sorted(needs)))
+            yield pd.DataFrame(out, columns=["row", "chunk_id", "lines", "header", "pageno", "needs"])
 
-    schema = "row long, chunk_id string, lines array<string>, header boolean, pageno boolean, needs array<string>, torn array<string>"
+    schema = "row long, chunk_id string, lines array<string>, header boolean, pageno boolean, needs array<string>"
     ready = durable(base.repartition(n, "row").mapInPandas(prepare, schema), "scan")
     lex = durable(lexicon(clean), "lexicon")
     asked = ready.select("row", F.explode("needs").alias("word"))
     known = asked.select("word").distinct().join(lex, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
     known = durable(known, "asked")
 
-    def guess(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(w, r, k) for w in pdf.word for r, k in readings(w).items()] + [(w, r, 0) for w in pdf.word for r in halves(w)]
-            yield pd.DataFrame(rows, columns=["word", "reading", "cost"])
+            rows = [(w, r) for w in pdf.word for r in halves(w)]
+            yield pd.DataFrame(rows, columns=["word", "reading"])
 
-    guesses = known.where(F.col("n") < LEAST).select("word").repartition(n).mapInPandas(guess, "word string, reading string, cost int")
-    found = guesses.join(lex.select(F.col("word").alias("reading"), F.col("n").alias("rn")), "reading").where(F.col("rn") >= LEAST + 1)
+    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(cost=pd.array([changes(w, r) for w, r in zip(pdf.word, pdf.reading)], dtype="Int32"))
+
+    unknown = durable(known.where(F.col("n") < LEAST).select("word"), "unknown")
+    sure = lex.where(F.col("n") > LEAST).select(F.col("word").alias("reading"), F.col("n").alias("rn"))
+    pairs = spread(unknown).mapInPandas(apart, "word string, reading string").withColumn("cost", F.lit(0)).join(sure.where(F.instr("reading", " ") > 0), "reading")
+    keyed = unknown.where(F.col("word").rlike(r"\p{L}")).withColumn("key", spell("word"))
+    alike = keyed.join(sure.where(F.instr("reading", " ") == 0).withColumn("key", spell("reading")), "key").where("word <> reading").select("word", "reading", "rn")
+    alike = alike.mapInPandas(align, "word string, reading string, rn long, cost int").where("cost > 0")
+    found = pairs.select("word", "reading", "rn", "cost").unionByName(alike)
     two = F.col("reading").contains(" ")
     order = F.struct(-F.col("cost"), F.col("rn"), F.col("reading"))
     best = found.groupBy("word").agg(
         F.max_by(F.when(~two, F.struct("reading", "cost")), F.when(~two, order)).alias("b"), F.max_by(F.when(two, F.instr("reading", " ") - 1), F.when(two, order)).alias("apart")
     )
     facts = known.join(best, "word", "left").select("word", "n", F.col("b.reading").alias("best"), F.coalesce("b.cost", F.lit(0)).alias("cost"), F.coalesce("apart", F.lit(0)).alias("apart"))
-    whole = ready.select("row", F.explode("torn").alias("word"))
-    seen = whole.select("word").distinct().join(lex, "word").where(F.col("n") > LEAST)
-    whole = whole.join(seen, "word").select("word", "row", "n", F.lit(None).cast("string").alias("best"), F.lit(0).alias("cost"), F.lit(0).alias("apart"))
-    joins = ready.select("row", F.explode("needs").alias("word")).join(facts, "word").unionByName(whole)
+    joins = ready.select("row", F.explode("needs").alias("word")).join(facts, "word")
     own = joins.groupBy("row").agg(F.collect_list(F.struct("word", "n", "best", "cost", "apart")).alias("facts"))
+    todo = durable(ready.drop("needs").join(own, "row", "left"), "looked-up")
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row, lines, facts in zip(pdf.row, pdf.lines, pdf.facts):
+                unknown = {f["word"] for f in facts if f["n"] < LEAST} if facts is not None else set()
+                out += [(row, w) for w in torn(list(lines), unknown)]
+            yield pd.DataFrame(out, columns=["row", "word"])
+
+    whole = todo.mapInPandas(ask, "row long, word string").join(lex, "word").where(F.col("n") > LEAST)
+    whole = whole.groupBy("row").agg(F.collect_list(F.struct("word", "n")).alias("wholes"))
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for c, lines, head, number, facts in zip(pdf.chunk_id, pdf.lines, pdf.header, pdf.pageno, pdf.facts):
+            for c, lines, head, number, facts, wholes in zip(pdf.chunk_id, pdf.lines, pdf.header, pdf.pageno, pdf.facts, pdf.wholes):
                 facts = facts if facts is not None else []
-                know = Lexicon([(f["word"], f["n"], f["best"], f["cost"]) for f in facts], {f["word"]: f["apart"] for f in facts if f["apart"]})
+                more = [(f["word"], f["n"], None, 0) for f in wholes] if wholes is not None else []
+                know = Lexicon(more + [(f["word"], f["n"], f["best"], f["cost"]) for f in facts], {f["word"]: f["apart"] for f in facts if f["apart"]})
                 fixed, hyphen, char = decode(list(lines), know)
                 out.append((c, "\n\n".join(paragraphs(fixed)), head, number, hyphen, char))
             yield pd.DataFrame(out, columns=["chunk_id", "text", "header", "pageno", "hyphen", "char"])
 
-    todo = ready.drop("needs", "torn").join(own, "row", "left")
-    return todo.mapInPandas(solve, "chunk_id string, text string, header boolean, pageno boolean, hyphen boolean, char boolean")
+    return todo.join(whole, "row", "left").mapInPandas(solve, "chunk_id string, text string, header boolean, pageno boolean, hyphen boolean, char boolean")
 
 
 def noise(repaired: DataFrame) -> DataFrame:

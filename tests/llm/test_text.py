@@ -299,9 +299,37 @@ def test_detect_table(spark):
 # --- scans
 
 
-def test_readings():
-    assert "geschlossen" in scans.readings("gcschlosscn") and "network" in scans.readings("rietwork") and "m" in scans.readings("rn")
-    assert scans.readings("123") == {} and "word" not in scans.readings("word")
+def test_keys_and_changes(spark):
+    """Every misreading has the key of its word, so the join on keys finds all of them; the alignment counts the confusions."""
+    r = random.Random(9)
+    words = ["geschlossen", "network", "claims", "dividend", "humming", "überschuss", "quality", "wild", "réassurance", "modified", "расходы"]
+    for w in words * 40:
+        wrong, k = "", 0
+        for ch in w:
+            options = [x for x, right in scans.CONFUSED if right == ch]
+            if options and r.random() < 0.4:
+                wrong += r.choice(options)
+                k += 1
+            else:
+                wrong += ch
+        assert scans.key(wrong) == scans.key(w)
+        assert k == 0 or (scans.changes(wrong, w) or 99) <= k
+    assert scans.changes("rietwork", "network") == 1 and scans.changes("gcschlosscn", "geschlossen") == 2 and scans.changes("word", "ward") is None
+    rows = [(w,) for w in [*words, "rnodified", "c1aims", "6", "wwm"]]
+    got = spark.createDataFrame(rows, "word string").select("word", scans.spell("word").alias("k")).collect()
+    assert all(x.k == scans.key(x.word) for x in got)
+
+
+def test_long_words_and_paragraphs_have_no_bound(spark):
+    word = "rn".join(["donaudampfschiff"] * 8)
+    right = word.replace("rn", "m")
+    assert len(word) > 60 and scans.key(word) == scans.key(right) and scans.changes(word, right) == 7
+    lines = [f"line {i} goes on and on without an end" for i in range(450)]
+    assert len(scans.paragraphs(lines)) == 1
+    clean = [(f"The {'x' * 70}ing of it.",)] * 4
+    df = spark.createDataFrame([("a", "D_2019_Board_1.pdf", None, None, f"The {'x' * 70}iug of it.\nThe {'x' * 40}-\n{'x' * 30}ing.")], "chunk_id string, doc_id string, title string, source_locator string, text string")
+    got = scans.repair(df, spark.createDataFrame(clean, "text string")).first()
+    assert got.text.endswith(f"The {'x' * 70}ing.") and got.hyphen
 
 
 def test_page_numbers_and_headers():
