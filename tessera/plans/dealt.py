@@ -21,7 +21,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_tree(spark: SparkSession, d: str) -> DataFrame:
     """Path, depth, root and number of descendants of every active chunk."""
-    out = hierarchy.tree_table(hierarchy.resolve(_active(spark, d), "chunk_id", "parent_id", ["version", "ingested_at"]))
+    out = hierarchy.resolve(_active(spark, d), "chunk_id", "parent_id", ["version", "ingested_at"])
     return out.select(F.col("id").alias("chunk_id"), F.col("root").alias("root_id"), "depth", F.array_join("path", ">").alias("path"), "n_descendants")
 
 

@@ -23,12 +23,17 @@ def brute(parents):
 
 def check(spark, rows):
     df = spark.createDataFrame(rows, "id string, parent string, t int, root string")
-    got = {r.id: (r.root, r.depth, list(r.path)) for r in H.resolve(df, "id", "parent", ["t"]).collect()}
     last = {}
     for i, p, t, _ in rows:
         if i is not None and (i not in last or (t, p or "") >= last[i][0]):
             last[i] = ((t, p or ""), p or None)
-    assert got == brute({i: p for i, (_, p) in last.items()})
+    want = brute({i: p for i, (_, p) in last.items()})
+    below = {i: sum(i in path[:-1] for _, _, path in want.values()) for i in want}
+    for tail in (0, 12, 10_000):
+        got = {r.id: (r.root, r.depth, list(r.path), r.n_descendants) for r in H.resolve(df, "id", "parent", ["t"], tail=tail).collect()}
+        assert got == {i: (*x, below[i]) for i, x in want.items()}, tail
+    got = {r.id: (r.root, r.depth) for r in H.resolve(df, "id", "parent", ["t"], with_path=False, tail=5).collect()}
+    assert got == {i: x[:2] for i, x in want.items()}
 
 
 def test_random_forest_with_cycles_and_chain(spark):
@@ -49,7 +54,7 @@ def test_descendants(spark):
     df = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "a")], "id string, parent string")
     res = H.resolve(df, "id", "parent")
     assert {tuple(r) for r in H.descendants(res).collect()} == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1), ("a", "d", 1)}
-    assert {r.id: r.n_descendants for r in H.tree_table(res).collect()} == {"a": 3, "b": 1, "c": 0, "d": 0}
+    assert {r.id: r.n_descendants for r in res.collect()} == {"a": 3, "b": 1, "c": 0, "d": 0}
 
 
 def test_parse_units_and_numbers():
