@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from tessera.session import width
+from tessera.session import spread
 
 TOKENIZERS = "/opt/tokenizers"
 # Fixed value: the pattern that cuts text for this vocabulary.
@@ -68,6 +68,8 @@ class Encoder:
     """A vocabulary of byte ranks with a pool of the pre-tokens met so far."""
 
     MOST = 300_000
+    #: Bytes of a pre-token from which all places of its least pair are merged in one round.
+    LONG = 1024
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
         self.split = regex.compile(pattern)
@@ -95,6 +97,10 @@ class Encoder:
         lo = 0
         while lo < len(order):
             n = max(1, int(length[order[lo]]))
+            if n > self.LONG:
+                out[order[lo]] = self._long(self.bytes[np.frombuffer(words[order[lo]], np.uint8)])
+                lo += 1
+                continue
             hi = min(int(np.searchsorted(length[order], n + n // 4, side="right")), lo + max(1, 2_000_000 // n))
             rows = order[lo:hi]
             lo = hi
@@ -138,6 +144,33 @@ class Encoder:
                 r, c = n[ok], side[ok]
                 rank[r, c] = self.table.find(ids[r, c], ids[r, c + 1])
 
+    def _long(self, ids: np.ndarray) -> np.ndarray:
+        """Token ids of one long pre-token.
+
+        A round merges the least pair everywhere, from the left where places overlap. That is what
+        one merge after the other gives unless a new pair has a lower rank; then only the leftmost is merged.
+        """
+        rank = self.table.find(ids[None, :-1], ids[None, 1:])[0]
+        while len(rank) and (least := rank.min()) < _INF:
+            at = np.flatnonzero(rank == least)
+            head = np.append(True, np.diff(at) != 1)
+            at = at[(np.arange(len(at)) - np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))) % 2 == 0]
+            while True:
+                new, left = ids.copy(), np.ones(len(ids), bool)
+                new[at] = least
+                left[at + 1] = False
+                new, keep = new[left], np.ones(len(rank), bool)
+                keep[at] = False
+                fresh, place = rank[keep], at - np.arange(len(at))
+                side = np.unique(np.concatenate([place - 1, place]))
+                side = side[(side >= 0) & (side < len(fresh))]
+                fresh[side] = self.table.find(new[None, side], new[None, side + 1])[0]
+                if len(at) == 1 or not len(side) or fresh[side].min() > least:
+                    break
+                at = at[:1]
+            ids, rank = new, fresh
+        return ids
+
     def places(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(index into the pool for every pre-token of all texts, pre-tokens per text)."""
         if len(self.index) > self.MOST:
@@ -201,7 +234,7 @@ def _groups(texts: list[str], most: int = 2_000_000) -> Iterator[tuple[int, int]
 
 def encode(df: DataFrame, id_col: str, text_col: str, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """(id, ids) for every row; null and empty texts have the empty list. Special tokens are ordinary text; repeated rows stay."""
-    rows = df.select(df[id_col].alias("id"), df[text_col].alias("text")).repartition(width(df.sparkSession, 3))
+    rows = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(name, folder)
@@ -212,12 +245,12 @@ def encode(df: DataFrame, id_col: str, text_col: str, name: str = "byte_bpe_50k"
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), lists], names=["id", "ids"])
 
-    return rows.mapInArrow(run, StructType([StructField("id", rows.schema["id"].dataType), StructField("ids", ArrayType(IntegerType()))]))
+    return spread(rows).mapInArrow(run, StructType([StructField("id", rows.schema["id"].dataType), StructField("ids", ArrayType(IntegerType()))]))
 
 
 def token_counts(df: DataFrame, id_col: str, text_col: str, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """(id, n_tokens) for every row, by the same encoder without keeping the ids."""
-    rows = df.select(df[id_col].alias("id"), df[text_col].alias("text")).repartition(width(df.sparkSession, 3))
+    rows = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(name, folder)
@@ -226,4 +259,4 @@ def token_counts(df: DataFrame, id_col: str, text_col: str, name: str = "byte_bp
             n = np.concatenate([np.zeros(0, np.int64), *(enc.count(texts[lo:hi]) for lo, hi in _groups(texts))])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int32))], names=["id", "n_tokens"])
 
-    return rows.mapInArrow(run, StructType([StructField("id", rows.schema["id"].dataType), StructField("n_tokens", IntegerType())]))
+    return spread(rows).mapInArrow(run, StructType([StructField("id", rows.schema["id"].dataType), StructField("n_tokens", IntegerType())]))

@@ -168,6 +168,7 @@ def test_bpe_exact():
     enc = bpe.encoder()
     r = random.Random(1)
     texts = ["", "<|endoftext|>", "a" * 3000, "的" * 900, " \n\n  x", "🙂é\u0000"] + ["".join(r.choice("abé的 \n'st9🙂.") for _ in range(r.randrange(80))) for _ in range(300)]
+    texts += ["".join(r.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(n)) for n in (1000, 1100, 5000, 30_000)] + ["ab" * 4000, "aaab" * 2000]
     ids, off = enc.encode(texts)
     for i, t in enumerate(texts):
         assert ids[off[i] : off[i + 1]].tolist() == ref.encode_ordinary(t)
