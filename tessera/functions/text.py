@@ -66,8 +66,8 @@ def excerpt(c: Column, limit: int = 240) -> Column:
 
 
 def claims(answer: Column) -> Column:
-    """Checkable claims of an answer: citations and [n] marks removed, split at sentence ends, those without tokens dropped."""
-    bare = F.regexp_replace(answer, r"\[[0-9]+\]|\(source:[^)]*\)", "")
+    """Checkable claims of an answer: citations removed, [n] marks made blanks, split at sentence ends, those without tokens dropped."""
+    bare = F.regexp_replace(F.regexp_replace(answer, r"\(source:[^)]*\)", ""), r"\[[0-9]+\]", " ")
     parts = F.transform(F.split(bare, r"[.!?。！？;；\n]+"), lambda x: F.trim(x))
     return F.filter(parts, lambda x: x.rlike("[A-Za-z0-9]|" + CJK))
 

@@ -40,19 +40,47 @@ def sentence_window(docs: DataFrame, id_col: str, text_col: str, size: int = 3)
     return around.select("id", "seq", "para", "text", joined.alias("window_text"))
 
 
-def heading(c):
-    """Is a line a heading: marked, numbered, a chapter word, or short without punctuation."""
-    marked = c.rlike(r"^#{1,6} ") | c.rlike(r"^(第[一二三四五六七八九十0-9]+[章节条]|[0-9]+(\.[0-9]+)+ )|^(Chapter|Section|Article) [0-9]+")
-    return marked | ((F.char_length(c) <= 30) & ~c.rlike(r"[.,;:!?。，；：！？、]"))
-
-
-def sections(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+# Forms of headings.
+MARKED = r"^#{1,6}\s+\S"
+CHAPTER = r"^第[0-9一二三四五六七八九十百千]+[章节篇部回讲]"
+CLAUSE = r"^第[0-9一二三四五六七八九十百千]+[条款项]"
+NUMBERED = r"^([0-9]+(\.[0-9]+)*|[一二三四五六七八九十百千]+|[IVXLCDMivxlcdm]+)[.、)）]\s*\S"
+ASKED = r"^([Qq][:.、)）]|问[：:、])"
+SHORT, STOPS = 30, "[。！？；…，、：.!?;,:]"
+
+
+def heading(c, preset: str = "layout"):
+    """Is a trimmed line a heading: marked, a chapter, numbered, or (layout only) short without punctuation; laws add clauses, qa takes questions."""
+    by_form = c.rlike(MARKED) | c.rlike(CHAPTER) | c.rlike(NUMBERED)
+    if preset == "layout":
+        return (c != "") & (by_form | ((F.char_length(c) <= SHORT) & ~c.rlike(STOPS)))
+    if preset == "laws":
+        return by_form | c.rlike(CLAUSE)
+    if preset == "book":
+        return by_form
+    if preset == "qa":
+        return c.rlike(ASKED) | c.rlike("[?？]$")
+    raise ValueError("preset is layout, laws, book or qa")
+
+
+def sections(docs: DataFrame, id_col: str, text_col: str, preset: str = "layout") -> DataFrame:
     """(id, para, section, is_heading, text): a heading starts a section, what stands before the first is section 0."""
-    p = paragraphs(docs, id_col, text_col).withColumn("is_heading", heading(F.col("text")))
+    p = paragraphs(docs, id_col, text_col).withColumn("is_heading", heading(F.col("text"), preset))
     w = Window.partitionBy("id").orderBy("para").rowsBetween(Window.unboundedPreceding, 0)
     return p.withColumn("section", F.sum(F.col("is_heading").cast("int")).over(w)).select("id", "para", "section", "is_heading", "text")
 
 
+def parent_child(docs: DataFrame, id_col: str, text_col: str, preset: str = "layout") -> DataFrame:
+    """(id, para, section, text, window_text, parent_locator): every paragraph with the text and the real span of its section.
+
+    A section of any length is put together in one row, as it is what a reader is shown.
+    """
+    s = sections(docs, id_col, text_col, preset)
+    parts = F.array_sort(F.collect_list(F.struct("para", "text")))
+    whole = s.groupBy("id", "section").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("window_text"), F.concat(F.lit("#para"), F.min("para"), F.lit("-"), F.max("para")).alias("parent_locator"))
+    return s.join(whole, ["id", "section"]).select("id", "para", "section", "text", "window_text", "parent_locator")
+
+
 def greedy(docs: DataFrame, id_col: str, text_col: str, limit: int = 480) -> DataFrame:
     """(id, seq, text): whole paragraphs packed to the limit without overlap, as a native fold over the paragraphs."""
     lines = F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")

@@ -45,11 +45,11 @@ def lookup(requests: DataFrame, facts: DataFrame, show_all: bool = False) -> Dat
     return got.withColumn("status", F.when(F.col("_f"), "found").otherwise("not_found")).drop("_f")
 
 
-def rollup(parents: DataFrame, facts: DataFrame) -> DataFrame:
-    """Sum and sources over the children of each parent (parent, child) by metric and period; null where nothing is found."""
+def rollup(parents: DataFrame, facts: DataFrame, also: list[str] | None = None) -> DataFrame:
+    """Sum and sources over the children of each parent (parent, child) by metric, period and the columns ``also``; null where nothing is found."""
     kids = facts.withColumnRenamed("entity", "child")
     got = parents.join(kids, "child", "left")
-    return got.groupBy("parent", "metric_code", "period_type", "period").agg(
+    return got.groupBy("parent", "metric_code", "period_type", "period", *(also or [])).agg(
         F.round(F.sum("value"), 4).alias("total"), F.count("value").alias("n_found"), F.array_sort(F.collect_set("child")).alias("children")
     )
 

@@ -44,8 +44,8 @@ def apply(df: DataFrame, conditions: list[tuple], combine: str = "and") -> DataF
 
 
 def visible(c: Column) -> Column:
-    """Facts that may be shown."""
-    return c.isin("auto_approved", "approved")
+    """Facts that may be shown: approved ones and those approved by rule, which tables spell ``auto_approved`` or ``auto``."""
+    return c.isin("auto_approved", "auto", "approved")
 
 
 def not_restricted(c: Column) -> Column:

@@ -107,10 +107,10 @@ def rrf(rankings: list[DataFrame], k: int = 60, key: str = "query_id") -> DataFr
     return every.groupBy(key, "id").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("fused"))
 
 
-def hybrid(lexical: DataFrame, dense: DataFrame, k: int = 50, c: int = 60) -> DataFrame:
-    """Top k by fused rank with the best score of each channel, 0 where a channel has none; both channels meet in one aggregate."""
-    one = ranked(lexical).select("query_id", "id", "rank", F.col("score").alias("bm25"), F.lit(None).cast("double").alias("vector"))
-    two = ranked(dense).select("query_id", "id", "rank", F.lit(None).cast("double").alias("bm25"), F.col("score").alias("vector"))
+def fuse(lexical: DataFrame, dense: DataFrame, k: int = 50, c: int = 60) -> DataFrame:
+    """Top k by fused rank of two ranked channels with the score of each, 0 where a channel has none; both meet in one aggregate."""
+    one = lexical.select("query_id", "id", "rank", F.col("score").alias("bm25"), F.lit(None).cast("double").alias("vector"))
+    two = dense.select("query_id", "id", "rank", F.lit(None).cast("double").alias("bm25"), F.col("score").alias("vector"))
     best = lambda n: F.greatest(F.coalesce(F.max(n), F.lit(0.0)), F.lit(0.0)).alias(n)
     out = one.unionByName(two).groupBy("query_id", "id").agg(F.round(F.sum(1.0 / (c + F.col("rank"))), 9).alias("fused"), best("bm25"), best("vector"))
     return ranked(out, k, "fused")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import periods, text, vectors
-from tessera.operators import chunking, evaluation, filters, post, retrieval
+from tessera.operators import chunking, embedding, evaluation, filters, post, retrieval
 from tessera.session import table, width
 
 H = r"[\x{4E00}-\x{9FFF}]"
@@ -123,31 +123,38 @@ def vector_where_filter(s: SparkSession, d: str) -> DataFrame:
     return retrieval.vector_topk(filters.apply(e, [("label", "eq", 3)]), "vec_id", "embedding", e.where("vec_id % 20 = 0"), "vec_id", "embedding", 5)
 
 
-_WORDS = f"w AS (SELECT query_id, b.id, round(len(list_intersect({sql_set('q.question')}, {sql_set('b.text')}))::DOUBLE / len({sql_set('q.question')}), 6) AS score FROM q JOIN ({_CORPUS}) b ON true WHERE len({sql_set('q.question')}) > 0)"
+def _vector_sql(name: str, rows: str) -> str:
+    """CTE of hash-bag weights (id, bucket, weight) of rows (id, text)."""
+    bucket = "('0x' || substr(md5(term), 1, 8))::BIGINT % 256"
+    return (
+        f"{name}c AS (SELECT id, {bucket} AS bucket, count(*) AS tf FROM (SELECT id, unnest({sql_tokens('text')}) AS term FROM ({rows})) GROUP BY ALL), "
+        f"{name} AS (SELECT id, bucket, tf / sqrt(sum(tf * tf) OVER (PARTITION BY id)) AS weight FROM {name}c)"
+    )
 
 
-def _cover(s: SparkSession, d: str) -> DataFrame:
-    q = _questions(s, d).select("query_id", text.token_set(F.col("question")).alias("q")).where(F.size("q") > 0)
-    c = _corpus(s, d).select(F.col("doc_id").alias("id"), text.token_set(F.col("text")).alias("t"))
-    return c.crossJoin(F.broadcast(q)).select("query_id", "id", F.round(F.size(F.array_intersect("q", "t")) / F.size("q"), 6).alias("score"))
+@query(f"WITH {_vector_sql('e', _CORPUS)} SELECT id, bucket::INT AS bucket, round(weight, 6) AS weight FROM e")
+def hash_embedding(s: SparkSession, d: str) -> DataFrame:
+    """Hash-bag vectors of the corpus, sparse."""
+    return embedding.weights(_corpus(s, d), "doc_id", "text").select("id", "bucket", F.round("weight", 6).alias("weight"))
 
 
 @query(
-    f"""WITH {_bm25_sql(_CORPUS)}, {_WORDS},
- r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM b UNION ALL SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) FROM w),
- f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS fused FROM r GROUP BY ALL)
-SELECT f.query_id, f.id, fused, coalesce(b.score, 0) AS bm25, coalesce(w.score, 0) AS vector, row_number() OVER (PARTITION BY f.query_id ORDER BY fused DESC, f.id) AS rank
-FROM f LEFT JOIN b ON b.query_id = f.query_id AND b.id = f.id LEFT JOIN w ON w.query_id = f.query_id AND w.id = f.id QUALIFY rank <= 10"""
+    f"""WITH {_bm25_sql(_CORPUS)}, {_vector_sql('dv', _CORPUS)}, {_vector_sql('qv', 'SELECT query_id AS id, question AS text FROM q')},
+ w AS (SELECT qv.id AS query_id, dv.id, round(sum(qv.weight * dv.weight), 6) AS score FROM qv JOIN dv USING (bucket) GROUP BY ALL),
+ rb AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM b QUALIFY rank <= 50),
+ rw AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM w WHERE score > 0 QUALIFY rank <= 50),
+ f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS fused FROM (SELECT query_id, id, rank FROM rb UNION ALL SELECT query_id, id, rank FROM rw) GROUP BY ALL)
+SELECT f.query_id, f.id, fused, coalesce(rb.score, 0) AS bm25, coalesce(rw.score, 0) AS vector, row_number() OVER (PARTITION BY f.query_id ORDER BY fused DESC, f.id) AS rank
+FROM f LEFT JOIN rb ON rb.query_id = f.query_id AND rb.id = f.id LEFT JOIN rw ON rw.query_id = f.query_id AND rw.id = f.id QUALIFY row_number() OVER (PARTITION BY f.query_id ORDER BY fused DESC, f.id) <= 10"""
 )
 def hybrid_rrf_topk(s: SparkSession, d: str) -> DataFrame:
-    """BM25 and a second channel (token coverage) fused by reciprocal rank."""
-    q = retrieval.query_terms(_questions(s, d), "query_id", "question")
-    return retrieval.hybrid(retrieval.bm25(_corpus(s, d), "doc_id", "text", q), _cover(s, d), 10)
+    """BM25 and cosine of hash-bag vectors, 50 best each, fused by reciprocal rank."""
+    return embedding.hybrid(_corpus(s, d), "doc_id", "text", _questions(s, d), "query_id", "question")
 
 
 @query(
-    f"""WITH {_bm25_sql("SELECT 'corpus:' || doc_id AS id, text FROM retrieval_ab_corpus")}, {_bm25_sql("SELECT 'doc:' || doc_id AS id, coalesce(title, '') || ' ' || coalesce(topic, '') AS text FROM documents", "q2 AS (SELECT 1)", "b2").replace(" d AS", " d2 AS").replace("FROM d)", "FROM d2)").replace(" dt AS", " dt2 AS").replace("FROM dt)", "FROM dt2)").replace("FROM dt GROUP", "FROM dt2 GROUP").replace(" dl AS (", " dl2 AS (").replace(" st AS", " st2 AS").replace("FROM dl)", "FROM dl2)").replace(" po AS", " po2 AS").replace(" df AS (", " df2 AS (").replace("FROM po GROUP", "FROM po2 GROUP").replace(" qt AS", " qt2 AS").replace("FROM qt JOIN po USING (term) JOIN df USING (term) JOIN dl ON dl.id = po.id CROSS JOIN st", "FROM qt2 JOIN po2 po USING (term) JOIN df2 USING (term) JOIN dl2 ON dl2.id = po.id CROSS JOIN st2")},
- r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM b UNION ALL SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) FROM b2),
+    f"""WITH {_bm25_sql("SELECT 'corpus:' || doc_id AS id, text FROM retrieval_ab_corpus")}, {_bm25_sql("SELECT 'doc:' || doc_id AS id, coalesce(title, '') || ' ' || coalesce(text, '') AS text FROM documents", "q2 AS (SELECT 1)", "b2").replace(" d AS", " d2 AS").replace("FROM d)", "FROM d2)").replace(" dt AS", " dt2 AS").replace("FROM dt)", "FROM dt2)").replace("FROM dt GROUP", "FROM dt2 GROUP").replace(" dl AS (", " dl2 AS (").replace(" st AS", " st2 AS").replace("FROM dl)", "FROM dl2)").replace(" po AS", " po2 AS").replace(" df AS (", " df2 AS (").replace("FROM po GROUP", "FROM po2 GROUP").replace(" qt AS", " qt2 AS").replace("FROM qt JOIN po USING (term) JOIN df USING (term) JOIN dl ON dl.id = po.id CROSS JOIN st", "FROM qt2 JOIN po2 po USING (term) JOIN df2 USING (term) JOIN dl2 ON dl2.id = po.id CROSS JOIN st2")},
+ r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM b QUALIFY rank <= 50 UNION ALL SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM b2 QUALIFY rank <= 50),
  f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS fused FROM r GROUP BY ALL)
 SELECT query_id, id, fused, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, id) AS rank FROM f QUALIFY rank <= 10"""
 )
@@ -155,8 +162,8 @@ def multi_library_rrf(s: SparkSession, d: str) -> DataFrame:
     """Two libraries searched apart and fused; equal ids of two libraries stay distinct."""
     q = retrieval.query_terms(_questions(s, d), "query_id", "question")
     a = _corpus(s, d).select(F.concat(F.lit("corpus:"), "doc_id").alias("id"), "text")
-    b = table(s, d, "documents").select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("id"), F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("topic", F.lit(""))).alias("text"))
-    ranks = [retrieval.ranked(retrieval.bm25(x, "id", "text", q)) for x in (a, b)]
+    b = table(s, d, "documents").select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("id"), F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("text", F.lit(""))).alias("text"))
+    ranks = [retrieval.ranked(retrieval.bm25(x, "id", "text", q), 50) for x in (a, b)]
     return retrieval.ranked(retrieval.rrf(ranks), 10, "fused")
 
 
@@ -215,7 +222,8 @@ def chunk_paragraphs(s: SparkSession, d: str) -> DataFrame:
     return chunking.paragraphs(table(s, d, "documents"), "doc_id", "text")
 
 
-_HEAD = r"(regexp_matches(text, '^#{1,6} ') OR regexp_matches(text, '^(第[一二三四五六七八九十0-9]+[章节条]|[0-9]+(\.[0-9]+)+ )|^(Chapter|Section|Article) [0-9]+') OR (length(text) <= 30 AND NOT regexp_matches(text, '[.,;:!?。，；：！？、]')))"
+_FORM = r"regexp_matches(text, '^#{1,6}\s+\S') OR regexp_matches(text, '^第[0-9一二三四五六七八九十百千]+[章节篇部回讲]') OR regexp_matches(text, '^([0-9]+(\.[0-9]+)*|[一二三四五六七八九十百千]+|[IVXLCDMivxlcdm]+)[.、)）]\s*\S')"
+_HEAD = f"({_FORM} OR (length(text) <= 30 AND NOT regexp_matches(text, '[。！？；…，、：.!?;,:]')))"
 
 
 @query(f"WITH {_PARA.format(t='documents')}, h AS (SELECT *, {_HEAD} AS is_heading FROM p) SELECT id, para::INT AS para, sum(is_heading::INT) OVER (PARTITION BY id ORDER BY para)::BIGINT AS section, is_heading, text FROM h")
@@ -223,6 +231,26 @@ def section_numbering(s: SparkSession, d: str) -> DataFrame:
     return chunking.sections(table(s, d, "documents"), "doc_id", "text")
 
 
+_PRESETS = {"laws": f"({_FORM} OR regexp_matches(text, '^第[0-9一二三四五六七八九十百千]+[条款项]'))", "book": f"({_FORM})", "qa": "(regexp_matches(text, '^([Qq][:.、)）]|问[：:、])') OR regexp_matches(text, '[?？]$'))"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS preset, * FROM (WITH {_PARA.format(t='documents')} SELECT id, count(*) FILTER ({c})::BIGINT AS n_sections, min(para) FILTER ({c})::INT AS first_heading FROM p GROUP BY id)" for n, c in _PRESETS.items()))
+def preset_sections(s: SparkSession, d: str) -> DataFrame:
+    """Sections of every document by the rules for laws, books and questions."""
+    parts = [chunking.sections(table(s, d, "documents"), "doc_id", "text", n).groupBy("id").agg(F.max("section").alias("n_sections"), F.min(F.when(F.col("is_heading"), F.col("para"))).alias("first_heading")).select(F.lit(n).alias("preset"), "*") for n in _PRESETS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(
+    f"""WITH {_PARA.format(t='documents')}, h AS (SELECT *, sum({_HEAD}::INT) OVER (PARTITION BY id ORDER BY para)::BIGINT AS section FROM p)
+SELECT id, para::INT AS para, section, text, md5(string_agg(text, chr(10) ORDER BY para) OVER w) AS window_md5, '#para' || min(para) OVER w || '-' || max(para) OVER w AS parent_locator FROM h WINDOW w AS (PARTITION BY id, section)"""
+)
+def parent_child_windows(s: SparkSession, d: str) -> DataFrame:
+    """Every paragraph with the text (as a digest) and the span of its section."""
+    out = chunking.parent_child(table(s, d, "documents"), "doc_id", "text")
+    return out.select("id", "para", "section", "text", F.md5("window_text").alias("window_md5"), "parent_locator")
+
+
 @query()
 def chunk_sentences(s: SparkSession, d: str) -> DataFrame:
     return chunking.sentences(_corpus(s, d), "doc_id", "text")
@@ -322,7 +350,7 @@ def recall_and_mrr(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH c AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '\\[[0-9]+\\]|\\(source:[^)]*\\)', '', 'g'), '[.!?。！？;；\\n]+'), lambda x: trim(x, ' ')), lambda x: regexp_matches(x, '[A-Za-z0-9]|{H}')) AS cl FROM retrieval_ab_corpus),
+    f"""WITH c AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(text, '\\(source:[^)]*\\)', '', 'g'), '\\[[0-9]+\\]', ' ', 'g'), '[.!?。！？;；\\n]+'), lambda x: trim(x, ' ')), lambda x: regexp_matches(x, '[A-Za-z0-9]|{H}')) AS cl FROM retrieval_ab_corpus),
  e AS (SELECT doc_id, unnest(cl) AS claim, generate_subscripts(cl, 1) AS i FROM c) SELECT doc_id, i::INT AS i, claim FROM e"""
 )
 def claims_split(s: SparkSession, d: str) -> DataFrame:

@@ -62,7 +62,7 @@ def dim_key_json(s: SparkSession, d: str) -> DataFrame:
     return _facts(s, d).select("fact_id", facts.dim_key().alias("dim_key"))
 
 
-@query("SELECT fact_id, review_status FROM fact_metric WHERE review_status IN ('auto_approved', 'approved')")
+@query("SELECT fact_id, review_status FROM fact_metric WHERE review_status IN ('auto_approved', 'auto', 'approved')")
 def fact_visible_only(s: SparkSession, d: str) -> DataFrame:
     return _facts(s, d).where(visible(F.col("review_status"))).select("fact_id", "review_status")
 
@@ -76,7 +76,7 @@ def fact_delete_by_source(s: SparkSession, d: str) -> DataFrame:
 @query(
     f"""WITH l AS (SELECT * FROM fact_metric QUALIFY row_number() OVER (PARTITION BY {K} ORDER BY ingested_at DESC, fact_id DESC) = 1),
  r AS (SELECT DISTINCT metric_code, entity, 'FY' AS period_type, '2020' AS period, 'TOTAL' AS channel FROM fact_metric)
-SELECT r.*, l.value, l.unit, l.source_doc_id, CASE WHEN l.fact_id IS NULL THEN 'not_found' ELSE 'found' END AS status FROM r LEFT JOIN l ON l.metric_code = r.metric_code AND l.entity = r.entity AND l.period_type = r.period_type AND l.period = r.period AND l.channel = r.channel AND l.review_status IN ('auto_approved', 'approved')"""
+SELECT r.*, l.value, l.unit, l.source_doc_id, CASE WHEN l.fact_id IS NULL THEN 'not_found' ELSE 'found' END AS status FROM r LEFT JOIN l ON l.metric_code = r.metric_code AND l.entity = r.entity AND l.period_type = r.period_type AND l.period = r.period AND l.channel = r.channel AND l.review_status IN ('auto_approved', 'auto', 'approved')"""
 )
 def fact_point_lookup(s: SparkSession, d: str) -> DataFrame:
     """FY2020 totals of every metric and entity, found or not."""
@@ -85,39 +85,46 @@ def fact_point_lookup(s: SparkSession, d: str) -> DataFrame:
     return facts.lookup(r, last)
 
 
+_NEWEST = f"SELECT * FROM (SELECT * FROM fact_metric QUALIFY row_number() OVER (PARTITION BY {K} ORDER BY ingested_at DESC, fact_id DESC) = 1) WHERE review_status IN ('auto_approved', 'auto', 'approved')"
+
+
+def _newest(s: SparkSession, d: str) -> DataFrame:
+    """The newest row of every key, if it may be shown."""
+    cols = ["fact_id", *facts.KEY, "geography", "value", "unit", "source_doc_id", "source_locator", "review_status", "ingested_at"]
+    return facts.last_wins(_facts(s, d).select(*cols), _ORDER).where(visible(F.col("review_status")))
+
+
 @query(
-    f"""WITH l AS (SELECT * FROM fact_metric WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {K} ORDER BY ingested_at DESC, fact_id DESC) = 1),
+    f"""WITH l AS (SELECT * FROM ({_NEWEST}) WHERE value IS NOT NULL),
  w AS (SELECT *, lag(value) OVER p AS before, lag(period) OVER p AS before_period FROM l WINDOW p AS (PARTITION BY metric_code, entity, channel, period_type, unit ORDER BY period))
 SELECT metric_code, entity, channel, period_type, unit, before_period, period, round(value - before, 4) AS delta, CASE WHEN before <> 0 THEN round((value - before) / before * 100, 4) END AS pct FROM w WHERE before IS NOT NULL"""
 )
 def period_delta(s: SparkSession, d: str) -> DataFrame:
-    last = facts.last_wins(_facts(s, d).where("value is not null").select("fact_id", *facts.KEY, "value", "unit", "ingested_at"), _ORDER)
+    """Changes between visible facts of one unit."""
+    last = _newest(s, d).where("value is not null")
     return facts.deltas(last).select("metric_code", "entity", "channel", "period_type", "unit", "before_period", "period", "delta", "pct")
 
 
 @query(
-    f"""WITH l AS (SELECT * FROM fact_metric WHERE channel = 'TOTAL' AND unit = 'PCT' QUALIFY row_number() OVER (PARTITION BY {K} ORDER BY ingested_at DESC, fact_id DESC) = 1),
- t AS (SELECT DISTINCT split_part(entity, '_', 1) AS parent, entity AS child FROM fact_metric)
-SELECT parent, metric_code, period_type, period, round(sum(value), 4) AS total, count(value) AS n_found, array_to_string(list_sort(list_distinct(list(child))), '|') AS children FROM t LEFT JOIN l ON l.entity = t.child GROUP BY ALL"""
+    f"""WITH l AS ({_NEWEST}),
+ t AS (SELECT DISTINCT split_part(entity, '_', 2) AS parent, entity AS child FROM fact_metric)
+SELECT parent, metric_code, period_type, period, channel, unit, round(sum(value), 4) AS total, count(value) AS n_found, array_to_string(list_sort(list_distinct(list(child))), '|') AS children FROM t LEFT JOIN l ON l.entity = t.child GROUP BY ALL"""
 )
 def subsidiary_rollup(s: SparkSession, d: str) -> DataFrame:
-    """Sums of a group's units (parent: the part of the entity before '_')."""
-    f = _facts(s, d)
-    last = facts.last_wins(f.where("channel = 'TOTAL' and unit = 'PCT'").select("fact_id", *facts.KEY, "value", "ingested_at"), _ORDER)
-    tree = f.select(F.split_part("entity", F.lit("_"), F.lit(1)).alias("parent"), F.col("entity").alias("child")).distinct()
-    return facts.rollup(tree, last).withColumn("children", F.array_join("children", "|"))
+    """Sums of visible facts over the units of a market (the part of the entity after '_'), every metric, channel, period and unit apart."""
+    tree = _facts(s, d).select(F.split_part("entity", F.lit("_"), F.lit(2)).alias("parent"), F.col("entity").alias("child")).distinct()
+    return facts.rollup(tree, _newest(s, d), ["channel", "unit"]).withColumn("children", F.array_join("children", "|"))
 
 
 @query(
-    f"""WITH l AS (SELECT * FROM fact_metric QUALIFY row_number() OVER (PARTITION BY {K} ORDER BY ingested_at DESC, fact_id DESC) = 1),
+    f"""WITH l AS ({_NEWEST}),
  p AS (SELECT DISTINCT entity, split_part(entity, '_', 2) AS geo FROM fact_metric)
 SELECT p.geo, p.entity, l.value, l.fact_id IS NOT NULL AS found FROM p LEFT JOIN l ON l.entity = p.entity AND l.metric_code = 'STAFF' AND l.period_type = 'FY' AND l.period = '2021' AND l.channel = 'TOTAL'"""
 )
 def peer_comparison(s: SparkSession, d: str) -> DataFrame:
-    """Staff of all peers in one year; misses stay with found = false."""
-    f = _facts(s, d)
-    last = facts.last_wins(f.select("fact_id", *facts.KEY, "value", "ingested_at"), _ORDER).where("metric_code = 'STAFF' and period_type = 'FY' and period = '2021' and channel = 'TOTAL'")
-    peers = f.select("entity", F.split_part("entity", F.lit("_"), F.lit(2)).alias("geo")).distinct()
+    """Staff of all peers in one year from visible facts; misses stay with found = false."""
+    last = _newest(s, d).where("metric_code = 'STAFF' and period_type = 'FY' and period = '2021' and channel = 'TOTAL'")
+    peers = _facts(s, d).select("entity", F.split_part("entity", F.lit("_"), F.lit(2)).alias("geo")).distinct()
     return peers.join(last.select("entity", "value", "fact_id"), "entity", "left").select("geo", "entity", "value", F.col("fact_id").isNotNull().alias("found"))
 
 
