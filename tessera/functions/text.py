@@ -65,11 +65,16 @@ def excerpt(c: Column, limit: int = 240) -> Column:
     return F.left(F.regexp_extract(F.trim(c), r"^[^.!?。！？\n]*[.!?。！？]?", 0), F.lit(limit))
 
 
+# Beginnings of lines that frame an answer and state nothing.
+FRAMING = ["基于检索到的资料", "未检索到", "归因部分未检索到", "对比结果", "归因分析", "资料来源", "问题：", "问题:", "检索片段"]
+
+
 def claims(answer: Column) -> Column:
-    """Checkable claims of an answer: citations removed, [n] marks made blanks, split at sentence ends, those without tokens dropped."""
-    bare = F.regexp_replace(F.regexp_replace(answer, r"\(source:[^)]*\)", ""), r"\[[0-9]+\]", " ")
-    parts = F.transform(F.split(bare, r"[.!?。！？;；\n]+"), lambda x: F.trim(x))
-    return F.filter(parts, lambda x: x.rlike("[A-Za-z0-9]|" + CJK))
+    """Checkable claims of an answer: framing lines dropped, citations removed, [n] marks made blanks, cut at sentence ends but not at full stops, those without tokens dropped."""
+    lines = F.filter(F.transform(F.split(F.coalesce(answer, F.lit("")), "[\n\r]+"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike("^(" + "|".join(FRAMING) + ")"))
+    bare = F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(x, "（(?:资料)?来源[：:][^）]*）", ""), r"\[[0-9]+\]", " "))
+    parts = F.flatten(F.transform(bare, lambda x: F.split(x, "[。！？!?；;]+")))
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x.rlike("[A-Za-z0-9]|" + CJK))
 
 
 def stray_numbers(answer: Column) -> Column:

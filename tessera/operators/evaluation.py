@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import claims, token_set
@@ -44,3 +44,18 @@ def gates(outcomes: DataFrame, tag: str, passed: str) -> DataFrame:
 def regressions(now: DataFrame, baseline: DataFrame) -> DataFrame:
     """Metrics (name, value) that fell below their baseline; unknown names are left out."""
     return now.join(baseline.select("name", F.col("value").alias("base")), "name").where("value < base")
+
+
+def channel_accuracy(pairs: DataFrame, group: str, a: str, b: str, tolerance: float) -> DataFrame:
+    """(group, total, correct, accuracy) of values that agree within a tolerance."""
+    ok = F.abs(F.col(a) - F.col(b)) <= tolerance
+    return pairs.groupBy(group).agg(F.count("*").alias("total"), F.count_if(ok).alias("correct"), F.round(F.count_if(ok) / F.count("*"), 6).alias("accuracy"))
+
+
+def lead(scores: DataFrame, key: str, bucket: str, score: str, threshold: float, margin: float) -> DataFrame:
+    """(key, best, score, runner_up, decided): the best bucket of each key, decided if it has ``threshold`` and leads every other by ``margin``."""
+    w = Window.partitionBy(key).orderBy(F.desc(score), bucket)
+    two = scores.withColumn("k", F.row_number().over(w)).where("k <= 2")
+    first = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c)))
+    out = two.groupBy(key).agg(first(bucket, 1).alias("best"), first(score, 1).alias("score"), F.coalesce(first(score, 2), F.lit(0.0)).alias("runner_up"))
+    return out.withColumn("decided", (F.col("score") >= threshold) & (F.col("score") - F.col("runner_up") >= margin))

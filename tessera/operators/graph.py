@@ -73,6 +73,9 @@ def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """
     e = edges.select(F.col("src").cast("string").alias("u"), F.col("dst").cast("string").alias("v")).where("u <> v").distinct()
     e = durable(e, "cc")
+    # number of edges and a sum of their hashes: two rounds with the same pair have the same edges
+    mark = lambda t: tuple(t.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    before = mark(e)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -81,18 +84,38 @@ def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
         new = durable(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
-        same = new.exceptAll(e).isEmpty() and e.exceptAll(new).isEmpty()
+        now = mark(new)
         e = new
-        if same:
+        if now == before:
             break
+        before = now
     root = e.groupBy("u").agg(F.min("v").alias("component"))
     ids = vertices.select(F.col("id").cast("string").alias("id")).distinct()
     return ids.join(root.withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def communities(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """(community, n_members, n_edges): components of two or more vertices named c0, c1, … by their least member."""
+    """(community, n_members, n_edges): components of two or more vertices, named by their least member."""
     comp = components(edges, vertices)
     inside = edges.join(comp.select(F.col("id").alias("src"), "component"), "src").groupBy("component").agg(F.count("*").alias("n_edges"))
     size = comp.groupBy("component").agg(F.count("*").alias("n_members")).where("n_members > 1").join(inside, "component", "left")
-    return size.withColumn("community", F.concat(F.lit("c"), (F.row_number().over(Window.orderBy("component")) - 1).cast("string"))).select("community", "component", "n_members", F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
+    return size.select(F.concat(F.lit("c:"), "component").alias("community"), "component", "n_members", F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
+
+
+def where(vertices: DataFrame, conditions: dict) -> DataFrame:
+    """Vertices that meet every condition on type, label or metadata."""
+    from tessera.operators.vectors import matches
+
+    return vertices.where(matches(conditions))
+
+
+def top_communities(communities: DataFrame, n: int = 20) -> DataFrame:
+    """The ``n`` communities with most relations, ties by their id as a string; each partition passes on its own first."""
+    best = communities.orderBy(F.desc("n_relations"), F.col("community").cast("string")).limit(n)
+    return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n_relations"), F.col("community").cast("string"))))
+
+
+def community_documents(members: DataFrame, relations: DataFrame) -> DataFrame:
+    """(community, source_doc_id), each once, of relations (src, source_doc_id) that start at a member (community, member)."""
+    r = relations.where("source_doc_id is not null and source_doc_id <> ''")
+    return members.join(r, members["member"] == r["src"]).select("community", "source_doc_id").distinct()

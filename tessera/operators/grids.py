@@ -22,8 +22,8 @@ def a1(cell: Column) -> Column:
     letters = F.regexp_extract(rc, r"^([A-Z]+)([0-9]+)$", 1)
     col = F.aggregate(F.split(letters, ""), F.lit(0), lambda acc, x: F.when(x == "", acc).otherwise(acc * 26 + F.ascii(x) - 64))
     other = rc.rlike(r"^R[0-9]+C[0-9]+$")
-    row = F.when(other, F.regexp_extract(rc, r"^R([0-9]+)C", 1)).otherwise(F.regexp_extract(rc, r"^[A-Z]+([0-9]+)$", 1)).cast("int")
-    return F.struct(row.alias("row"), F.when(other, F.regexp_extract(rc, r"C([0-9]+)$", 1).cast("int")).otherwise(col).alias("col"))
+    row = F.when(other, F.regexp_extract(rc, r"^R([0-9]+)C", 1)).otherwise(F.regexp_extract(rc, r"^[A-Z]+([0-9]+)$", 1)).try_cast("int")
+    return F.struct(row.alias("row"), F.when(other, F.regexp_extract(rc, r"C([0-9]+)$", 1).try_cast("int")).otherwise(col).alias("col"))
 
 
 def read_cells(cells: DataFrame, metrics: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -43,3 +43,14 @@ def confidence_buckets(facts: DataFrame, conf: str = "confidence") -> DataFrame:
     return facts.agg(
         F.count_if(c < 0.5).alias("low"), F.count_if((c >= 0.5) & (c < 0.8)).alias("mid"), F.count_if(c >= 0.8).alias("high"), F.count_if(c.isNull()).alias("without")
     )
+
+
+def pending(items: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """Open items with their place in the queue of each group: by priority, then ``order``."""
+    return items.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy("priority", *order)))
+
+
+def enqueue(rows: DataFrame, id_col: str, detail_col: str) -> DataFrame:
+    """(item, kind, detail): an item of the queue and a line of the audit for every row."""
+    both = F.array(F.struct(F.lit("item").alias("kind"), F.col(detail_col).alias("detail")), F.struct(F.lit("audit").alias("kind"), F.lit("enqueued").alias("detail")))
+    return rows.select(F.col(id_col).alias("item"), F.inline(both))

@@ -42,14 +42,14 @@ def mmr(results: DataFrame, key: str = "query_id", top: int | None = None, weigh
 
 
 def compress(results: DataFrame, query_tokens: str, text_col: str, least: float = 0.3) -> DataFrame:
-    """Adds prompt_text: the sentences covered by the query at least ``least``, else the best one; the text itself stays."""
-    parts = F.filter(F.transform(F.regexp_extract_all(text_col, F.lit(r"[^!?。！？\n]+[!?。！？]*"), F.lit(0)), lambda x: F.trim(x)), lambda x: x != "")
+    """Adds prompt_text: the sentences covered by the query at least ``least``, else the best one, as they stand; a text without sentences stays whole."""
+    parts = F.regexp_extract_all(text_col, F.lit(r"[^!?。！？\n]+[!?。！？]*"), F.lit(0))
     scored = F.transform(parts, lambda s: F.struct(s.alias("s"), F.when(F.size(token_set(s)) > 0, F.size(F.array_intersect(token_set(s), F.col(query_tokens))) / F.size(token_set(s))).otherwise(0.0).alias("c")))
     keep = F.filter("scored", lambda x: x["c"] >= least)
     top = F.array_max(F.transform("scored", lambda x: x["c"]))
     best = F.get(F.filter("scored", lambda x: x["c"] == top), F.lit(0))["s"]
     out = results.withColumn("scored", scored)
-    return out.withColumn("prompt_text", F.when(F.size(keep) > 0, F.array_join(F.transform(keep, lambda x: x["s"]), " ")).otherwise(F.coalesce(best, F.lit("")))).drop("scored")
+    return out.withColumn("prompt_text", F.when(F.size(keep) > 0, F.array_join(F.transform(keep, lambda x: x["s"]), "")).otherwise(F.coalesce(best, F.col(text_col)))).drop("scored")
 
 
 def rerank_slots(results: DataFrame, judged: DataFrame, key: str = "query_id") -> DataFrame:

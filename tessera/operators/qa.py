@@ -6,6 +6,7 @@ pandas UDF; everything after is native. Answers are put together from fact value
 
 from __future__ import annotations
 
+import functools
 import re
 
 import pandas as pd
@@ -21,21 +22,37 @@ NUMERIC_CUES = ["多少", "几", "how much", "how many", "what was", "what is",
 NARRATIVE_CUES = ["为什么", "为何", "原因", "why", "explain", "pourquoi", "warum", "por qué", "なぜ"]
 
 
+@functools.lru_cache(maxsize=64)
+def _alternation(words: tuple[str, ...]) -> re.Pattern:
+    return re.compile("|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w))) or r"(?!)")
+
+
 def match_all(text: str, synonyms: dict[str, str]) -> list[tuple[int, int, str]]:
-    """(start, end, code) of synonyms in a text: longer ones first, no overlaps, in order of appearance; Latin words match whole words."""
+    """(start, end, code) of synonyms in a text: longer ones first, no overlaps, in order of appearance.
+
+    One compiled alternation, longest word first, finds the candidates of every place; longer
+    words take their place before shorter ones, wherever they stand.
+    """
     low = text.lower()
+    codes: dict[str, str] = {}
+    for w, c in synonyms.items():
+        codes.setdefault(w.lower(), c)
+    form = _alternation(tuple(sorted(w for w in codes if w)))
     taken: list[tuple[int, int, str]] = []
-    for word in sorted((w.lower() for w in synonyms), key=lambda w: (-len(w), w)):
-        at = 0
-        while word and (i := low.find(word, at)) >= 0:
-            j = i + len(word)
-            at = i + 1
-            if word[0].isascii() and word[0].isalnum() and i and low[i - 1].isascii() and low[i - 1].isalnum():
-                continue
-            if word[-1].isascii() and word[-1].isalnum() and j < len(low) and low[j].isascii() and low[j].isalnum():
-                continue
-            if not any(i < e and s < j for s, e, _ in taken):
-                taken.append((i, j, next(c for w, c in synonyms.items() if w.lower() == word)))
+    free = [(0, len(low))]
+    while free:
+        hits = []
+        for a, b in free:
+            at = a
+            while m := form.search(low, at, b):
+                hits.append((m.start() - m.end(), m.group(), m.start(), m.end(), (a, b)))
+                at = m.start() + 1
+        if not hits:
+            break
+        _, word, i, j, part = min(hits)
+        taken.append((i, j, codes[word]))
+        free.remove(part)
+        free += [(part[0], i), (j, part[1])]
     return sorted(taken)
 
 
@@ -126,7 +143,10 @@ def answer(questions: DataFrame, facts: DataFrame, home: str) -> DataFrame:
 
 
 def carry_forward(turns: DataFrame, key: str = "conv_id", memory: int = 8) -> DataFrame:
-    """Turns (key, turn, entity, period, remembered) with both slots filled from the newest ``memory`` remembered turns; what was filled is remembered.
+    """Turns (key, turn, entity, period, remembered[, route, external]) with both slots filled from the newest ``memory`` remembered turns; what was filled is remembered.
+
+    Where ``route`` is given only structured and composite turns are filled, and turns that name
+    a foreign party (``external``) never are.
 
     An exact fold: long conversations are read in order, the state is ``memory`` pairs.
     """
@@ -136,8 +156,9 @@ def carry_forward(turns: DataFrame, key: str = "conv_id", memory: int = 8) -> Da
         pdf = pdf.sort_values("turn", ignore_index=True)
         seen: list[tuple] = []
         e_out, p_out = [], []
-        for e, p, keep in zip(pdf.entity, pdf.period, pdf.remembered):
-            fill = lambda x, k: x if x is not None and x == x else next((s[k] for s in reversed(seen) if s[k] is not None), None)
+        for e, p, keep, may in zip(pdf.entity, pdf.period, pdf.remembered, pdf.may):
+            none = lambda x: x is None or x != x
+            fill = lambda x, k: x if not none(x) else next((s[k] for s in reversed(seen) if s[k] is not None), None) if may else None  # noqa: E731, B023
             e2, p2 = fill(e, 0), fill(p, 1)
             e_out.append(e2)
             p_out.append(p2)
@@ -145,6 +166,11 @@ def carry_forward(turns: DataFrame, key: str = "conv_id", memory: int = 8) -> Da
                 seen = [*seen, (e2, p2)][-memory:]
         return pd.DataFrame({key: pdf[key], "turn": pdf.turn, "entity": e_out, "period": p_out})
 
-    return turns.select(key, "turn", "entity", "period", "remembered").groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, turn {kinds['turn']}, entity string, period string")
+    may = F.lit(True)
+    if "route" in turns.columns:
+        may = may & F.col("route").isin("structured", "composite")
+    if "external" in turns.columns:
+        may = may & F.col("external").isNull()
+    return turns.select(key, "turn", "entity", "period", "remembered", F.coalesce(may, F.lit(False)).alias("may")).groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, turn {kinds['turn']}, entity string, period string")
 
 

@@ -91,11 +91,16 @@ CONDITIONS: dict[str, Callable[[Column, object], Column]] = {
 }
 
 
+_SAME = {"is": "==", "equals": "==", "=": "==", "is not": "!=", "≥": ">=", "≤": "<="}
+
+
 def condition(c: Column, op: str, value=None) -> Column:
-    """A branch condition; an unknown operator is an error, null is false."""
-    if op not in CONDITIONS:
-        raise ValueError(f"unknown operator {op}")
-    return F.coalesce(CONDITIONS[op](c, value), F.lit(False))
+    """A branch condition; comparisons of size take both sides as numbers, an unknown operator compares for equality, null is false."""
+    op = _SAME.get(op, op)
+    if op in (">", "<", ">=", "<="):
+        x, y = c.cast("string").try_cast("double"), F.lit(value).cast("string").try_cast("double")
+        return F.coalesce({">": x > y, "<": x < y, ">=": x >= y, "<=": x <= y}[op], F.lit(False))
+    return F.coalesce(CONDITIONS.get(op, CONDITIONS["=="])(c, value), F.lit(False))
 
 
 def branch(df: DataFrame, cases: list[tuple[Column, Callable[[DataFrame], DataFrame]]], otherwise: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -115,12 +120,17 @@ def first_produced(*cols: str) -> Column:
     return F.coalesce(*[F.col(c) for c in cols])
 
 
-def assign(c: Column, op: str, value: Column | None = None) -> Column:
-    """Assigner operations on a variable."""
+def assign(c: Column, op: str, value: Column | None = None, kind: str | None = None) -> Column:
+    """Assigner operations on a variable; ``kind`` is its type (string, double, boolean, array<...>, map<...>), which clearing and adding to null need."""
+    number = lambda x: x.cast("string").try_cast("double")
+    array = (kind or "").startswith("array")
+    empty = F.array() if array or kind is None else F.create_map() if kind.startswith("map") else F.lit({"string": "", "boolean": False}.get(kind, 0))
+    empty = empty.cast(kind) if kind else F.lit(None)
+    held = F.coalesce(c, empty) if array else c
     ops = {
-        "over-write": lambda: value, "set": lambda: value, "clear": lambda: F.lit(None), "append": lambda: F.array_append(c, value), "extend": lambda: F.concat(c, value),
+        "over-write": lambda: value, "set": lambda: value, "clear": lambda: empty, "append": lambda: F.array_append(held, value), "extend": lambda: F.concat(held, value),
         "remove-first": lambda: F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(0))), "remove-last": lambda: F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0))),
-        "+=": lambda: c + value, "-=": lambda: c - value, "*=": lambda: c * value, "/=": lambda: F.try_divide(c, value),
+        "+=": lambda: number(c) + number(value), "-=": lambda: number(c) - number(value), "*=": lambda: number(c) * number(value), "/=": lambda: F.try_divide(number(c), number(value)),
     }
     if op not in ops:
         raise ValueError(f"unknown operation {op}")

@@ -88,10 +88,10 @@ def topo_layers(s: SparkSession, d: str) -> DataFrame:
     return workflow.layers_table(nodes, e.distinct())
 
 
-@query("SELECT o_orderkey, CASE WHEN o_totalprice > 250000 THEN 'large' WHEN starts_with(o_orderpriority, '1') THEN 'urgent' ELSE 'other' END AS branch, CASE WHEN o_totalprice > 250000 THEN round(o_totalprice / 2, 2) ELSE round(o_totalprice, 2) END AS amount FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_totalprice > 250000 THEN 'large' WHEN starts_with(o_orderpriority, '1') THEN 'urgent' ELSE 'other' END AS branch, CASE WHEN o_totalprice > 250000 THEN round(o_totalprice / 2, 3) ELSE round(o_totalprice, 3) END AS amount FROM orders")
 def workflow_branch_union(s: SparkSession, d: str) -> DataFrame:
     o = table(s, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
-    to = lambda name, k: lambda df: df.select("o_orderkey", F.lit(name).alias("branch"), F.round(F.col("o_totalprice") / k, 2).alias("amount"))
+    to = lambda name, k: lambda df: df.select("o_orderkey", F.lit(name).alias("branch"), F.round(F.col("o_totalprice") / k, 3).alias("amount"))
     return workflow.branch(o, [(workflow.condition(F.col("o_totalprice"), ">", 250000), to("large", 2)), (workflow.condition(F.col("o_orderpriority"), "start with", "1"), to("urgent", 1))], to("other", 1))
 
 
@@ -172,10 +172,11 @@ def children_by_parent(s: SparkSession, d: str) -> DataFrame:
     return c.join(n, "family").select("chunk_id", "version", "ingested_at", "family", "n_family")
 
 
-@query("SELECT chunk_id, version, ingested_at, CASE WHEN coalesce(window_text, '') <> '' THEN window_text WHEN coalesce(text, '') <> '' THEN text ELSE '' END AS prompt_text, coalesce(nullif(parent_locator, ''), source_locator) AS cited FROM narrative_chunk WHERE active = 1 AND upper(coalesce(sensitivity, '')) <> 'RESTRICTED'")
+@query("SELECT chunk_id, version, ingested_at, CASE WHEN coalesce(window_text, '') <> '' THEN window_text WHEN coalesce(text, '') <> '' THEN text ELSE '' END AS prompt_text, source_locator AS cited, nullif(parent_locator, '') AS parent_locator FROM narrative_chunk WHERE active = 1 AND upper(coalesce(sensitivity, '')) <> 'RESTRICTED'")
 def snippet_projection(s: SparkSession, d: str) -> DataFrame:
+    """What goes into a prompt: the window where there is one; the hit's own locator is cited, the parent's stands beside it."""
     c = table(s, d, "narrative_chunk").where("active = 1").where(F.upper(F.coalesce("sensitivity", F.lit(""))) != "RESTRICTED")
-    return c.select("chunk_id", "version", "ingested_at", F.coalesce(F.nullif("window_text", F.lit("")), F.nullif("text", F.lit("")), F.lit("")).alias("prompt_text"), F.coalesce(F.nullif("parent_locator", F.lit("")), "source_locator").alias("cited"))
+    return c.select("chunk_id", "version", "ingested_at", F.coalesce(F.nullif("window_text", F.lit("")), F.nullif("text", F.lit("")), F.lit("")).alias("prompt_text"), F.col("source_locator").alias("cited"), F.nullif("parent_locator", F.lit("")).alias("parent_locator"))
 
 
 @query("SELECT id, trim(regexp_replace(lower(question), '[?？。.！!]+$', ''), ' ') AS question_key, count(*) OVER (PARTITION BY trim(regexp_replace(lower(question), '[?？。.！!]+$', ''), ' ')) AS n_same FROM qa_golden_set")

@@ -287,6 +287,7 @@ def next_version(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "narrative_chunk").groupBy("doc_id").agg((F.coalesce(F.max("version"), F.lit(0)) + 1).alias("next_version"))
 
 
+_WORDS_OF = f"regexp_extract_all(lower(q.question), '[a-z0-9]+|{H}')"
 _TOP = f"WITH {_bm25_sql(_CORPUS)}, t AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM b QUALIFY rank <= 10)"
 
 
@@ -305,14 +306,14 @@ def mmr_select(s: SparkSession, d: str) -> DataFrame:
     return post.mmr(_top(s, d).join(texts, "id"), top=5)
 
 
-_SENT = "list_filter(list_transform(regexp_extract_all(c.text, '[^!?。！？\\n]+[!?。！？]*'), lambda x: trim(x, ' ')), lambda x: x <> '')"
+_SENT = "regexp_extract_all(c.text, '[^!?。！？\\n]+[!?。！？]*')"
 
 
 @query(
     _TOP
     + f""", s AS (SELECT t.query_id, t.id, u.i, u.s, {sql_set('u.s')} AS st, {sql_set('q.question')} AS qs FROM t JOIN q USING (query_id) JOIN retrieval_ab_corpus c ON c.doc_id = t.id, LATERAL (SELECT unnest({_SENT}) AS s, generate_subscripts({_SENT}, 1) AS i) u),
  k AS (SELECT *, CASE WHEN len(st) > 0 THEN len(list_intersect(st, qs))::DOUBLE / len(st) ELSE 0 END AS cov FROM s)
-SELECT query_id, id, coalesce(string_agg(s, ' ' ORDER BY i) FILTER (cov >= 0.3), arg_min(s, (-cov, i)), '') AS prompt_text FROM k GROUP BY query_id, id"""
+SELECT query_id, id, coalesce(string_agg(s, '' ORDER BY i) FILTER (cov >= 0.3), arg_min(s, (-cov, i))) AS prompt_text FROM k GROUP BY query_id, id"""
 )
 def compress_extractive(s: SparkSession, d: str) -> DataFrame:
     texts = _corpus(s, d).select(F.col("doc_id").alias("id"), "text")
@@ -350,7 +351,8 @@ def recall_and_mrr(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH c AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(text, '\\(source:[^)]*\\)', '', 'g'), '\\[[0-9]+\\]', ' ', 'g'), '[.!?。！？;；\\n]+'), lambda x: trim(x, ' ')), lambda x: regexp_matches(x, '[A-Za-z0-9]|{H}')) AS cl FROM retrieval_ab_corpus),
+    f"""WITH l AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[\\n\\r]+'), lambda x: trim(x, ' ')), lambda x: x <> '' AND NOT regexp_matches(x, '^({"|".join(text.FRAMING)})')) AS l FROM retrieval_ab_corpus WHERE text IS NOT NULL),
+ c AS (SELECT doc_id, list_filter(list_transform(flatten(list_transform(l, lambda x: regexp_split_to_array(regexp_replace(regexp_replace(x, '（(?:资料)?来源[：:][^）]*）', '', 'g'), '\\[[0-9]+\\]', ' ', 'g'), '[。！？!?；;]+'))), lambda x: trim(x, ' ')), lambda x: regexp_matches(x, '[A-Za-z0-9]|{H}')) AS cl FROM l),
  e AS (SELECT doc_id, unnest(cl) AS claim, generate_subscripts(cl, 1) AS i FROM c) SELECT doc_id, i::INT AS i, claim FROM e"""
 )
 def claims_split(s: SparkSession, d: str) -> DataFrame:
@@ -501,33 +503,43 @@ def normalize_metric(s: SparkSession, d: str) -> DataFrame:
 @query(
     _TOP
     + f""", g AS (SELECT query_id, list_distinct(flatten(list({sql_set('c.text')}))) AS seen FROM t JOIN retrieval_ab_corpus c ON c.doc_id = t.id WHERE rank <= 5 GROUP BY query_id)
-SELECT q.query_id, CASE WHEN len({sql_set('question')}) = 0 THEN 1.0 WHEN seen IS NULL THEN 0.0 ELSE round(len(list_intersect({sql_set('question')}, seen))::DOUBLE / len({sql_set('question')}), 6) END AS grade FROM q LEFT JOIN g USING (query_id)"""
+SELECT q.query_id, CASE WHEN len({_WORDS_OF}) = 0 THEN 1.0 WHEN seen IS NULL THEN 0.0 ELSE round(len(list_filter({_WORDS_OF}, lambda x: list_contains(seen, x)))::DOUBLE / len({_WORDS_OF}), 6) END AS grade FROM q LEFT JOIN g USING (query_id)"""
 )
 def relevance_grade(s: SparkSession, d: str) -> DataFrame:
-    """Share of the question's words found in its five best texts together."""
+    """Share of the question's words, repeats counted, found in its five best texts together."""
     texts = _corpus(s, d).select(F.col("doc_id").alias("id"), text.token_set(F.col("text")).alias("t"))
     seen = _top(s, d).where("rank <= 5").join(texts, "id").groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("t"))).alias("seen"))
-    q = _questions(s, d).select("query_id", text.token_set(F.col("question")).alias("q")).join(seen, "query_id", "left")
-    grade = F.when(F.size("q") == 0, 1.0).when(F.col("seen").isNull(), 0.0).otherwise(F.round(F.size(F.array_intersect("q", "seen")) / F.size("q"), 6))
+    words = F.regexp_extract_all(F.lower("question"), F.lit("[a-z0-9]+|" + text.CJK), F.lit(0))
+    q = _questions(s, d).select("query_id", words.alias("q")).join(seen, "query_id", "left")
+    grade = F.when(F.size("q") == 0, 1.0).when(F.col("seen").isNull(), 0.0).otherwise(F.round(F.size(F.filter("q", lambda x: F.array_contains("seen", x))) / F.size("q"), 6))
     return q.select("query_id", grade.alias("grade"))
 
 
+#: Confidence from which a template is used again.
+REUSE = 0.74
+_FOLD = "lower(trim(regexp_replace({}, '[\\s\\p{{Z}}]+', ' ', 'g')))"
+
+
 @query(
-    f"""WITH {_bm25_sql(_CORPUS)}, m AS (SELECT query_id, max(score) AS top FROM b GROUP BY 1)
-SELECT query_id, b.id, round(0.62 * len(list_intersect({sql_set('question')}, {sql_set('c.text')}))::DOUBLE / greatest(len({sql_set('question')}), 1) + 0.38 * score / top, 4) AS confidence,
- row_number() OVER (PARTITION BY query_id ORDER BY round(0.62 * len(list_intersect({sql_set('question')}, {sql_set('c.text')}))::DOUBLE / greatest(len({sql_set('question')}), 1) + 0.38 * score / top, 4) DESC, b.id) AS rank
-FROM b JOIN m USING (query_id) JOIN q USING (query_id) JOIN retrieval_ab_corpus c ON c.doc_id = b.id QUALIFY rank <= 3"""
+    f"""WITH {_bm25_sql(_CORPUS)}, m AS (SELECT query_id, max(score) AS top FROM b GROUP BY 1),
+ o AS (SELECT query_id, b.id, len(list_intersect(list_distinct({sql_tokens('question')}), list_distinct({sql_tokens('c.text')}))) AS common, len(list_distinct({sql_tokens('question')})) AS words, score / top AS part, {_FOLD.format('question')} = {_FOLD.format('c.text')} AS exact
+  FROM b JOIN m USING (query_id) JOIN q USING (query_id) JOIN retrieval_ab_corpus c ON c.doc_id = b.id),
+ x AS (SELECT query_id, id, CASE WHEN exact THEN 1.0 WHEN common < 2 THEN least(round(least(1.0, 0.62 * common::DOUBLE / words + 0.38 * part), 4), {REUSE} - 0.01) ELSE round(least(1.0, 0.62 * common::DOUBLE / words + 0.38 * part), 4) END::DOUBLE AS confidence FROM o)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, id) AS rank FROM x QUALIFY rank <= 3"""
 )
 def template_confidence(s: SparkSession, d: str) -> DataFrame:
-    """Match confidence: 0.62 of the word overlap and 0.38 of the score against the best one; three best per query."""
+    """Match confidence: 1 for the same words, else 0.62 of the word overlap and 0.38 of the score against the best one, and below the threshold of reuse with fewer than two common words; three best per query."""
     from pyspark.sql import Window
 
     q = _questions(s, d)
     b = retrieval.bm25(_corpus(s, d), "doc_id", "text", retrieval.query_terms(q, "query_id", "question"))
     top = b.groupBy("query_id").agg(F.max("score").alias("top"))
-    c = _corpus(s, d).select(F.col("doc_id").alias("id"), text.token_set(F.col("text")).alias("t"))
-    j = b.join(top, "query_id").join(q.select("query_id", text.token_set(F.col("question")).alias("q")), "query_id").join(c, "id")
-    conf = F.round(0.62 * F.size(F.array_intersect("q", "t")) / F.greatest(F.size("q"), F.lit(1)) + 0.38 * F.col("score") / F.col("top"), 4)
+    words = lambda c: F.array_distinct(text.tokens(F.col(c)))
+    c = _corpus(s, d).select(F.col("doc_id").alias("id"), words("text").alias("t"), text.clean(F.col("text")).alias("tk"))
+    j = b.join(top, "query_id").join(q.select("query_id", words("question").alias("q"), text.clean(F.col("question")).alias("qk")), "query_id").join(c, "id")
+    common = F.size(F.array_intersect("q", "t"))
+    conf = F.round(F.least(F.lit(1.0), 0.62 * common / F.size("q") + 0.38 * F.col("score") / F.col("top")), 4)
+    conf = F.when(F.col("qk") == F.col("tk"), 1.0).when(common < 2, F.least(conf, F.lit(REUSE - 0.01))).otherwise(conf)
     out = j.select("query_id", "id", conf.alias("confidence"))
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("confidence"), "id"))).where("rank <= 3")
 

@@ -328,9 +328,12 @@ def confidence_buckets(s: SparkSession, d: str) -> DataFrame:
     return ledger.confidence_buckets(_facts(s, d))
 
 
-@query("SELECT metric_code, mode(unit) IS NOT NULL AS has_mode, count(DISTINCT unit) AS n_units FROM fact_metric GROUP BY 1")
+@query("WITH n AS (SELECT metric_code, unit, count(*) AS n FROM fact_metric WHERE unit IS NOT NULL AND trim(unit) <> '' GROUP BY ALL) SELECT metric_code, unit AS default_unit, n FROM n QUALIFY row_number() OVER (PARTITION BY metric_code ORDER BY n DESC, unit) = 1")
 def default_unit(s: SparkSession, d: str) -> DataFrame:
-    return _facts(s, d).groupBy("metric_code").agg(F.mode("unit").isNotNull().alias("has_mode"), F.countDistinct("unit").alias("n_units"))
+    """The unit a metric is stated in most often, ties by its name."""
+    n = _facts(s, d).where("unit is not null and trim(unit) <> ''").groupBy("metric_code", "unit").agg(F.count("*").alias("n"))
+    best = n.groupBy("metric_code").agg(F.min_by(F.struct("unit", "n"), F.struct(-F.col("n"), F.col("unit"))).alias("b"))
+    return best.select("metric_code", F.col("b.unit").alias("default_unit"), "b.n")
 
 
 @query("SELECT doc_id, arg_max(source_path, (ingested_at, source_path)) AS source_path, max(ingested_at) AS ingested_at FROM narrative_doc GROUP BY doc_id")

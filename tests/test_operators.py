@@ -96,6 +96,91 @@ def test_graph(spark):
 
 
 def test_evaluation(spark):
-    assert one(spark, evaluation.faithfulness(F.col("a"), F.col("s")), a=("Cats sleep. Dogs fly high.", "string"), s=("cats sleep all day", "string")) == 0.5
+    assert one(spark, evaluation.faithfulness(F.col("a"), F.col("s")), a=("资料来源：x\nCats sleep[1]; Dogs fly high!（来源：d1）", "string"), s=("cats sleep all day", "string")) == 0.5
     assert one(spark, evaluation.faithfulness(F.col("a"), F.col("s")), a=("", "string"), s=("x", "string")) == 1.0
     assert one(spark, text.listwise_order(F.col("r"), F.col("n")), r=("2, 0, 9, 2", "string"), n=(4, "int")) == [2, 0, 1, 3]
+
+
+def test_hash_embedding_and_hybrid(spark):
+    import hashlib
+
+    from tessera.operators import embedding
+
+    docs = spark.createDataFrame([("a", "cash flow cash"), ("b", "weather report"), ("c", ""), ("d", None)], "id string, text string")
+    for algorithm in ("md5", "blake2b"):
+        v = {r.id: r.v for r in embedding.embed(docs, "id", "text", 16, algorithm).collect()}
+        assert abs(sum(x * x for x in v["a"]) - 1) < 1e-9 and sum(v["c"]) == 0 and sum(v["d"]) == 0 and len(v["a"]) == 16
+    at = int.from_bytes(hashlib.blake2b(b"cash", digest_size=8).digest(), "big") % 16
+    assert {r.bucket for r in embedding.weights(docs.where("id = 'a'"), "id", "text", 16, "blake2b").collect()} >= {at}
+    q = spark.createDataFrame([(1, "cash"), (2, "nothing here"), (3, None)], "query_id int, question string")
+    got = [(r.query_id, r.id, r["rank"]) for r in embedding.hybrid(docs, "id", "text", q, "query_id", "question").collect() if r.query_id == 1]
+    assert got[0] == (1, "a", 1)
+
+
+def test_gates(spark):
+    from tessera.operators import gates
+
+    df = spark.createDataFrame([(1, "How is JING  CHENG doing?"), (2, "how are we"), (3, None), (4, "jingcheng china")], "id int, q string")
+    alias = {"jing cheng": "Jingcheng", "jing cheng china": "Jingcheng China"}
+    got = {r.id: (r.e, r.m) for r in df.select("id", gates.outside(F.col("q"), alias).alias("e"), gates.masked(F.col("q"), alias).alias("m")).collect()}
+    assert got[1] == ("Jingcheng", "how is            doing?") and got[2] == (None, "how are we") and got[3] == (None, None) and got[4][0] == "Jingcheng China"
+    v = df.limit(1).select(gates.rewrite(F.lit("Revenue in cn, concern"), [{"revenue": "REV", "sales": "REV"}, {"cn": "CN"}]).alias("v")).first().v
+    assert v == ["Revenue in cn, concern", "REV in cn, concern", "Revenue in CN, concern", "sales in cn, concern"]
+    items = spark.createDataFrame([("1", "What is IFRS?", "a", True, "2024-01-01", None, "INTERNAL"), ("2", "what  is ifrs?", "b", True, None, "soon", None), ("3", "Who?", "c", True, None, None, " Restricted "), ("4", "Why?", "d", False, None, None, None), ("5", "How?", "e", True, "2025-01-01", "2025-12-31", None)], "item_id string, question string, answer string, enabled boolean, valid_from string, valid_until string, sensitivity string")
+    asked = spark.createDataFrame([(i, q, "2025-06-01", s, x) for i, (q, s, x) in enumerate([("WHAT IS IFRS?", False, None), ("who?", False, None), ("why?", False, None), ("how? ", False, None), ("how?", True, None), ("how?", False, "X"), ("how currently?", False, None)])], "id int, question string, reference_date string, slots boolean, external string").withColumn("reference_date", F.to_date("reference_date"))
+    assert [tuple(r) for r in gates.faq(asked, items).collect()] == [(3, "5", "e")]  # a bound that is no date is never met
+
+
+def test_corrective_first_passing(spark):
+    from tessera.operators import gates
+
+    q = spark.createDataFrame([("a", ["x", "x", "y"]), ("b", ["z"]), ("c", []), ("d", ["w"])], "query_id string, words array<string>")
+    texts = spark.createDataFrame([("1", ["y"]), ("2", ["x"]), ("3", ["z", "q"])], "id string, words array<string>")
+    hit = "query_id string, id string, rank int"
+    one = spark.createDataFrame([("a", "1", 1), ("b", "1", 1), ("c", "1", 1)], hit)
+    two = spark.createDataFrame([("a", "2", 1), ("b", "3", 1)], hit)
+    got = sorted((r.query_id, r.stage, r.grade, r.id) for r in gates.first_passing(q, [one, two], texts).collect())
+    assert got == [("a", 1, 0.666667, "2"), ("b", 1, 1.0, "3"), ("c", 0, 1.0, "1")]
+
+
+def test_grids(spark):
+    from tessera.operators import grids
+
+    cells = [("s", 1, 2, "FY2023"), ("s", 1, 3, "2024H1"), ("s", 2, 1, "Revenue (US$m)"), ("s", 2, 2, "1,200"), ("s", 2, 3, "n/a"), ("s", 3, 1, "Other"), ("s", 3, 2, "5"), ("t", 1, 2, "Revenue"), ("t", 2, 1, "2024 Q1"), ("t", 2, 2, "7%"), ("u", 1, 1, None)]
+    df = spark.createDataFrame([(*c, "clash") for c in cells], "sheet string, row int, col int, text string, label string")
+    words = spark.createDataFrame([("revenue", "REV")], "word string, metric_code string")
+    assert {tuple(r) for r in grids.facts(df, words).collect()} == {("s", 2, 2, "REV", "FY", "2023", 1200.0), ("t", 2, 2, "REV", "QUARTER", "2024Q1", 7.0)}
+    assert {r.sheet: r.has_data for r in grids.candidates(df, words).collect()} == {"s": True, "t": True, "u": False}
+    a = spark.createDataFrame([("AB12",), ("r3c28",), ("?",)], "c string").select(grids.a1(F.col("c")).alias("x")).collect()
+    assert [tuple(r.x) for r in a[:2]] == [(12, 28), (3, 28)]
+    assert grids.facts(df.limit(0), words).count() == 0
+
+
+def test_relative_periods(spark):
+    import datetime
+
+    from tessera.functions import periods
+
+    words = ["去年上半年", "上半年", "上个季度", "前年", "明年上半年", "x", None]
+    df = spark.createDataFrame([(w, datetime.date(2025, 2, 1)) for w in words], "w string, d date")
+    got = [r.p and tuple(r.p) for r in df.select(periods.relative(F.col("w"), F.col("d")).alias("p")).collect()]
+    assert got == [("HY", "2024H1"), ("HY", "2025H1"), ("QUARTER", "2024Q4"), ("FY", "2023"), None, None, None]
+
+
+def test_vectors_and_presets(spark):
+    import pytest
+
+    from tessera.operators import chunking, vectors
+
+    old = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, m string")
+    new = spark.createDataFrame([(2, "c"), (4, "d")], "id int, m string")
+    assert {tuple(r) for r in vectors.upsert(old, new, "id").collect()} == {(1, "a"), (2, "c"), (3, None), (4, "d")}
+    assert {r.id for r in vectors.delete_where(old, {"m": "a"}).collect()} == {2, 3}
+    with pytest.raises(ValueError):
+        vectors.delete_where(old, {})
+    lines = ["# A", "第三章 总则", "1. Scope", "一、范围", "IV) X", "Outlook", "第五条 内容", "Q: why", "Really?", "A long line that has no stop but many words in it"]
+    df = spark.createDataFrame([(x,) for x in lines], "t string")
+    got = {p: [r.h for r in df.select(chunking.heading(F.col("t"), p).alias("h")).collect()] for p in ("layout", "laws", "book", "qa")}
+    assert got["layout"] == [True] * 5 + [True, True, False, False, False]
+    assert got["laws"] == [True] * 5 + [False, True, False, False, False] and got["book"] == [True] * 5 + [False] * 5
+    assert got["qa"] == [False] * 7 + [True, True, False]
