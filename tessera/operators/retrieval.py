@@ -64,13 +64,8 @@ def ranked(scores: DataFrame, k: int | None = None, by: str = "score", key: str
     return out.where(F.col("rank") <= k) if k else out
 
 
-def vector_topk(docs: DataFrame, id_col: str, vec_col: str, queries: DataFrame, query_col: str, query_vec: str, k: int = 10) -> DataFrame:
-    """(query_id, id, score, rank): the k best cosines of a stated query set against every document, ties by id.
-
-    Query vectors go to the executors in blocks of ``QUERY_BLOCK``. Each batch of documents is one
-    matrix product per block and passes on its own k best only, so the shuffle holds k rows a query and batch.
-    Vectors of another dimension than the query's are an error; zero vectors have cosine 0.
-    """
+def _blocks(docs: DataFrame, id_col: str, vec_col: str, queries: DataFrame, query_col: str, query_vec: str, pick) -> tuple[DataFrame, DataFrame]:
+    """(q, id, score) that ``pick`` (a function of a matrix of scores) takes from every batch of documents and block of queries, and the label of every q."""
     d = docs.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
     q = queries.select(F.col(query_col).alias("query_id"), F.col(query_vec).cast("array<double>").alias("v")).where("query_id is not null and v is not null")
     if q.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
@@ -89,14 +84,34 @@ def vector_topk(docs: DataFrame, id_col: str, vec_col: str, queries: DataFrame,
             m = unit(np.array(pdf.v.tolist(), float).reshape(len(pdf), -1))
             for lo in range(0, len(qs), QUERY_BLOCK):
                 s = np.round(m @ qs[lo : lo + QUERY_BLOCK].T, 6) + 0.0
-                top = np.argsort(-s, axis=0, kind="stable")[:k]
-                cols = np.arange(s.shape[1])
-                yield pd.DataFrame({"q": np.tile(cols + lo, len(top)), "id": pdf.id.to_numpy()[top].ravel(), "score": s[top, cols].ravel()})
+                row, col = pick(s)
+                yield pd.DataFrame({"q": col + lo, "id": pdf.id.to_numpy()[row], "score": s[row, col]})
 
     part = d.mapInPandas(run, f"q long, id {dict(d.dtypes)['id']}, score double")
-    best = ranked(part, k, key="q")
     label = docs.sparkSession.createDataFrame(pd.DataFrame({"q": range(len(names)), "query_id": names}), f"q long, query_id {dict(q.dtypes)['query_id']}")
-    return best.join(F.broadcast(label), "q").select("query_id", "id", "score", "rank")
+    return part, label
+
+
+def vector_topk(docs: DataFrame, id_col: str, vec_col: str, queries: DataFrame, query_col: str, query_vec: str, k: int = 10) -> DataFrame:
+    """(query_id, id, score, rank): the k best cosines of a stated query set against every document, ties by id.
+
+    Query vectors go to the executors in blocks of ``QUERY_BLOCK``. Each batch of documents is one
+    matrix product per block and passes on its own k best only, so the shuffle holds k rows a query and batch.
+    Vectors of another dimension than the query's are an error; zero vectors have cosine 0.
+    """
+
+    def pick(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        top = np.argsort(-s, axis=0, kind="stable")[:k]
+        return top.ravel(), np.tile(np.arange(s.shape[1]), len(top))
+
+    part, label = _blocks(docs, id_col, vec_col, queries, query_col, query_vec, pick)
+    return ranked(part, k, key="q").join(F.broadcast(label), "q").select("query_id", "id", "score", "rank")
+
+
+def vector_links(docs: DataFrame, id_col: str, vec_col: str, queries: DataFrame, query_col: str, query_vec: str, least: float) -> DataFrame:
+    """(query_id, id, score): all documents with a cosine of ``least`` or more to a stated query set, by the same matrix products."""
+    part, label = _blocks(docs, id_col, vec_col, queries, query_col, query_vec, lambda s: np.nonzero(s >= least))
+    return part.join(F.broadcast(label), "q").select("query_id", "id", "score")
 
 
 def rrf(rankings: list[DataFrame], k: int = 60, key: str = "query_id") -> DataFrame:
@@ -116,10 +131,13 @@ def fuse(lexical: DataFrame, dense: DataFrame, k: int = 50, c: int = 60) -> Data
     return ranked(out, k, "fused")
 
 
-def library_scores(libraries: DataFrame, library_col: str, keywords_col: str, queries: DataFrame, query_col: str, text_col: str) -> DataFrame:
-    """(query_id, library, overlap): libraries whose keywords share words with the query; a query without any overlap goes to all."""
-    q = queries.select(F.col(query_col).alias("query_id"), F.array_distinct(tokens(F.col(text_col))).alias("q"))
-    lib = libraries.select(F.col(library_col).alias("library"), F.array_distinct(tokens(F.col(keywords_col))).alias("w"))
-    both = q.crossJoin(F.broadcast(lib)).select("query_id", "library", F.size(F.array_intersect("q", "w")).alias("overlap"))
-    top = F.max("overlap").over(Window.partitionBy("query_id"))
-    return both.withColumn("top", top).where("overlap > 0 or top = 0").drop("top")
+def library_scores(titles: DataFrame, library_col: str, text_col: str, queries: DataFrame, query_col: str, query_text: str) -> DataFrame:
+    """(query_id, library, overlap): libraries whose words (of all their rows) the query shares, by a join on the word; a query without any overlap goes to all."""
+    words = titles.select(F.col(library_col).alias("library"), F.explode(tokens(F.col(text_col))).alias("term")).distinct()
+    asked = queries.select(F.col(query_col).alias("query_id"), F.explode(tokens(F.col(query_text))).alias("term")).distinct()
+    hit = asked.join(words, "term").groupBy("query_id", "library").agg(F.count("*").cast("int").alias("overlap"))
+    libraries = titles.select(F.col(library_col).alias("library")).distinct()
+    if libraries.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        raise ValueError("too many libraries to send a query to all")
+    rest = queries.select(F.col(query_col).alias("query_id")).join(hit.select("query_id").distinct(), "query_id", "left_anti")
+    return hit.select("query_id", "library", "overlap").unionByName(rest.crossJoin(F.broadcast(libraries)).select("query_id", "library", F.lit(0).alias("overlap")))

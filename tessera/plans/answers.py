@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text, vectors
-from tessera.operators import facts, qa, workflow
+from tessera.operators import facts, qa, retrieval, workflow
 from tessera.session import shared_dir, table
 from tessera.streaming import ingest
 
@@ -120,8 +120,7 @@ def stream_window_metrics(s: SparkSession, d: str) -> DataFrame:
     schema = s.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
     stream = s.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
-    key = uuid.uuid4().hex
-    return ingest.run_to_table(ingest.window_metrics(stream), f"w{key}", f"{shared_dir(s)}/stream-{key}")
+    return ingest.run_to_table(ingest.window_metrics(stream), f"{shared_dir(s)}/stream-{uuid.uuid4().hex}")
 
 
 @query("SELECT user_id, count(*) AS sessions FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events) WHERE p IS NULL OR ts - p >= INTERVAL 30 MINUTE GROUP BY 1")
@@ -159,10 +158,9 @@ SELECT a, b, sim FROM a WHERE sim >= 0.4"""
 )
 def similarity_links(s: SparkSession, d: str) -> DataFrame:
     """Links of a stated set of vectors to all vectors at a cosine of 0.4 or more."""
-    e = table(s, d, "embeddings").select("vec_id", "embedding")
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("q"))
-    pairs = e.crossJoin(F.broadcast(q)).where("vec_id <> a")
-    return pairs.select("a", F.col("vec_id").alias("b"), F.round(vectors.cosine(F.col("q"), F.col("embedding")), 6).alias("sim")).where("sim >= 0.4")
+    e = table(s, d, "embeddings")
+    links = retrieval.vector_links(e, "vec_id", "embedding", e.where("vec_id % 20 = 0"), "vec_id", "embedding", 0.4)
+    return links.where("id <> query_id").select(F.col("query_id").alias("a"), F.col("id").alias("b"), F.col("score").alias("sim"))
 
 
 @query("SELECT chunk_id, version, ingested_at, coalesce(nullif(parent_id, ''), chunk_id) AS family, count(*) OVER (PARTITION BY coalesce(nullif(parent_id, ''), chunk_id)) AS n_family FROM narrative_chunk WHERE active = 1")

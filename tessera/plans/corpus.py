@@ -173,8 +173,7 @@ def multi_library_rrf(s: SparkSession, d: str) -> DataFrame:
 SELECT query_id, library, overlap::INT AS overlap FROM o QUALIFY overlap > 0 OR max(overlap) OVER (PARTITION BY query_id) = 0"""
 )
 def routing_by_keyword_overlap(s: SparkSession, d: str) -> DataFrame:
-    lib = table(s, d, "documents").where("topic is not null").groupBy("topic").agg(F.array_join(F.collect_set("title"), " ").alias("words"))
-    return retrieval.library_scores(lib, "topic", "words", _questions(s, d), "query_id", "question")
+    return retrieval.library_scores(table(s, d, "documents").where("topic is not null"), "topic", "title", _questions(s, d), "query_id", "question")
 
 
 @query(
@@ -337,17 +336,18 @@ def rerank_slots_restricted(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    _TOP
-    + """, g AS (SELECT DISTINCT query_id, c.doc_id AS id FROM q JOIN retrieval_ab_corpus c ON true WHERE contains(lower(q.question), lower(split_part(c.text, ' ', 2))) AND length(split_part(c.text, ' ', 2)) > 4)
-SELECT g.query_id, round(count(*) FILTER (rank <= 5)::DOUBLE / count(*), 6) AS recall, round(coalesce(1.0::DOUBLE / min(rank), 0), 6) AS mrr FROM g LEFT JOIN t ON t.query_id = g.query_id AND t.id = g.id GROUP BY g.query_id"""
+    f"""WITH {_bm25_sql("SELECT chunk_id AS id, max(text) AS text FROM narrative_chunk WHERE active = 1 AND chunk_id IS NOT NULL AND text IS NOT NULL GROUP BY chunk_id")},
+ r AS (SELECT query_id, split_part(id, '#', 1) AS doc, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM b QUALIFY rank <= 10),
+ g AS (SELECT query_id, expected_doc AS doc FROM q WHERE expected_doc IS NOT NULL)
+SELECT g.query_id, round(count(DISTINCT g.doc) FILTER (rank <= 5)::DOUBLE / count(DISTINCT g.doc), 6) AS recall, round(coalesce(1.0::DOUBLE / min(rank), 0), 6) AS mrr FROM g LEFT JOIN r ON r.query_id = g.query_id AND r.doc = g.doc GROUP BY g.query_id"""
 )
 def recall_and_mrr(s: SparkSession, d: str) -> DataFrame:
-    """Recall at 5 and reciprocal rank against texts that share a long word with the question."""
-    word = F.split_part(F.col("text"), F.lit(" "), F.lit(2))
-    c = _corpus(s, d).select(F.col("doc_id").alias("id"), F.lower(word).alias("w")).where(F.char_length("w") > 4)
-    q = _questions(s, d).select("query_id", F.lower("question").alias("ql"))
-    gold = c.crossJoin(F.broadcast(q)).where(F.contains("ql", "w")).select("query_id", "id")
-    return evaluation.recall_mrr(_top(s, d), gold)
+    """Recall at 5 and reciprocal rank of the expected file of every question among the ten best chunks."""
+    docs = table(s, d, "narrative_chunk").where("active = 1 and chunk_id is not null and text is not null").groupBy("chunk_id").agg(F.max("text").alias("text"))
+    hits = retrieval.ranked(retrieval.bm25(docs, "chunk_id", "text", retrieval.query_terms(_questions(s, d), "query_id", "question")), 10)
+    best = hits.groupBy("query_id", F.split_part("id", F.lit("#"), F.lit(1)).alias("id")).agg(F.min("rank").alias("rank"))
+    gold = _questions(s, d).where("expected_doc is not null").select("query_id", F.col("expected_doc").alias("id")).distinct()
+    return evaluation.recall_mrr(best, gold)
 
 
 @query(

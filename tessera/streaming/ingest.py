@@ -19,42 +19,90 @@ def window_metrics(events: DataFrame, size: str = "1 day", late: str = "2 days")
     )
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there and gives its result table."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_table(stream: DataFrame, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """Runs a stream over what is there and gives its result as a written table.
+
+    Every batch has its own folder, so a batch that is run again replaces itself: complete
+    results are the last folder, appended ones all of them.
+    """
+    spark = stream.sparkSession
+    out = f"{checkpoint}-out"
+    last: list[int] = []
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        last.append(number)
+
+    q = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    if not last:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*([f"{out}/batch={last[-1]}"] if mode == "complete" else [f"{out}/batch={n}" for n in last]))
+
+
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the finished entries of a folder of the target's file system."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    done = [x.getPath().getName() for x in fs.listStatus(path)]
+    return [n for n in done if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))]
 
 
-def upsert_batches(stream: DataFrame, target: str, keys: list[str], order: str, checkpoint: str) -> None:
+def manifest(spark: SparkSession, target: str, below: int | None = None) -> dict[int, int]:
+    """bucket -> version of the newest finished manifest (of a batch before ``below``); at most as many entries as buckets."""
+    versions = [int(n) for n in _names(spark, f"{target}/manifest")]
+    versions = [v for v in versions if below is None or v < below]
+    return {r.bucket: r.version for r in spark.read.json(f"{target}/manifest/{max(versions)}", "bucket int, version int").collect()} if versions else {}
+
+
+def read_upserted(spark: SparkSession, target: str, schema) -> DataFrame:
+    """The table as the newest finished manifest has it."""
+    paths = [f"{target}/data/v{v}/bucket={b}" for b, v in sorted(manifest(spark, target).items())]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def upsert_batches(stream: DataFrame, target: str, keys: list[str], order: str, checkpoint: str, buckets: int = 64) -> None:
     """Each batch replaces rows of the target by key, the last by ``order``; a repeated batch changes nothing.
 
-    The table is written as a new version folder and a pointer file names the newest, so a
-    lost batch leaves the version before.
+    Rows lie in buckets by a hash of their key. A batch reads and writes only the buckets it
+    touches, as a new version of each, and then a manifest that names the version of every
+    bucket; readers follow the newest finished manifest, so a lost batch leaves the table as it was.
     """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    schema = stream.schema
 
     def put(batch: DataFrame, number: int) -> None:
         spark: SparkSession = batch.sparkSession
         rest = [c for c in batch.columns if c not in keys]
-        new = batch
-        if number:
-            new = spark.read.parquet(f"{target}/v{number - 1}").unionByName(batch)
-        out = new.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("s")).select(*keys, "s.*")
-        out.write.mode("overwrite").parquet(f"{target}/v{number}")
+        have = manifest(spark, target, number)
+        touched = [r.bucket for r in batch.select(bucket.alias("bucket")).distinct().collect()]
+        paths = [f"{target}/data/v{have[b]}/bucket={b}" for b in touched if b in have]
+        rows = batch.unionByName(spark.read.schema(schema).parquet(*paths)) if paths else batch
+        out = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("s")).select(*keys, "s.*")
+        out.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/data/v{number}")
+        new = have | dict.fromkeys(touched, number)
+        spark.createDataFrame(sorted(new.items()), "bucket int, version int").coalesce(1).write.mode("overwrite").json(f"{target}/manifest/{number}")
 
     q = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
 def carry_state(turns: DataFrame, memory: int = 8) -> DataFrame:
-    """The streaming twin of carry-forward: state is the newest ``memory`` remembered (entity, period) pairs of a conversation."""
+    """The streaming twin of carry-forward: state is the newest ``memory`` remembered (entity, period) pairs of a conversation.
+
+    The turns of a conversation that arrive in one trigger are put in order together; later triggers go on from there.
+    """
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         seen = list(state.get[0]) if state.exists else []
         seen = [tuple(x.split("\x1f")) for x in seen]
-        for pdf in batches:
+        parts = list(batches)
+        if parts:
             rows = []
-            for r in pdf.sort_values("turn").itertuples():
+            for r in pd.concat(parts).sort_values("turn").itertuples():
                 e = r.entity or next((s[0] for s in reversed(seen) if s[0]), None)
                 p = r.period or next((s[1] for s in reversed(seen) if s[1]), None)
                 rows.append((key[0], r.turn, e, p))

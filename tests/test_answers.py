@@ -87,11 +87,20 @@ def test_stream_twins(spark, tmp_path):
     turns = spark.createDataFrame(rows, "conv_id long, turn long, entity string, period string, remembered boolean")
     turns.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(turns.schema).parquet(str(tmp_path / "in"))
-    got = ingest.run_to_table(ingest.carry_state(stream), "carried", str(tmp_path / "cp"), "append")
+    got = ingest.run_to_table(ingest.carry_state(stream), str(tmp_path / "cp"), "append")
     want = {(r.conv_id, r.turn): (r.entity, r.period) for r in qa.carry_forward(turns).collect()}
     assert {(r.conv_id, r.turn): (r.entity, r.period) for r in got.collect()} == want
-    ingest.upsert_batches(spark.readStream.schema(turns.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), ["conv_id"], "turn", str(tmp_path / "cp2"))
-    assert {r.conv_id: r.turn for r in spark.read.parquet(str(tmp_path / "out" / "v0")).collect()} == {0: 38, 1: 39}
+    out = str(tmp_path / "out")
+    again = lambda cp: ingest.upsert_batches(spark.readStream.schema(turns.schema).parquet(str(tmp_path / "in")), out, ["conv_id"], "turn", str(tmp_path / cp), 4)
+    read = lambda: {r.conv_id: r.turn for r in ingest.read_upserted(spark, out, turns.schema).collect()}
+    assert read() == {}
+    again("cp2")
+    assert read() == {0: 38, 1: 39}
+    spark.createDataFrame([(1, 50, None, None, True), (7, 1, None, None, True), (0, 3, None, None, True)], turns.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    again("cp2")
+    assert read() == {0: 38, 1: 50, 7: 1}
+    again("cp3")  # all files once more, as batch 0
+    assert read() == {0: 38, 1: 50, 7: 1}
 
 
 def test_entry_lists():
