@@ -158,15 +158,23 @@ def overlapped(docs: DataFrame, id_col: str, text_col: str, limit: int = 480, ov
     return rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, seq int, para_start int, para_end int, text string")
 
 
-def semantic_cuts(vectors: DataFrame, share: float = 0.9) -> DataFrame:
-    """(id, para, segment): a new segment starts where the distance to the paragraph before is in the top tenth of its document and above 0."""
-    from tessera.functions.vectors import cosine
-
-    w = Window.partitionBy("id").orderBy("para")
-    d = vectors.withColumn("d", F.round(1 - cosine(F.col("v"), F.lag("v").over(w)), 6))
-    cut = d.withColumn("limit", F.percentile("d", F.lit(share)).over(Window.partitionBy("id")))
-    hit = F.coalesce((F.col("d") >= F.col("limit")) & (F.col("d") > 0), F.lit(False)).cast("int")
-    return cut.withColumn("segment", F.sum(hit).over(w.rowsBetween(Window.unboundedPreceding, 0))).select("id", "para", "segment")
+def semantic_cuts(docs: DataFrame, id_col: str, text_col: str, share: float = 0.9) -> DataFrame:
+    """(id, para, segment): a new segment starts where the distance to the paragraph before is in the top tenth of its document and above 0.
+
+    The distance is one minus the cosine of hash-bag vectors, taken by a join of neighbouring
+    paragraphs on their buckets.
+    """
+    from tessera.operators.embedding import weights
+
+    p = paragraphs(docs, id_col, text_col)
+    e = weights(p.withColumn("key", F.struct("id", "para")), "key", "text").select("id.id", "id.para", "bucket", "weight")
+    before = e.select("id", (F.col("para") + 1).alias("para"), "bucket", F.col("weight").alias("w2"))
+    near = e.join(before, ["id", "para", "bucket"]).groupBy("id", "para").agg(F.sum(F.col("weight") * F.col("w2")).alias("cos"))
+    d = p.join(near, ["id", "para"], "left").withColumn("d", F.when(F.col("para") > 1, F.round(1 - F.coalesce("cos", F.lit(0.0)), 6)))
+    limit = p.select("id").distinct().join(d.groupBy("id").agg(F.percentile("d", F.lit(share)).alias("limit")), "id")
+    w = Window.partitionBy("id").orderBy("para").rowsBetween(Window.unboundedPreceding, 0)
+    hit = F.coalesce((F.col("d") >= F.round("limit", 6)) & (F.col("d") > 0), F.lit(False)).cast("int")
+    return d.join(limit, "id").withColumn("segment", F.sum(hit).over(w)).select("id", "para", "segment")
 
 
 def newest(chunks: DataFrame, doc_col: str = "doc_id", version_col: str = "version") -> DataFrame:

@@ -10,7 +10,7 @@ import functools
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.facts import lookup
@@ -151,6 +151,11 @@ def carry_forward(turns: DataFrame, key: str = "conv_id", memory: int = 8) -> Da
     An exact fold: long conversations are read in order, the state is ``memory`` pairs.
     """
     kinds = dict(turns.dtypes)
+    if "route" not in turns.columns and "external" not in turns.columns:
+        # every turn is filled, so a slot once remembered stays: the last remembered value before a turn, as a native window
+        w = Window.partitionBy(key).orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+        kept = lambda c: F.coalesce(c, F.last(F.when(F.col("remembered"), F.col(c)), True).over(w)).alias(c)
+        return turns.select(key, "turn", kept("entity"), kept("period"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("turn", ignore_index=True)

@@ -64,7 +64,11 @@ def answer_questions(s: SparkSession, d: str) -> DataFrame:
     return qa.answer(_intents(s, d), facts.last_wins(f, ["ingested_at", "fact_id"]), "ORL_GROUP")
 
 
-@query()
+@query(
+    """WITH t AS (SELECT user_id AS conv_id, event_id AS turn, CASE WHEN event_id % 3 = 0 THEN event_type END AS entity, CASE WHEN event_id % 4 = 0 THEN year(ts)::VARCHAR END AS period, event_id % 5 <> 0 AS remembered FROM events)
+SELECT conv_id, turn, coalesce(entity, last_value(CASE WHEN remembered THEN entity END IGNORE NULLS) OVER w) AS entity, coalesce(period, last_value(CASE WHEN remembered THEN period END IGNORE NULLS) OVER w) AS period
+FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+)
 def conversation_carry_forward(s: SparkSession, d: str) -> DataFrame:
     """Slots carried over the turns of a user; value and type of an event stand for slots, a third of the turns states neither."""
     e = table(s, d, "events")

@@ -250,12 +250,21 @@ def parent_child_windows(s: SparkSession, d: str) -> DataFrame:
     return out.select("id", "para", "section", "text", F.md5("window_text").alias("window_md5"), "parent_locator")
 
 
-@query()
+_SENTENCES = (
+    f"{_PARA.format(t='retrieval_ab_corpus')}, s0 AS (SELECT id, para, unnest(l) AS text, generate_subscripts(l, 1) AS i FROM (SELECT id, para, regexp_extract_all(text, '[^.!?。！？;；\\n]+[.!?。！？;；]*') AS l FROM p)), "
+    "s AS (SELECT id, para::INT AS para, (row_number() OVER (PARTITION BY id ORDER BY para, i) - 1)::INT AS seq, trim(text, ' ') AS text FROM s0 WHERE regexp_matches(text, '[^[:punct:]\\s。！？；，、]'))"
+)
+
+
+@query(f"WITH {_SENTENCES} SELECT id, para, seq, text FROM s")
 def chunk_sentences(s: SparkSession, d: str) -> DataFrame:
     return chunking.sentences(_corpus(s, d), "doc_id", "text")
 
 
-@query()
+@query(
+    f"""WITH {_SENTENCES}, w AS (SELECT *, lag(text) OVER o AS t0, lag(para) OVER o AS p0, lead(text) OVER o AS t2, lead(para) OVER o AS p2 FROM s WINDOW o AS (PARTITION BY id ORDER BY seq))
+SELECT id, seq, para, text, coalesce(t0 || CASE WHEN p0 = para THEN ' ' ELSE chr(10) END, '') || text || coalesce(CASE WHEN p2 = para THEN ' ' ELSE chr(10) END || t2, '') AS window_text FROM w"""
+)
 def sentence_window(s: SparkSession, d: str) -> DataFrame:
     return chunking.sentence_window(_corpus(s, d), "doc_id", "text", 1)
 
@@ -377,7 +386,12 @@ def answer_accuracy(s: SparkSession, d: str) -> DataFrame:
     return c.join(nxt, "n").select("doc_id", evaluation.accuracy(F.col("text"), F.col("source")).alias("accuracy"))
 
 
-@query()
+@query(
+    f"""WITH c AS (SELECT doc_id, text, regexp_replace(doc_id, '[^0-9]', '', 'g')::BIGINT AS n FROM retrieval_ab_corpus), j AS (SELECT a.doc_id, a.text, {sql_set('b.text')} AS known FROM c a JOIN c b ON b.n = a.n + 1),
+ l AS (SELECT doc_id, known, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[\\n\\r]+'), lambda x: trim(x, ' ')), lambda x: x <> '' AND NOT regexp_matches(x, '^({"|".join(text.FRAMING)})')) AS l FROM j),
+ k AS (SELECT doc_id, known, list_filter(list_transform(flatten(list_transform(l, lambda x: regexp_split_to_array(regexp_replace(regexp_replace(x, '（(?:资料)?来源[：:][^）]*）', '', 'g'), '\\[[0-9]+\\]', ' ', 'g'), '[。！？!?；;]+'))), lambda x: trim(x, ' ')), lambda x: regexp_matches(x, '[A-Za-z0-9]|{H}')) AS cl FROM l)
+SELECT doc_id, CASE WHEN len(cl) = 0 THEN 1.0 ELSE round(len(list_filter(cl, lambda x: len(list_filter(regexp_extract_all(lower(x), '[a-z0-9]+|{H}'), lambda t: list_contains(known, t))) >= 0.6 * len(regexp_extract_all(lower(x), '[a-z0-9]+|{H}'))))::DOUBLE / len(cl), 6) END AS faithfulness FROM k"""
+)
 def faithfulness_score(s: SparkSession, d: str) -> DataFrame:
     num = F.regexp_replace("doc_id", "[^0-9]", "").cast("long")
     c = _corpus(s, d).select("doc_id", "text", num.alias("n"))
@@ -544,10 +558,12 @@ def template_confidence(s: SparkSession, d: str) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("confidence"), "id"))).where("rank <= 3")
 
 
-@query()
+@query(
+    f"""WITH {_PARA.format(t='documents')}, c AS (SELECT id, para, ('0x' || substr(md5(term), 1, 8))::BIGINT % 256 AS bucket, count(*) AS tf FROM (SELECT id, para, unnest({sql_tokens('text')}) AS term FROM p) GROUP BY ALL),
+ e AS (SELECT id, para, bucket, tf / sqrt(sum(tf * tf) OVER (PARTITION BY id, para)) AS w FROM c), n AS (SELECT a.id, a.para, sum(a.w * b.w) AS cos FROM e a JOIN e b ON a.id = b.id AND a.para = b.para + 1 AND a.bucket = b.bucket GROUP BY ALL),
+ d AS (SELECT p.id, p.para, CASE WHEN p.para > 1 THEN round(1 - coalesce(cos, 0), 6) END AS d FROM p LEFT JOIN n ON n.id = p.id AND n.para = p.para), l AS (SELECT id, quantile_cont(d, 0.9) AS lim FROM d GROUP BY id)
+SELECT d.id, d.para::INT AS para, sum(coalesce(d >= round(lim, 6) AND d > 0, FALSE)::INT) OVER (PARTITION BY d.id ORDER BY d.para)::BIGINT AS segment FROM d JOIN l ON l.id = d.id"""
+)
 def semantic_segments(s: SparkSession, d: str) -> DataFrame:
-    """Segments of documents cut where neighbouring paragraphs share little; a paragraph's vector counts its letters a to z."""
-    p = chunking.paragraphs(table(s, d, "documents"), "doc_id", "text")
-    low = F.lower("text")
-    v = F.array(*[(F.char_length(low) - F.char_length(F.replace(low, F.lit(x), F.lit("")))).cast("double") for x in "abcdefghijklmnopqrstuvwxyz"])
-    return chunking.semantic_cuts(p.select("id", "para", v.alias("v")))
+    """Segments of documents cut where neighbouring paragraphs share little."""
+    return chunking.semantic_cuts(table(s, d, "documents"), "doc_id", "text")
