@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import periods, text
-from tessera.operators import embedding, evaluation, facts, filters, gates, graph, grids, ledger, retrieval, vectors
+from tessera.operators import composing, embedding, evaluation, facts, filters, gates, graph, grids, ledger, retrieval, vectors
 from tessera.plans.corpus import _CORPUS, _bm25_sql, _corpus, _questions, sql_tokens
 from tessera.plans.stores import _NEWEST, K, _newest
 from tessera.session import table
@@ -441,3 +441,54 @@ def derivation_trace(s: SparkSession, d: str) -> DataFrame:
     starts = edges.where("src like '%#c1'").select(F.col("src").alias("id")).distinct()
     return graph.traverse(ids, edges, starts, 3, types=["derives"]).where("id <> start")
 
+
+
+# --- answers
+
+_TEXTS = "SELECT chunk_id AS id, max(text) AS text FROM narrative_chunk WHERE active = 1 AND chunk_id IS NOT NULL AND text IS NOT NULL GROUP BY chunk_id"
+
+
+@query(
+    f"""WITH {_bm25_sql(_TEXTS)}, h AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM b QUALIFY rank <= 5),
+ m AS (SELECT chunk_id AS id, max(doc_id) AS doc_id, max(text) AS text, max(sensitivity) AS sens FROM narrative_chunk WHERE active = 1 GROUP BY chunk_id),
+ v AS (SELECT query_id, doc_id, text, row_number() OVER (PARTITION BY query_id ORDER BY rank, doc_id) AS rank FROM h JOIN m USING (id) WHERE upper(coalesce(sens, '')) <> 'RESTRICTED'),
+ s AS (SELECT query_id, doc_id, min(rank) AS r FROM v GROUP BY ALL)
+SELECT q.query_id, coalesce(a.answer, 'nothing found') AS answer, coalesce(c.sources, '') AS sources, coalesce(n_hits, 0) AS n_hits FROM q LEFT JOIN (SELECT query_id, string_agg('[' || rank || '] ' || text, chr(10) ORDER BY rank) AS answer, count(*) AS n_hits FROM v GROUP BY 1) a USING (query_id)
+LEFT JOIN (SELECT query_id, string_agg(doc_id, '; ' ORDER BY r) AS sources FROM s GROUP BY 1) c USING (query_id)"""
+)
+def narrative_answers(s: SparkSession, d: str) -> DataFrame:
+    """Questions answered by passages with their sources; restricted passages stay out."""
+    c = table(s, d, "narrative_chunk").where("active = 1 and chunk_id is not null").groupBy("chunk_id").agg(F.max("doc_id").alias("doc_id"), F.max("text").alias("text"), F.max("sensitivity").alias("sensitivity"))
+    q = _questions(s, d)
+    hits = retrieval.ranked(retrieval.bm25(c.where("text is not null"), "chunk_id", "text", retrieval.query_terms(q, "query_id", "question")), 5)
+    return composing.narrative(q, hits.join(c.withColumnRenamed("chunk_id", "id"), "id"))
+
+
+@query(
+    f"""WITH l AS ({_NEWEST}), e AS (SELECT DISTINCT entity FROM fact_metric),
+ t AS (SELECT entity AS qid, m.i * 2 + p.j + 1 AS ordinal, metric_code, entity, 'FY' AS period_type, period, 'TOTAL' AS channel FROM e, (VALUES (0, 'SOLVENCY'), (1, 'STAFF')) m(i, metric_code), (VALUES (0, '2020'), (1, '2021')) p(j, period)),
+ g AS (SELECT t.*, l.value, l.unit FROM t LEFT JOIN l USING (metric_code, entity, period_type, period, channel)),
+ x AS (SELECT *, CASE WHEN lag(unit) OVER w IS NOT DISTINCT FROM unit THEN round(value - lag(value) OVER w, 4) END AS delta FROM g WINDOW w AS (PARTITION BY qid, metric_code, entity ORDER BY ordinal))
+SELECT qid, ordinal::INT AS ordinal, value IS NOT NULL AS found, CASE WHEN value IS NULL THEN entity || ' ' || metric_code || ' ' || period || ': not found' END AS missing, delta FROM x"""
+)
+def subtask_answers(s: SparkSession, d: str) -> DataFrame:
+    """Two figures of every entity in two years, with their changes."""
+    e = table(s, d, "fact_metric").select("entity").distinct()
+    t = e.select("entity", F.posexplode(F.array(F.lit("SOLVENCY"), F.lit("STAFF"))).alias("i", "metric_code")).select("*", F.posexplode(F.array(F.lit("2020"), F.lit("2021"))).alias("j", "period"))
+    t = t.select(F.col("entity").alias("qid"), (F.col("i") * 2 + F.col("j") + 1).alias("ordinal"), "metric_code", "entity", F.lit("FY").alias("period_type"), "period", F.lit("TOTAL").alias("channel"))
+    out = composing.several(t, _newest(s, d))
+    found = ~F.col("line").endswith(": not found")
+    return out.select("qid", "ordinal", found.alias("found"), F.when(~found, F.col("line")).alias("missing"), "delta")
+
+
+@query(
+    f"""WITH {_bm25_sql(_CORPUS)}, r AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM b QUALIFY rank <= 6)
+SELECT r.query_id, r.id, rank, row_number() OVER (PARTITION BY r.query_id ORDER BY CASE WHEN (rank - 1) % 2 = 0 THEN rank - 1 ELSE 8 - (rank - 1) END) - 1 AS place FROM r WHERE rank <= 4"""
+)
+def postprocessor_chain(s: SparkSession, d: str) -> DataFrame:
+    """The four best of six, best at both ends, as a chain of steps."""
+    from tessera.operators import post
+
+    top = retrieval.ranked(retrieval.bm25(_corpus(s, d), "doc_id", "text", retrieval.query_terms(_questions(s, d), "query_id", "question")), 6)
+    steps = composing.chain(lambda x: x.where("rank <= 4"), post.lost_in_the_middle)
+    return steps(top).select("query_id", "id", "rank", "place")

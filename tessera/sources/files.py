@@ -50,3 +50,15 @@ def write_graph(vertices: DataFrame, edges: DataFrame, folder: str) -> None:
     v = open_vertices(vertices)
     v.write.mode("overwrite").parquet(f"{folder}/entities.parquet")
     induced(edges, v).write.mode("overwrite").parquet(f"{folder}/relationships.parquet")
+
+
+def in_memory(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    """Documents given as (source_doc_id, locator, content) rows, with the columns of :func:`documents`."""
+    df = spark.createDataFrame([(a, b, bytearray(c.encode() if isinstance(c, str) else c)) for a, b, c in rows], "source_doc_id string, locator string, content binary")
+    return df.withColumn("file_hash", F.sha2("content", 256))
+
+
+def unseen(docs: DataFrame, registry: DataFrame) -> DataFrame:
+    """Documents whose (source_doc_id, file_hash) the registry does not hold; of equal ones the first by locator counts."""
+    one = docs.groupBy("source_doc_id", "file_hash").agg(F.min_by(F.struct("locator", "content"), "locator").alias("s")).select("source_doc_id", "s.*", "file_hash")
+    return one.join(registry.select("source_doc_id", "file_hash"), ["source_doc_id", "file_hash"], "left_anti")

@@ -55,3 +55,37 @@ def test_cooccurrence_of_names(spark, tmp_path):
     rows = [("d1", "hot", "A"), ("d1", "x", "A"), ("d1", "x", "A"), ("d1", "y", "A"), ("d2", "hot", "A"), ("d2", "x", "B"), ("d3", "hot", "A"), (None, "x", "A"), (None, "y", "A"), ("d3", None, "A")]
     d = written(spark, tmp_path, "graph_entity", rows, "doc_id string, name string, entity_type string")
     assert {tuple(r) for r in stores.cooccurrence_names(spark, d).collect()} == {("hot", "x", 2), ("hot", "y", 1), ("x", "y", 1)}
+
+
+def test_index_ingest_and_retrieve(spark):
+    from tessera.operators import index
+
+    chunks, vectors = spark.createDataFrame([], index.CHUNK), spark.createDataFrame([], "id string, doc_id string, v array<double>")
+    docs = spark.createDataFrame([("a", "Cash flow rose.", "INTERNAL"), ("b", "Secret cash plan.", "restricted"), ("c", None, None), ("a", "Cash flow rose.", "INTERNAL")], "doc_id string, text string, sensitivity string")
+    chunks, vectors = index.ingest(docs, chunks, vectors)
+    assert {(r.chunk_id, r.version, r.active) for r in chunks.collect()} == {("a#c0", 1, 1), ("b#c0", 1, 1)}
+    assert {r.id for r in vectors.collect()} == {"a#c0"}
+    chunks, vectors = index.ingest(spark.createDataFrame([("a", "Weather was fine.", None)], docs.schema), chunks, vectors)
+    assert {(r.chunk_id, r.version, r.active) for r in chunks.collect()} == {("a#c0", 1, 0), ("a#c0", 2, 1), ("b#c0", 1, 1)}
+    q = spark.createDataFrame([(1, "weather"), (2, "cash")], "query_id int, question string")
+    got = {(r.query_id, r.id, r.filtered) for r in index.retrieve(chunks, q, [("doc_id", "eq", "zzz")]).collect()}
+    assert got == {(1, "a#c0", False)}  # nothing among the filtered; the restricted chunk never leaves
+    assert index.retrieve(chunks, q, None, mode="economy").count() == 1
+
+
+def test_in_memory_documents(spark):
+    from tessera.sources import files
+
+    docs = files.in_memory(spark, [("a", "x", "one"), ("a", "w", "one"), ("b", "y", b"two")])
+    seen = docs.where("source_doc_id = 'b'")
+    assert [(r.source_doc_id, r.locator) for r in files.unseen(docs, seen).collect()] == [("a", "w")]
+
+
+def test_composing(spark):
+    from tessera.operators import composing
+
+    q = spark.createDataFrame([(1,), (2,), (1,)], "query_id int")
+    hits = spark.createDataFrame([(1, "d1", "t1", 1, "x"), (1, "d2", "t2", 2, "Restricted"), (1, "d1", "t3", 3, None), (1, "d0", None, 4, "x")], "query_id int, doc_id string, text string, rank int, sensitivity string")
+    got = {r.query_id: (r.answer, r.sources, r.n_hits) for r in composing.narrative(q, hits).collect()}
+    assert got == {1: ("[1] t1\n[2] t3\n[3] ", "d1; d0", 3), 2: ("nothing found", "", 0)}
+    assert composing.chain()(q) is q
