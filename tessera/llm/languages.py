@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tessera.llm.charlm import CharModels, keys
 from tessera.llm.normalize import alike
 from tessera.llm.plain_sentences import KNOWN, OTHER
-from tessera.llm.sentences import Evidence, plain, split_units
+from tessera.llm.sentences import plain
 from tessera.session import durable, width
 
 #: Labelled rows per language the models are fitted to.
@@ -89,17 +89,19 @@ def with_codes(rows: DataFrame, label: str = "label", out: str = "code") -> Data
     return rows.withColumn("_label", F.coalesce(F.col(label), F.lit(""))).join(kinds, "_label", "left").drop("_label")
 
 
-_USUAL = Evidence()  # only the usual abbreviations: a cut more or less does not change a language
+# ends of units for language only: a cut more or less inside one language changes nothing, so abbreviations are not looked at
+_CUT = regex.compile(r"(?:[.!?…]+[”»\"')）」\]]*(?:\s+(?!\p{Ll}|\d+(?!\d|年))|(?=\p{Lu}\p{Ll}))|[。！？।॥]+[”»\"')）」』\]]*|\n|(?<=\p{Thai}\p{M}*ๆ?) +(?=\p{L}|[“„«(「『（]|\d+年))")
 
 
 def _segments(text: str) -> list[tuple[int, int]]:
     """Places of the units of a text; lines broken inside a sentence are joined for the cut."""
-    joined = _JOIN.sub(lambda m: " " * len(m.group()), text)
-    out = []
-    for a, b in split_units(joined, _USUAL):
-        cut = [a, *(m.start() for m in _GLUED.finditer(text, a, b)), b]
-        out += [(x, y) for x, y in zip(cut, cut[1:]) if text[x:y].strip()]
-    return out
+    joined = _JOIN.sub(lambda m: " " * len(m.group()), text) if "\n" in text else text
+    out, at = [], 0
+    for m in _CUT.finditer(joined):
+        out.append((at, m.end()))
+        at = m.end()
+    out.append((at, len(text)))
+    return [(a, b) for a, b in out if not text[a:b].isspace() and a < b]
 
 
 _FOLD = str.maketrans({chr(a): chr(b) for a, b in alike().items()})
@@ -112,12 +114,14 @@ _NOT_ASCII_LETTER = regex.compile(r"[^a-z']+")
 
 
 def _clean(s: str) -> str:
-    """Lower-case letters of a unit; look-alike letters inside words of Latin letters are made Latin."""
+    """Lower-case letters of a unit, without codes and addresses; look-alike letters inside words of Latin letters are made Latin."""
+    if "-" in s or "http" in s or max(map(len, s.split()), default=0) >= 40:
+        s = _CODE.sub(" ", s)
     if s.isascii():
-        return _NOT_ASCII_LETTER.sub(" ", _CODE.sub(" ", s).lower()).strip()
+        return _NOT_ASCII_LETTER.sub(" ", s.lower()).strip()
     s = unicodedata.normalize("NFC", s)
     s = plain(_MIXED.sub(lambda m: m.group().translate(_FOLD), s) if _FOREIGN.search(s) else s)[0]
-    return _LETTERS_ONLY.sub(" ", _CODE.sub(" ", s).lower()).strip()
+    return _LETTERS_ONLY.sub(" ", s.lower()).strip()
 
 
 def _codes(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
