@@ -106,6 +106,7 @@ def changes(word: str, right: str) -> int | None:
 
 
 _DIGIT = regex.compile(r"\d")
+_SIGN = regex.compile(r"[\d@|$€]")
 _TAIL = regex.compile(WORD.pattern + "$", regex.V1)
 _HEAD = WORD
 
@@ -250,15 +251,17 @@ def _breaks(lines: list[str]) -> list[tuple[int, str, str, str]]:
     return out
 
 
-def strings(lines: list[str]) -> set[str]:
-    """Everything of a text that has to be looked up: its words, and joins across line ends."""
-    out = set()
+def strings(lines: list[str]) -> dict[str, bool]:
+    """Everything of a text that has to be looked up, and whether its count is needed even if it is known: joins across line ends, and pieces of numbers."""
+    out: dict[str, bool] = {}
     for line in lines:
-        out.update(fold(w) if not _rx(r"[\d@|$€]").search(w) else w.lower() for w in WORD.findall(line))
+        for w in WORD.findall(line):
+            odd = bool(_SIGN.search(w))
+            out[w.lower() if odd else fold(w)] = odd or len(w) == 1
     for _, a, mark, b in _breaks(lines):
-        out.add((a + b).lower())
+        out[(a + b).lower()] = True
         if mark:
-            out.add(f"{a}-{b}".lower())
+            out[f"{a}-{b}".lower()] = True
     return out
 
 
@@ -548,14 +551,14 @@ def repair(scans: DataFrame, clean: DataFrame) -> DataFrame:
             for row, c, d, ti, loc, t, rep in zip(pdf.row, pdf.chunk_id, pdf.doc_id, pdf.title, pdf.source_locator, pdf.text, pdf.repeated):
                 lines, head, number = lines_of(t, ti, d, page_of(loc), frozenset(rep if rep is not None else ()))
                 needs = strings(lines)
-                out.append((row, c, lines, head, number, sorted(needs)))
-            yield pd.DataFrame(out, columns=["row", "chunk_id", "lines", "header", "pageno", "needs"])
+                out.append((row, c, lines, head, number, list(needs), list(needs.values())))
+            yield pd.DataFrame(out, columns=["row", "chunk_id", "lines", "header", "pageno", "needs", "keep"])
 
-    schema = "row long, chunk_id string, lines array<string>, header boolean, pageno boolean, needs array<string>"
+    schema = "row long, chunk_id string, lines array<string>, header boolean, pageno boolean, needs array<string>, keep array<boolean>"
     ready = durable(base.repartition(n, "row").mapInPandas(prepare, schema), "scan")
     lex = durable(lexicon(clean), "lexicon")
-    asked = ready.select("row", F.explode("needs").alias("word"))
-    known = asked.select("word").distinct().join(lex, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
+    asked = ready.select(F.explode(F.arrays_zip("needs", "keep")).alias("x")).groupBy(F.col("x.needs").alias("word")).agg(F.max("x.keep").alias("asked"))
+    known = asked.join(lex, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"), "asked")
     known = durable(known, "asked")
 
     def apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -579,10 +582,12 @@ def repair(scans: DataFrame, clean: DataFrame) -> DataFrame:
     best = found.groupBy("word").agg(
         F.max_by(F.when(~two, F.struct("reading", "cost")), F.when(~two, order)).alias("b"), F.max_by(F.when(two, F.instr("reading", " ") - 1), F.when(two, order)).alias("apart")
     )
-    facts = known.join(best, "word", "left").select("word", "n", F.col("b.reading").alias("best"), F.coalesce("b.cost", F.lit(0)).alias("cost"), F.coalesce("apart", F.lit(0)).alias("apart"))
-    joins = ready.select("row", F.explode("needs").alias("word")).join(facts, "word")
+    facts = known.join(best, "word", "left").select("word", "n", "asked", F.col("b.reading").alias("best"), F.coalesce("b.cost", F.lit(0)).alias("cost"), F.coalesce("apart", F.lit(0)).alias("apart"))
+    # a known word is what a text takes for granted, so only the others and those whose count decides go back to it
+    each = ready.select("row", F.explode(F.arrays_zip("needs", "keep")).alias("x")).select("row", F.col("x.needs").alias("word"), F.col("x.keep").alias("keep"))
+    joins = each.join(facts.where((F.col("n") < LEAST) | F.col("asked")).drop("asked"), "word").where((F.col("n") < LEAST) | F.col("keep")).drop("keep")
     own = joins.groupBy("row").agg(F.collect_list(F.struct("word", "n", "best", "cost", "apart")).alias("facts"))
-    todo = durable(ready.drop("needs").join(own, "row", "left"), "looked-up")
+    todo = durable(ready.drop("needs", "keep").join(own, "row", "left"), "looked-up")
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
