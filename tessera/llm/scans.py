@@ -256,8 +256,9 @@ def strings(lines: list[str]) -> dict[str, bool]:
     out: dict[str, bool] = {}
     for line in lines:
         for w in WORD.findall(line):
-            odd = bool(_SIGN.search(w))
-            out[w.lower() if odd else fold(w)] = odd or len(w) == 1
+            low = w.lower()
+            if low not in out:
+                out[low] = len(low) == 1 or not low.isalpha() and bool(_SIGN.search(low))
     for _, a, mark, b in _breaks(lines):
         out[(a + b).lower()] = True
         if mark:
@@ -278,6 +279,7 @@ class Lexicon:
     def __init__(self, rows: list[tuple[str, int, str | None, int]], apart: dict[str, int] | None = None):
         self.apart = apart or {}
         self.n = {w: n for w, n, _, _ in rows}
+        self.unknown = {w for w, n in self.n.items() if n < LEAST}
         self.best = {w: b for w, _, b, _ in rows if b}
         self.cost = {w: c for w, _, b, c in rows if b}
 
@@ -317,15 +319,17 @@ def decode(lines: list[str], lex: Lexicon) -> tuple[list[str], bool, bool]:
     line_blank = lambda k: lines[words[k][0]][words[k][2] : words[k + 1][1]].isspace()
     best = [0.0] + [1e9] * n
     came: list[tuple] = [()] * (n + 1)
+    lows = [w.lower() for *_, w in words]
+    odd = [low in lex.unknown for low in lows]
     for k in range(n):
         i, a, e, w = words[k]
-        price, reading = lex.price(w)
+        price, reading = lex.price(w) if odd[k] else (1.0, None)
         if best[k] + price < best[k + 1]:
             best[k + 1], came[k + 1] = best[k] + price, ("word", k, reading)
-        if w.lower() in lex.apart and not lex.known(w) and best[k] + TORN < best[k + 1]:
-            best[k + 1], came[k + 1] = best[k] + TORN, ("split", k, lex.apart[w.lower()])
-        if k + 1 < n and words[k + 1][0] == i and w.isalpha() and words[k + 1][3].isalpha() and line_blank(k) and _torn(w, words[k + 1][3]):
-            if lex.n.get((w + words[k + 1][3]).lower(), 0) > LEAST and not (lex.known(w) and lex.known(words[k + 1][3])) and best[k] + TORN < best[k + 2]:
+        if odd[k] and lows[k] in lex.apart and best[k] + TORN < best[k + 1]:
+            best[k + 1], came[k + 1] = best[k] + TORN, ("split", k, lex.apart[lows[k]])
+        if k + 1 < n and (odd[k] or odd[k + 1]) and words[k + 1][0] == i and w.isalpha() and words[k + 1][3].isalpha() and line_blank(k) and _torn(w, words[k + 1][3]):
+            if lex.n.get(lows[k] + lows[k + 1], 0) > LEAST and best[k] + TORN < best[k + 2]:
                 best[k + 2], came[k + 2] = best[k] + TORN, ("merge", k)
         if k + 1 < n and words[k + 1][0] > i and i in ends and ends[i][0] == w and words[k + 1][3].startswith(ends[i][2]):
             mark, nxt = ends[i][1], words[k + 1][3]
