@@ -161,20 +161,53 @@ def overlapped(docs: DataFrame, id_col: str, text_col: str, limit: int = 480, ov
 def semantic_cuts(docs: DataFrame, id_col: str, text_col: str, share: float = 0.9) -> DataFrame:
     """(id, para, segment): a new segment starts where the distance to the paragraph before is in the top tenth of its document and above 0.
 
-    The distance is one minus the cosine of hash-bag vectors, taken by a join of neighbouring
-    paragraphs on their buckets.
+    The distance is one minus the cosine of hash-bag vectors of 256 md5 buckets. A document is
+    cut where it is read, in numbers of whole batches; nothing is shuffled but an uneven scan.
     """
-    from tessera.operators.embedding import weights
-
-    p = paragraphs(docs, id_col, text_col)
-    e = weights(p.withColumn("key", F.struct("id", "para")), "key", "text").select("id.id", "id.para", "bucket", "weight")
-    before = e.select("id", (F.col("para") + 1).alias("para"), "bucket", F.col("weight").alias("w2"))
-    near = e.join(before, ["id", "para", "bucket"]).groupBy("id", "para").agg(F.sum(F.col("weight") * F.col("w2")).alias("cos"))
-    d = p.join(near, ["id", "para"], "left").withColumn("d", F.when(F.col("para") > 1, F.round(1 - F.coalesce("cos", F.lit(0.0)), 6)))
-    limit = p.select("id").distinct().join(d.groupBy("id").agg(F.percentile("d", F.lit(share)).alias("limit")), "id")
-    w = Window.partitionBy("id").orderBy("para").rowsBetween(Window.unboundedPreceding, 0)
-    hit = F.coalesce((F.col("d") >= F.round("limit", 6)) & (F.col("d") > 0), F.lit(False)).cast("int")
-    return d.join(limit, "id").withColumn("segment", F.sum(hit).over(w)).select("id", "para", "segment")
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.operators.search import md5_bucket, rounded, words
+    from tessera.session import spread
+
+    rows = spread(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text")))
+
+    def cut(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, paragraph, segment) of every paragraph of some texts."""
+        paras = [[y for x in t.split("\n") if (y := x.strip(" "))] for t in texts]
+        n = np.fromiter(map(len, paras), np.int64, len(paras))
+        doc = np.repeat(np.arange(len(n)), n)
+        para = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n) + 1
+        codes = [list(map(md5_bucket, words(y))) for x in paras for y in x]
+        size = np.fromiter(map(len, codes), np.int64, len(codes))
+        key, tf = np.unique(np.repeat(np.arange(len(codes)), size) * 256 + np.fromiter((c for x in codes for c in x), np.int64, int(size.sum())), return_counts=True)
+        at = key // 256
+        w = tf / np.sqrt(np.bincount(at, tf * tf, len(codes)))[at]
+        before = np.searchsorted(key, key - 256)
+        same = (para[at] > 1) & (key[np.minimum(before, len(key) - 1)] == key - 256)
+        d = rounded(1 - np.bincount(at[same], w[same] * w[before[same]], len(codes)), 6)
+        inner = np.flatnonzero(para > 1)
+        order = inner[np.lexsort((d[inner], doc[inner]))]
+        many = np.maximum(n - 1, 0)
+        start, place = np.cumsum(many) - many, share * np.maximum(many - 1, 0)
+        low = np.floor(place).astype(np.int64)
+        limit, some = np.full(len(n), np.inf), many > 0
+        a, z = d[order][(start + low)[some]], d[order][(start + np.minimum(low + 1, np.maximum(many - 1, 0)))[some]]
+        limit[some] = rounded(a + (z - a) * (place - low)[some], 6)
+        hit = (para > 1) & (d >= limit[doc]) & (d > 0)
+        total = np.cumsum(hit)
+        first = np.flatnonzero(para == 1)
+        return doc, para, total - np.repeat(total[first], n[n > 0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 500):
+                part = b.slice(lo, 500)
+                doc, para, segment = cut(part.column("text").to_pylist())
+                if len(doc):
+                    yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(doc)), pa.array(para, pa.int32()), pa.array(segment, pa.int64())], ["id", "para", "segment"])
+
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, para int, segment long")
 
 
 def newest(chunks: DataFrame, doc_col: str = "doc_id", version_col: str = "version") -> DataFrame:

@@ -2,10 +2,15 @@
 
 import random
 
-from tessera.operators import retrieval, search
-from tessera.plans import corpus
+import pytest
+
+from tessera.operators import chunking, retrieval, search
+from tessera.plans import corpus, more
 
 SMALL = "/root/testdata/sf0.001"
+SEARCHES = [
+    corpus.multi_library_rrf,
+]
 
 
 def rows(df):
@@ -40,5 +45,13 @@ def test_more_queries_than_fit_at_once(spark, monkeypatch):
     assert got == {i: "b" if i % 2 else "a" for i in range(7)}
 
 
-def test_multi_library_shuffles_no_pairs(spark):
-    assert not joins_terms(corpus.multi_library_rrf(spark, SMALL))
+@pytest.mark.parametrize("search_query", SEARCHES)
+def test_shuffles_no_pairs(spark, search_query):
+    assert not joins_terms(search_query(spark, SMALL))
+
+
+def test_segments_need_no_shuffle_of_words(spark):
+    df = corpus.semantic_segments(spark, SMALL)
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    d = spark.createDataFrame([(1, "a b\n\n a b \nc d\nc d"), (2, None), (3, "x"), (None, "x\ny")], "id long, text string")
+    assert sorted((r.id, r.para, r.segment) for r in chunking.semantic_cuts(d, "id", "text").collect()) == [(1, 1, 0), (1, 2, 0), (1, 3, 1), (1, 4, 1), (3, 1, 0)]
