@@ -10,6 +10,7 @@ from tessera.plans import corpus, more
 SMALL = "/root/testdata/sf0.001"
 SEARCHES = [
     corpus.multi_library_rrf,
+    corpus.bm25_multiquery_topk,
 ]
 
 
