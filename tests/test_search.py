@@ -11,6 +11,7 @@ SMALL = "/root/testdata/sf0.001"
 SEARCHES = [
     corpus.multi_library_rrf,
     corpus.bm25_multiquery_topk,
+    corpus.hybrid_rrf_topk,
 ]
 
 
