@@ -12,6 +12,7 @@ SEARCHES = [
     corpus.multi_library_rrf,
     corpus.bm25_multiquery_topk,
     corpus.hybrid_rrf_topk,
+    corpus.recall_and_mrr,
 ]
 
 
