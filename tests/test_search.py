@@ -13,6 +13,7 @@ SEARCHES = [
     corpus.bm25_multiquery_topk,
     corpus.hybrid_rrf_topk,
     corpus.recall_and_mrr,
+    corpus.template_confidence,
 ]
 
 
