@@ -14,6 +14,7 @@ SEARCHES = [
     corpus.hybrid_rrf_topk,
     corpus.recall_and_mrr,
     corpus.template_confidence,
+    corpus.rerank_slots_restricted,
 ]
 
 
