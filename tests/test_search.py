@@ -15,6 +15,7 @@ SEARCHES = [
     corpus.recall_and_mrr,
     corpus.template_confidence,
     corpus.rerank_slots_restricted,
+    corpus.mmr_select,
 ]
 
 
