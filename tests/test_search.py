@@ -16,6 +16,7 @@ SEARCHES = [
     corpus.template_confidence,
     corpus.rerank_slots_restricted,
     corpus.mmr_select,
+    corpus.compress_extractive,
 ]
 
 
