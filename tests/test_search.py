@@ -17,6 +17,7 @@ SEARCHES = [
     corpus.rerank_slots_restricted,
     corpus.mmr_select,
     corpus.compress_extractive,
+    corpus.lost_in_the_middle,
 ]
 
 
