@@ -18,6 +18,7 @@ SEARCHES = [
     corpus.mmr_select,
     corpus.compress_extractive,
     corpus.lost_in_the_middle,
+    corpus.relevance_grade,
 ]
 
 
