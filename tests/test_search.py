@@ -19,6 +19,7 @@ SEARCHES = [
     corpus.compress_extractive,
     corpus.lost_in_the_middle,
     corpus.relevance_grade,
+    more.snippet_fusion,
 ]
 
 
