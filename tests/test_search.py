@@ -20,6 +20,7 @@ SEARCHES = [
     corpus.lost_in_the_middle,
     corpus.relevance_grade,
     more.snippet_fusion,
+    more.narrative_answers,
 ]
 
 
