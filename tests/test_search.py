@@ -21,6 +21,7 @@ SEARCHES = [
     corpus.relevance_grade,
     more.snippet_fusion,
     more.narrative_answers,
+    more.corrective_retrieval,
 ]
 
 
