@@ -22,6 +22,7 @@ SEARCHES = [
     more.snippet_fusion,
     more.narrative_answers,
     more.corrective_retrieval,
+    more.postprocessor_chain,
 ]
 
 
