@@ -68,3 +68,16 @@ def test_segments_need_no_shuffle_of_words(spark):
     assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
     d = spark.createDataFrame([(1, "a b\n\n a b \nc d\nc d"), (2, None), (3, "x"), (None, "x\ny")], "id long, text string")
     assert sorted((r.id, r.para, r.segment) for r in chunking.semantic_cuts(d, "id", "text").collect()) == [(1, 1, 0), (1, 2, 0), (1, 3, 1), (1, 4, 1), (3, 1, 0)]
+
+
+def test_products_shuffle_no_pairs(spark, monkeypatch):
+    df = corpus.sparse_dot_score_all(spark, SMALL)
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(search, "PAIRS", 3)
+    d = spark.createDataFrame([("q1", "a B a"), ("q1", "b c"), ("x", "b\n-b"), (None, "a"), (None, "A 7"), ("q2", None), ("q3", "7"), ("z", "保费"), ("q4", "d")], "id string, text string")
+    want = {("q1", "q1"): 9.0, ("q1", "x"): 4.0, ("q1", None): 4.0, ("q3", None): 1.0, ("q3", "q3"): 1.0, ("q4", "q4"): 1.0}
+    for most in (200_000, 2):
+        monkeypatch.setattr(search, "QUERIES", most)
+        got = [((r.query_id, r.id), r.score) for r in search.products(d, "id", "text", d["id"].startswith("q")).collect()]
+        assert len(got) == len(want) and dict(got) == want
+    assert search.products(d, "id", "text", d["id"] == "none").count() == 0
