@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tessera.operators import chunking, retrieval, search
+from tessera.operators import chunking, post, retrieval, search
 from tessera.plans import corpus, more
 
 SMALL = "/root/testdata/sf0.001"
@@ -81,3 +81,17 @@ def test_products_shuffle_no_pairs(spark, monkeypatch):
         got = [((r.query_id, r.id), r.score) for r in search.products(d, "id", "text", d["id"].startswith("q")).collect()]
         assert len(got) == len(want) and dict(got) == want
     assert search.products(d, "id", "text", d["id"] == "none").count() == 0
+
+
+@pytest.mark.parametrize("search_query", [corpus.mmr_select])
+def test_only_found_texts_leave_their_scan(spark, search_query):
+    assert "LeftSemi" in search_query(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_with_texts_is_a_join_by_id(spark, monkeypatch):
+    r = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "a", 1), (2, None, 2), (3, "gone", 1)], "query_id long, id string, rank long")
+    t = spark.createDataFrame([("a", "x"), ("b", "y"), ("b", "z"), (None, "n"), ("c", "w")], "id string, text string")
+    for most in (post.FOUND, 1):
+        monkeypatch.setattr(post, "FOUND", most)
+        got = sorted((x.query_id, x.id, x["rank"], x.text) for x in post.with_texts(r, t).collect())
+        assert got == [(1, "a", 1, "x"), (1, "b", 2, "y"), (1, "b", 2, "z"), (2, "a", 1, "x")]
