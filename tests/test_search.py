@@ -83,7 +83,7 @@ def test_products_shuffle_no_pairs(spark, monkeypatch):
     assert search.products(d, "id", "text", d["id"] == "none").count() == 0
 
 
-@pytest.mark.parametrize("search_query", [corpus.mmr_select, corpus.compress_extractive])
+@pytest.mark.parametrize("search_query", [corpus.mmr_select, corpus.compress_extractive, corpus.relevance_grade])
 def test_only_found_texts_leave_their_scan(spark, search_query):
     assert "LeftSemi" in search_query(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
 
